@@ -30,7 +30,7 @@ from .util import text_of
 #: The split of byte-level BPE (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words that a worker remembers; the oldest half goes when it is full. Bounds memory only, results don't depend on it.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 _SHIFT = 20
 _MASK = (1 << _SHIFT) - 1
 
@@ -166,7 +166,7 @@ def read_spec(path: str) -> str:
         return f.read()
 
 
-def _pieces(texts: list[str], most: int = 4_000_000) -> list[list[str]]:
+def _pieces(texts: list[str], most: int = 1_000_000) -> list[list[str]]:
     """The texts in runs of about ``most`` characters, so that memory follows the run and not the batch."""
     runs, size = [[]], 0
     for t in texts:
