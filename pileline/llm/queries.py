@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lines, media, mixing, simhash
+from . import bpe, labelled, lines, media, mixing, quality, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,22 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, tau=2).withColumn("fingerprint", F.lpad(F.lower(F.hex("fp")), 16, "0")).drop("fp")
 
 
+def op2_quality_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rows = labelled.sample(docs, labels, "quality", labelled.remainder(F.col("doc_id"), 5) != 0, quality.MOST_ROWS)
+    return quality.score(docs, quality.learn(rows)).select(
+        "doc_id", (labelled.remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
+def op7_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rows = labelled.sample(docs, labels, "toxic", labelled.remainder(F.col("doc_id"), 3) != 1, toxicity.MOST_ROWS)
+    return toxicity.score(docs, toxicity.learn(rows)).select(
+        "doc_id", (labelled.remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
@@ -43,6 +59,8 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_quality_attention": op2_quality_attention,
+    "op7_toxicity_grammar": op7_toxicity_grammar,
     "op5_source_mixing": op5_source_mixing,
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_line_dedup": op9_line_dedup,
