@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, labelled, lines, media, mixing, quality, simhash, toxicity
+from . import bpe, labelled, lines, media, mixing, quality, simhash, tokens, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,15 @@ def op7_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), tokens.read_pieces(tokenizer_path("piece_bpe_32k.model")))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return urls.judge(pages, urls.RULES, urls.learn(pages))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
@@ -61,6 +70,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_quality_attention": op2_quality_attention,
     "op7_toxicity_grammar": op7_toxicity_grammar,
+    "op3_token_counts": op3_token_counts,
+    "op6_url_filter": op6_url_filter,
     "op5_source_mixing": op5_source_mixing,
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_line_dedup": op9_line_dedup,
