@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, labelled, lines, media, mixing, quality, simhash, tokens, toxicity, urls
+from . import bpe, iblt, labelled, lines, media, mixing, quality, simhash, tokens, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, urls.RULES, urls.learn(pages))
 
 
+def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt.compared(table(spark, sf_dir, "documents"))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity_grammar": op7_toxicity_grammar,
     "op3_token_counts": op3_token_counts,
     "op6_url_filter": op6_url_filter,
+    "op4_document_fingerprints": op4_document_fingerprints,
     "op5_source_mixing": op5_source_mixing,
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_line_dedup": op9_line_dedup,

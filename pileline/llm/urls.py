@@ -44,7 +44,7 @@ PRIOR = 0.1
 
 #: Share of block words among the words of a blocked name; the rest are ordinary words. How much less likely each further
 #: letter makes it that an ordinary name holds a block word by chance (in nats).
-SHARE, CHANCE = 0.5, 1.2
+SHARE, CHANCE = 0.5, 1.5
 
 _PIECE = re.compile(r"[^\W\d_]+")
 
