@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .candidates import candidate_pairs
 from .components import components
 from .util import staged, text_of
 
@@ -191,3 +192,101 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     heads = rooted.groupBy("root").agg(F.min("__least").alias("component_id"), F.sum("__rows").alias("rows_alike"))
     of = rooted.select("fp", "root").join(heads, "root").drop("root")
     return marked.join(of, "fp").select(id_col, "fp", "component_id", "rows_alike")
+
+
+#: near_copies(): fingerprints of a document's words (rings), segments of a chain that is a key, sign bits of another ring in
+#: which candidates may differ, and least shingle hashes that stand for a document's shingles.
+RINGS, CHAIN, RING_ALLOWED, LEAST = 4, 6, 16, 256
+_MIX = [np.uint64((0x9E3779B97F4A7C15 * (2 * r + 1)) & (2**64 - 1) | 1) for r in range(RINGS)]
+
+
+def word_rings(tokens: list[bytes]) -> list[int]:
+    """RINGS independent fingerprints of the distinct words."""
+    digest = xxhash.xxh64_intdigest
+    h = np.fromiter([digest(w, SEED) for w in sorted(set(tokens))], np.uint64)
+    out = []
+    for mix in _MIX:
+        x = (h ^ (h >> np.uint64(31))) * mix
+        out.append(majority(x ^ (x >> np.uint64(29))))
+    return out
+
+
+def least_hashes(text: str, words: int) -> np.ndarray:
+    """The LEAST smallest of the upper halves of the shingle hashes, in order: all of them where there are no more."""
+    return np.unique((shingle_hashes(text, words) >> np.uint64(32)).astype(np.uint32))[:LEAST]
+
+
+def estimated(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard likeness of two shingle sets from their least hashes; exact where neither has more than LEAST."""
+    both = np.union1d(a, b)
+    if a.size >= LEAST or b.size >= LEAST:
+        both = both[:LEAST]
+    shared = np.intersect1d(a, b, assume_unique=True)
+    return float(np.isin(both, shared, assume_unique=True).sum()) / max(1, both.size)
+
+
+def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``id_col`` and ``component_id`` of every row: classes of documents whose sets of word shingles have a likeness of
+    ``similarity`` or more, found by SimHash.
+
+    At that likeness of five-word shingles, fingerprints of the shingles differ in 10 of 64 bits, too many for selective
+    chains; those of the distinct words differ in 4 or 5. A document has four of these. A chain of six equal consecutive
+    segments on any of the rings makes two documents candidates (found by 98 in 100 at the limit, more above it); they are
+    checked on another ring and then by their shingles, through the 256 least hashes, which is exact for documents of up
+    to 256 shingles and has a standard error of 0.025 above. Equal texts meet by a digest of their words. Key groups of
+    over CROWD texts are linked through the text nearest to their majority, see candidates.py.
+
+    Texts without words are equal texts; null counts as empty."""
+    rows = df.select(F.col(f"`{id_col}`").alias(id_col), text_of(text_col).alias("__text"))
+    names = [f"r{r}" for r in range(RINGS)]
+
+    def run(batches):
+        for batch in batches:
+            hi, lo, rings, least = [], [], [], []
+            for text in batch.column(1).to_pylist():
+                tokens = text.encode("utf-8", "replace").lower().split()
+                whole = xxhash.xxh3_128_digest(b" ".join(tokens))
+                hi.append(int.from_bytes(whole[:8], "big", signed=True))
+                lo.append(int.from_bytes(whole[8:], "big", signed=True))
+                rings.append(word_rings(tokens))
+                least.append(least_hashes(text, words).tobytes())
+            columns = [pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), *(pa.array([x[r] for x in rings], pa.int64()) for r in range(RINGS)), pa.array(least, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[id_col, "hi", "lo", *names, "least"])
+
+    marked = staged(rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, hi long, lo long, " + "".join(f"{c} long, " for c in names) + "least binary"))
+    slim = marked.groupBy("hi", "lo").agg(F.min(id_col).alias("__least"), *[F.min(c).alias(c) for c in names])
+    distinct = staged(slim.withColumn("id", F.monotonically_increasing_id()))
+    width = BITS // SEGMENTS
+    keys = []
+    for r in range(RINGS):
+        for k in range(SEGMENTS):
+            x = F.col(names[r])
+            turned = x if k == 0 else F.shiftleft(x, k * width).bitwiseOR(F.shiftrightunsigned(x, BITS - k * width))
+            keys.append(F.struct((F.shiftrightunsigned(turned, BITS - CHAIN * width) + F.lit((r * SEGMENTS + k) << (CHAIN * width)).cast("long")).alias("key"), F.col(names[(r + 1) % RINGS]).alias("bits")))
+    keyed = distinct.select("id", F.explode(F.array(*keys)).alias("k")).select("k.key", "id", "k.bits")
+    pairs = staged(candidate_pairs(keyed, RING_ALLOWED))
+    needed = pairs.select(F.col("u").alias("id")).unionAll(pairs.select("v")).distinct()
+    # of equal texts any sketch will do, they are the same
+    sketches = marked.join(distinct.join(needed, "id").select("id", "hi", "lo"), ["hi", "lo"]).groupBy("id").agg(F.first("least").alias("least"))
+    sketches = staged(sketches)
+    full = pairs.join(sketches.select(F.col("id").alias("u"), F.col("least").alias("a")), "u").join(sketches.select(F.col("id").alias("v"), F.col("least").alias("b")), "v")
+
+    def check(batches):
+        for batch in batches:
+            us, vs, a, b = (c.to_pylist() for c in batch.columns)
+            keep = [k for k in range(len(us)) if estimated(np.frombuffer(a[k], np.uint32), np.frombuffer(b[k], np.uint32)) >= similarity]
+            yield pa.RecordBatch.from_arrays([pa.array([us[k] for k in keep], pa.int64()), pa.array([vs[k] for k in keep], pa.int64())], names=["u", "v"])
+
+    trees = components(full.select("u", "v", "a", "b").mapInArrow(check, "u long, v long"))
+    rooted = distinct.select("id", "hi", "lo", "__least").join(trees, F.col("id") == F.col("node"), "left").select("hi", "lo", "__least", F.coalesce("root", "id").alias("root"))
+    heads = rooted.groupBy("root").agg(F.min("__least").alias("component_id"))
+    return marked.select(id_col, "hi", "lo").join(rooted.join(heads, "root").select("hi", "lo", "component_id"), ["hi", "lo"]).select(id_col, "component_id")
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``df``, all columns, of the documents that are the least ids of their classes. Rows of one id stay or go
+    together."""
+    classes = near_copies(df, id_col, text_col, words, similarity)
+    own = F.col("component_id").eqNullSafe(F.col(id_col))
+    gone = staged(classes.groupBy(F.col(id_col).alias("__gone")).agg(F.max(own).alias("own")).filter("NOT own").select("__gone"))
+    return df.join(gone, df[f"`{id_col}`"] == gone["__gone"], "left_anti")
