@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import domain
+
+QUERIES: dict = dict(domain.QUERIES)
+SQL: dict = dict(domain.SQL)
