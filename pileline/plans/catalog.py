@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import domain
+from . import domain, packed, sequences
 
-QUERIES: dict = dict(domain.QUERIES)
-SQL: dict = dict(domain.SQL)
+QUERIES: dict = {**domain.QUERIES, **sequences.QUERIES, **packed.QUERIES}
+SQL: dict = {**domain.SQL, **sequences.SQL, **packed.SQL}
