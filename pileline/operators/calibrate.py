@@ -8,15 +8,17 @@ from pyspark.sql import functions as F
 
 from ..functions.bases import GENOTYPES
 from ..params import CallParams
-from .pileup import with_ref
+from .pileup import bases, with_ref_pieces
 
 #: A count over this is taken as it is (fixed value).
 ENOUGH = 10
 
 
-def counts(rows: DataFrame, blocks: DataFrame, dbsnp: DataFrame) -> DataFrame:
-    """(q, cycle, t_base, o_base, n) over eligible bases of reads of one hit, at places that are neither N nor known SNPs."""
-    own = with_ref(rows.filter("hit = 1 AND eligible").select("chr", "pos", "q", "cycle", "base"), blocks).filter("ref_code < 4")
+def counts(reads: DataFrame, blocks: DataFrame, dbsnp: DataFrame, params: CallParams = CallParams()) -> DataFrame:
+    """(q, cycle, t_base, o_base, n) over eligible bases of reads of one hit, at places that are neither N nor known SNPs.
+
+    Counted by map-side partial sums; the result has as many rows as there are cells, whatever the reads."""
+    own = bases(with_ref_pieces(reads.filter("hit = 1"), blocks), params).filter("eligible AND ref_code < 4").select("chr", "pos", "q", "cycle", "ref_code", "base")
     known = dbsnp.select("chr", "pos").distinct()
     grouped = own.join(known, ["chr", "pos"], "left_anti").groupBy("q", "cycle", F.col("ref_code").alias("t_base"), F.col("base").alias("o_base"))
     return grouped.agg(F.count(F.lit(1)).alias("n"))

@@ -36,22 +36,39 @@ def in_bounds(reads: DataFrame, contigs: DataFrame, strict: bool = True) -> Data
     Contigs are as many as sequences in the genome file; Spark broadcasts them where they are few."""
     lengths = contigs.select(F.col("chr").alias("__c"), F.col("length").alias("__length"))
     joined = reads.join(lengths, F.col("chr") == F.col("__c"), "left" if strict else "inner")
-    if strict:
-        joined = joined.filter(F.when(F.col("__length").isNull(), F.raise_error(F.concat(F.lit("unknown contig "), F.coalesce("chr", F.lit("null")))).isNotNull()).otherwise(True))
-    return joined.filter((F.col("pos") >= 0) & (F.col("pos") + F.col("read_len") < F.col("__length"))).drop("__c", "__length")
+    inside = (F.col("pos") >= 0) & (F.col("pos") + F.col("read_len") < F.col("__length"))
+    if strict:  # in one expression with the bounds, so that no filter comes before it
+        inside = F.when(F.col("__length").isNull(), F.raise_error(F.concat(F.lit("unknown contig "), F.coalesce("chr", F.lit("null")))).cast("boolean")).otherwise(inside)
+    return joined.filter(inside).drop("__c", "__length")
+
+
+def with_ref_pieces(reads: DataFrame, blocks: DataFrame, block: int = BLOCK) -> DataFrame:
+    """A row for each genome block that a read lies in, with the reference letters under it (piece) and the read's first
+    place there (first). Reads meet blocks by (chr, block), before they are exploded, so a block's text is copied once a
+    read and not once a base; places without a block are left out."""
+    end = F.col("pos") + F.col("read_len")
+    parts = reads.withColumn("__at", F.explode(F.expr(f"sequence((pos) div {block}, (pos + read_len - 1) div {block})")))
+    g = blocks.select(F.col("chr").alias("__c"), F.col("block").alias("__b"), F.col("start").alias("__s"), F.col("seq").alias("__g"))
+    joined = parts.join(g, (F.col("chr") == F.col("__c")) & (F.col("__at") == F.col("__b")))
+    left, right = F.greatest(F.col("pos"), F.col("__s")), F.least(end, F.col("__s") + F.length("__g"))
+    piece = F.substring(F.col("__g"), (left - F.col("__s") + 1).cast("int"), (right - left).cast("int"))
+    return joined.withColumn("piece", piece).withColumn("first", (left - F.col("pos")).cast("int")).drop("__at", "__c", "__b", "__s", "__g").filter("piece <> ''")
 
 
 def bases(reads: DataFrame, params: CallParams = CallParams()) -> DataFrame:
-    """A row for each place a read covers: read_idx, chr, pos, start, coord, hit, strand (0 +, 1 -), cycle, base, q, eligible.
+    """A row for each place a read covers: read_idx, chr, pos, start, coord, hit, strand (0 +, 1 -), cycle, base, q, eligible;
+    of reads from with_ref_pieces() also ref_code.
 
     Places beyond a shortened string count in the depth only; so do N and qualities below q_min."""
-    coord = F.col("coord")
-    rows = reads.select("read_idx", "chr", F.col("pos").alias("start"), "hit", "read_len", F.when(F.col("strand") == "-", 1).otherwise(0).alias("strand"), "seq", "qual", F.explode(F.sequence(F.lit(0), F.col("read_len") - 1)).alias("coord"))
+    coord, pieces = F.col("coord"), "piece" in reads.columns
+    places = F.sequence(F.col("first"), F.col("first") + F.length("piece") - 1) if pieces else F.sequence(F.lit(0), F.col("read_len") - 1)
+    rows = reads.select("read_idx", "chr", F.col("pos").alias("start"), "hit", "read_len", F.when(F.col("strand") == "-", 1).otherwise(0).alias("strand"), "seq", "qual", *["piece", "first"] * pieces, F.explode(places).alias("coord"))
     letter, sign = F.substring(F.col("seq"), coord + 1, F.lit(1)), F.substring(F.col("qual"), coord + 1, F.lit(1))
     q = F.ascii(sign) - params.q_min
+    ref = [ref_code(F.substring(F.col("piece"), coord - F.col("first") + 1, F.lit(1))).alias("ref_code")] if pieces else []
     return rows.select(
         "read_idx", "chr", (F.col("start") + coord).alias("pos"), "start", "coord", "hit", "strand", F.when(F.col("strand") == 0, coord).otherwise(F.col("read_len") - 1 - coord).alias("cycle"),
-        read_code(letter).alias("base"), q.alias("q"), ((letter != "") & (F.upper(letter) != "N") & (sign != "") & (q >= 0)).alias("eligible"),
+        read_code(letter).alias("base"), q.alias("q"), ((letter != "") & (F.upper(letter) != "N") & (sign != "") & (q >= 0)).alias("eligible"), *ref,
     )
 
 
@@ -92,13 +109,6 @@ def ref_sites(blocks: DataFrame) -> DataFrame:
     return rows.select("chr", (F.col("start") + F.col("k")).alias("pos"), ref_code(F.substring(F.col("seq"), F.col("k") + 1, F.lit(1))).alias("ref_code"))
 
 
-def with_ref(rows: DataFrame, blocks: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Adds ref_code from the genome's block: an equi-join by (chr, block), whose plan is left to Spark."""
-    b = blocks.select(F.col("chr").alias("__c"), F.col("block").alias("__b"), "seq")
-    joined = rows.withColumn("__at", F.floor(F.col("pos") / block)).join(b, (F.col("chr") == F.col("__c")) & (F.col("__at") == F.col("__b")))
-    return joined.withColumn("ref_code", ref_code(F.substring(F.col("seq"), (F.col("pos") % block + 1).cast("int"), F.lit(1)))).drop("__c", "__b", "__at", "seq")
-
-
 def known_sites(dbsnp: DataFrame) -> DataFrame:
     """One row for each (chr, 0-based pos): the first of the file's."""
     first = W.partitionBy("chr", "pos").orderBy("row_id")

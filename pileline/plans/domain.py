@@ -16,8 +16,12 @@ from .synth import PARAMS
 # ---- Spark ---------------------------------------------------------------------------------------------------------
 
 
+def placed_reads(spark: SparkSession, d: str) -> DataFrame:
+    return pileup.in_bounds(pileup.normalise(synth.reads(spark, d)), synth.contigs(spark, d))
+
+
 def base_rows(spark: SparkSession, d: str) -> DataFrame:
-    return pileup.bases(pileup.in_bounds(pileup.normalise(synth.reads(spark, d)), synth.contigs(spark, d)), PARAMS)
+    return pileup.bases(placed_reads(spark, d), PARAMS)
 
 
 def observed(spark: SparkSession, d: str, params=PARAMS) -> DataFrame:
@@ -25,7 +29,7 @@ def observed(spark: SparkSession, d: str, params=PARAMS) -> DataFrame:
 
 
 def calibration_counts(spark: SparkSession, d: str) -> DataFrame:
-    return calibrate.counts(base_rows(spark, d), synth.genome(spark, d), synth.dbsnp(spark, d))
+    return calibrate.counts(placed_reads(spark, d), synth.genome(spark, d), synth.dbsnp(spark, d), PARAMS)
 
 
 def log_rows(spark: SparkSession, d: str) -> DataFrame:
