@@ -77,15 +77,19 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     passage = base[doc] + nth // PASSAGE
     total = int(counts.sum())
     x = np.zeros((total, WIDTH), np.float32)
-    if not at.size:
-        return x, counts
-    # signs before a text's first word belong to its first passage
+    # signs before a text's first word belong to its first passage; the blank after each text belongs to none, so that a
+    # text's features don't depend on its neighbours
     owner = np.repeat(np.arange(len(texts)), sizes)
     word = np.cumsum(starts) - 1
-    of_char = np.where((word >= 0) & (doc[np.maximum(word, 0)] == owner), passage[np.maximum(word, 0)], base[owner])
-    by_kind = np.bincount(of_char * _KINDS + kinds, minlength=total * _KINDS).reshape(total, _KINDS)
-    chars = np.maximum(1, by_kind.sum(1))
-    x[:, :_KINDS] = np.sqrt(by_kind / chars[:, None])
+    of_char = base[owner]
+    if at.size:
+        of_char = np.where((word >= 0) & (doc[np.maximum(word, 0)] == owner), passage[np.maximum(word, 0)], of_char)
+    own = np.ones(codes.size, bool)
+    own[stops - 1] = False
+    by_kind = np.bincount((of_char * _KINDS + kinds)[own], minlength=total * _KINDS).reshape(total, _KINDS)
+    x[:, :_KINDS] = np.sqrt(by_kind / np.maximum(1, by_kind.sum(1))[:, None])
+    if not at.size:
+        return x, counts
     place = np.arange(codes.size) - at[np.maximum(word, 0)]
     mixed = codes * (np.uint32(2654435761) * (2 * np.minimum(place, 63).astype(np.uint32) + 1))
     mixed[space] = 0
@@ -94,7 +98,7 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     hashed *= np.uint32(2246822519)
     n = np.bincount(passage, minlength=total)
     some = np.maximum(1, n)
-    length = np.diff(np.append(at, codes.size))
+    length = np.add.reduceat((~space).astype(np.int64), at)
     again = np.zeros(at.size, bool)
     again[1:] = (hashed[1:] == hashed[:-1]) & (passage[1:] == passage[:-1])
     unique = np.unique(passage.astype(np.uint64) << np.uint64(32) | hashed.astype(np.uint64)) >> np.uint64(32)
