@@ -45,7 +45,7 @@ def staged(df: DataFrame) -> DataFrame:
     """The same rows from a Parquet table in the shared folder; unlike a checkpoint it is columnar and has a known size."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
