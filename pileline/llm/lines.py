@@ -1,9 +1,9 @@
 """Fuzzy line dedup by MinHash.
 
 A line is a piece of a text between line feeds; blank lines are no part of this and always stay. Lines are compared
-trimmed and in lower case. Equal ones meet by a 128-bit digest. For the rest, each line's signature is the minimum of 40
-multiplicative hashes over its 7-character shingles (shorter lines: padded), cut into 10 bands of 4: two lines of
-similarity 0.8 share a band with probability 0.995. Candidates are checked by the exact Jaccard likeness of their shingle
+trimmed and in lower case. Equal ones meet by a 128-bit digest. For the rest, each line's signature is the minimum of 36
+multiplicative hashes over its 7-character shingles (shorter lines: padded), cut into 9 bands of 4: two lines of
+similarity 0.8 share a band with probability 0.991. Candidates are checked by the exact Jaccard likeness of their shingle
 sets; a distributed union-find gives the components, and the first line (least document, then line number) of each stays.
 
 Texts are shuffled once only, to fetch the candidates' lines; everything else moves digests and numbers.
@@ -24,10 +24,11 @@ from .components import components
 from .util import SPACES, staged, text_of
 
 SHINGLE = 7
-BANDS, ROWS = 10, 4
+BANDS, ROWS = 9, 4
 SIMILARITY = 0.8
-#: One-bit sketches of lines of similarity 0.8 differ in 4 of 40 places on average; in more than 12 about once in 50,000.
-ALLOWED = 12
+#: One-bit sketches of lines of similarity 0.8 that share a band differ in 3.2 of 36 places on average; in more than 10 about
+#: once in 4,000.
+ALLOWED = 10
 _A = np.uint32(0x9E3779B1)
 #: Odd multipliers of the hash functions, from a rule.
 _FACTORS = [np.uint32((0x85EBCA6B * (2 * k + 1) + 0xC2B2AE35 * 2 * k) & 0xFFFFFFFF | 1) for k in range(BANDS * ROWS)]
@@ -87,6 +88,22 @@ def jaccard(a: set, b: set) -> float:
     return both / (len(a) + len(b) - both)
 
 
+def shingle_numbers(lines: list[str]) -> list[list[int]]:
+    """The shingles of each line as 64-bit numbers, which are distinct for distinct shingles but for chance (2 ** -64)."""
+    pad = "\0" * (SHINGLE - 1)
+    codes = np.frombuffer((pad.join(lines) + pad).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = codes.size - SHINGLE + 1
+    h = codes[:n].copy()
+    for k in range(1, SHINGLE):
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h += codes[k : n + k]
+    numbers, out, start = h.tolist(), [], 0
+    for line in lines:
+        out.append(numbers[start : start + max(1, len(line) - SHINGLE + 1)])
+        start += len(line) + SHINGLE - 1
+    return out
+
+
 def _runs(items: list[str], most: int = 500_000):
     """(start, stop) of runs of about ``most`` characters."""
     start, size = 0, 0
@@ -100,7 +117,7 @@ def _runs(items: list[str], most: int = 500_000):
 
 
 def _signed(lines: DataFrame) -> DataFrame:
-    """Of (__doc, __no, line): __doc, __no, hi, lo, b0 .. b9, bits."""
+    """Of (__doc, __no, line): __doc, __no, hi, lo, b0 .. b8, bits."""
     names = [*(f"b{k}" for k in range(BANDS)), "bits"]
     rows = lines.select("__doc", "__no", *digest(F.col("line")), "line")
 
@@ -130,13 +147,15 @@ def _verified(df: DataFrame, pairs: DataFrame, distinct: DataFrame, id_col: str,
     def run(batches):
         for batch in batches:
             us, vs, a, b = (c.to_pylist() for c in batch.columns)
-            last, own = None, set()
-            keep = []
-            for k, (x, y) in enumerate(zip(a, b, strict=True)):
-                if y != last:
-                    last, own = y, shingles(y)
-                if jaccard(shingles(x), own) >= similarity:
-                    keep.append(k)
+            keep, last, own = [], None, set()
+            for start, stop in _runs(a):
+                new = {y for y in b[start:stop] if y != last}
+                numbers = dict(zip(new, shingle_numbers(list(new)), strict=True)) if new else {}
+                for k, x in enumerate(shingle_numbers(a[start:stop]), start):
+                    if b[k] != last:
+                        last, own = b[k], set(numbers[b[k]])
+                    if jaccard(set(x), own) >= similarity:
+                        keep.append(k)
             yield pa.RecordBatch.from_arrays([pa.array([us[k] for k in keep], pa.int64()), pa.array([vs[k] for k in keep], pa.int64())], names=["u", "v"])
 
     return full.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
@@ -147,9 +166,9 @@ def line_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     and the number of lines in it (class_lines)."""
     sides = [f"b{k}" for k in range(BANDS)]
     grouped = _signed(lines_of(df, id_col, text_col)).groupBy("hi", "lo").agg(
-        F.min_by("__no", F.struct("__doc", "__no")).alias("__no"), F.min("__doc").alias("__doc"), F.count(F.lit(1)).alias("__n"), *[F.min(c).alias(c) for c in [*sides, "bits"]]
+        F.min(F.struct("__doc", "__no")).alias("__at"), F.count(F.lit(1)).alias("__n"), *[F.min(c).alias(c) for c in [*sides, "bits"]]
     )
-    distinct = staged(grouped.withColumn("id", F.monotonically_increasing_id()))
+    distinct = staged(grouped.select("*", "__at.*").drop("__at").withColumn("id", F.monotonically_increasing_id()))
     keyed = distinct.select("id", "bits", F.explode(F.array(*sides)).alias("key")).select("key", "id", "bits")
     pairs = staged(candidate_pairs(keyed, ALLOWED))
     slim = distinct.select("id", "hi", "lo", "__doc", "__no", "__n")

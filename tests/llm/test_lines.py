@@ -60,3 +60,10 @@ def test_dedup_keeps_first_lines_and_blank_ones(spark):
 
 def test_empty_table(spark):
     assert lines.judged_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_shingle_numbers_stand_for_shingles():
+    r = random.Random(2)
+    many = ["".join(r.choice("abc ü") for _ in range(r.randrange(1, 40))) for _ in range(500)]
+    for line, numbers in zip(many, lines.shingle_numbers(many), strict=True):
+        assert len(set(numbers)) == len(lines.shingles(line))
