@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .util import staged
+
 #: Words of hosts that are blocked (fixed seed list).
 BLOCK_WORDS = (
     "ad ads advert adverts banner banners track tracker tracking click clicks popup casino casinos poker slots jackpot roulette bet bets betting gamble gambling lottery win winner winners "
@@ -123,9 +125,16 @@ def word_counts(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
 
 
 def learn(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Model:
-    """The model of all pages. What comes to the driver are at most MOST_WORDS words, the most frequent ones."""
-    rows = word_counts(pages, url_col, html_col).orderBy(F.desc("n"), "word").limit(MOST_WORDS).collect()
-    allow = {r.word: r.n for r in rows}
+    """The model of all pages. What comes to the driver are at most MOST_WORDS words, the most frequent ones (whole levels of like frequency)."""
+    counts = staged(word_counts(pages, url_col, html_col).withColumn("level", F.floor(F.log2("n") * 16)))
+    # a few hundred levels of frequency tell from which on there are few enough words; so no partition sends its own best
+    least, seen = math.inf, 0
+    for r in counts.groupBy("level").count().orderBy(F.desc("level")).collect():
+        seen += r["count"]
+        if seen > MOST_WORDS:
+            break
+        least = r.level
+    allow = {r.word: r.n for r in counts.filter(F.col("level") >= F.lit(float(least))).collect()}
     block = dict.fromkeys(BLOCK_WORDS, SEED_COUNT)
     for w in ALLOW_WORDS:
         allow[w] = allow.get(w, 0) + SEED_COUNT
