@@ -88,8 +88,9 @@ def jaccard(a: set, b: set) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def shingle_numbers(lines: list[str]) -> list[list[int]]:
-    """The shingles of each line as 64-bit numbers, which are distinct for distinct shingles but for chance (2 ** -64)."""
+def shingle_numbers(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of all lines in turn as 64-bit numbers, which are distinct for distinct shingles but for chance
+    (2 ** -64), and how many each line has."""
     pad = "\0" * (SHINGLE - 1)
     codes = np.frombuffer((pad.join(lines) + pad).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     n = codes.size - SHINGLE + 1
@@ -97,11 +98,32 @@ def shingle_numbers(lines: list[str]) -> list[list[int]]:
     for k in range(1, SHINGLE):
         h *= np.uint64(0x9E3779B97F4A7C15)
         h += codes[k : n + k]
-    numbers, out, start = h.tolist(), [], 0
-    for line in lines:
-        out.append(numbers[start : start + max(1, len(line) - SHINGLE + 1)])
-        start += len(line) + SHINGLE - 1
-    return out
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(29)
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+    starts = np.concatenate(([0], np.cumsum(sizes + SHINGLE - 1)[:-1]))
+    own = np.maximum(1, sizes - SHINGLE + 1)
+    first = np.concatenate(([0], np.cumsum(own)[:-1]))
+    return h[np.repeat(starts - first, own) + np.arange(int(own.sum()))], own
+
+
+def _sets(lines: list[str], width: np.uint64) -> np.ndarray:
+    """The shingle sets of all lines as sorted numbers: the line's place in the upper ``width`` bits, the shingle below."""
+    numbers, own = shingle_numbers(lines)
+    places = np.repeat(np.arange(len(lines), dtype=np.uint64), own)
+    whole = np.sort((places << (np.uint64(64) - width)) | (numbers >> width))
+    return whole[np.concatenate(([True], whole[1:] != whole[:-1]))]
+
+
+def alike(left: list[str], right: list[str]) -> np.ndarray:
+    """The Jaccard likeness of the shingle sets of each pair of non-empty lines (left[k], right[k])."""
+    width = np.uint64(max(1, (len(left) - 1).bit_length()))
+    a, b = _sets(left, width), _sets(right, width)
+    both = np.sort(np.concatenate((a, b)), kind="stable")  # two sorted runs: a merge
+    shared = both[:-1][both[1:] == both[:-1]]
+    na, nb, ns = (np.bincount((x >> (np.uint64(64) - width)).astype(np.int64), minlength=len(left)) for x in (a, b, shared))
+    return ns / (na + nb - ns)
 
 
 def _runs(items: list[str], most: int = 500_000):
@@ -146,17 +168,12 @@ def _verified(df: DataFrame, pairs: DataFrame, distinct: DataFrame, id_col: str,
 
     def run(batches):
         for batch in batches:
-            us, vs, a, b = (c.to_pylist() for c in batch.columns)
-            keep, last, own = [], None, set()
-            for start, stop in _runs(a):
-                new = {y for y in b[start:stop] if y != last}
-                numbers = dict(zip(new, shingle_numbers(list(new)), strict=True)) if new else {}
-                for k, x in enumerate(shingle_numbers(a[start:stop]), start):
-                    if b[k] != last:
-                        last, own = b[k], set(numbers[b[k]])
-                    if jaccard(set(x), own) >= similarity:
-                        keep.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array([us[k] for k in keep], pa.int64()), pa.array([vs[k] for k in keep], pa.int64())], names=["u", "v"])
+            us, vs = batch.columns[:2]
+            a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            if a:
+                likeness = np.concatenate([alike(a[start:stop], b[start:stop]) for start, stop in _runs(a, 100_000)])
+                keep = pa.array(np.flatnonzero(likeness >= similarity))
+                yield pa.RecordBatch.from_arrays([us.take(keep), vs.take(keep)], names=["u", "v"])
 
     return full.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 

@@ -62,8 +62,11 @@ def test_empty_table(spark):
     assert lines.judged_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_shingle_numbers_stand_for_shingles():
+def test_likeness_is_that_of_the_shingle_sets():
     r = random.Random(2)
-    many = ["".join(r.choice("abc ü") for _ in range(r.randrange(1, 40))) for _ in range(500)]
-    for line, numbers in zip(many, lines.shingle_numbers(many), strict=True):
-        assert len(set(numbers)) == len(lines.shingles(line))
+    for n in (1, 2, 500):
+        many = ["".join(r.choice("abc ü") for _ in range(r.randrange(1, 40))) for _ in range(2 * n)]
+        many[-1] = many[0]
+        left, right = many[:n], [x + many[k % 3] if k % 2 else x for k, x in enumerate(many[n:])]
+        want = [lines.jaccard(lines.shingles(a), lines.shingles(b)) for a, b in zip(left, right, strict=True)]
+        assert lines.alike(left, right).tolist() == want
