@@ -55,7 +55,7 @@ def candidate_pairs(keyed: DataFrame, allowed: int, crowd: int = CROWD) -> DataF
     quiet = keyed.join(crowded, "key", "left_anti").select("key", "id", "bits")
     few = quiet.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "u long, v long")
 
-    loud = keyed.join(crowded, "key", "left_semi")
+    loud = staged(keyed.join(crowded, "key", "left_semi").select("key", "id", "bits"))
     ones = loud.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.shiftrightunsigned("bits", b).bitwiseAND(1)).alias(f"s{b}") for b in range(64)])
     centre = None
     for b in range(64):

@@ -14,6 +14,9 @@ very long lines are hashed whole; an empty table gives an empty result. Other co
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -35,7 +38,10 @@ _FACTORS = [np.uint32((0x85EBCA6B * (2 * k + 1) + 0xC2B2AE35 * 2 * k) & 0xFFFFFF
 
 
 def normal(line: Column) -> Column:
-    return F.lower(F.btrim(line, F.lit(SPACES)))
+    """The line trimmed and in lower case. Trimming the right end walks the whole line, so only lines that end so pay for it."""
+    ends = [line.endswith(c) for c in SPACES]
+    trimmed = F.ltrim(line, F.lit(SPACES))
+    return F.lower(F.when(reduce(or_, ends), F.rtrim(trimmed, F.lit(SPACES))).otherwise(trimmed))
 
 
 def digest(line: Column) -> list[Column]:
@@ -45,7 +51,9 @@ def digest(line: Column) -> list[Column]:
 def lines_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """__doc, __no (from 0) and the normal form of every line that is not blank."""
     lines = df.select(F.col(f"`{id_col}`").alias("__doc"), F.posexplode(F.split(text_of(text_col), "\n")).alias("__no", "__raw"))
-    return lines.select("__doc", "__no", normal(F.col("__raw")).alias("line")).filter(F.col("line") != "")
+    # the test is on the raw line: one on the normal form would be pushed down and compute that form twice
+    full = lines.filter(F.ltrim("__raw", F.lit(SPACES)) != "")
+    return full.select("__doc", "__no", normal(F.col("__raw")).alias("line"))
 
 
 def signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -161,9 +169,11 @@ def _verified(df: DataFrame, pairs: DataFrame, distinct: DataFrame, id_col: str,
     needed = pairs.select(F.col("u").alias("id")).unionAll(pairs.select("v")).distinct()
     wanted = distinct.join(needed, "id").groupBy("__doc").agg(F.collect_list(F.struct("__no", "id")).alias("__want"))  # no more than the document's lines
     docs = df.select(F.col(f"`{id_col}`").alias("__doc"), F.split(text_of(text_col), "\n").alias("__lines")).join(wanted, "__doc")
-    found = docs.select("__doc", F.explode("__want").alias("w"), "__lines").select(F.col("w.id").alias("id"), normal(F.get("__lines", F.col("w.__no"))).alias("line"))
+    # lines are taken inside the list, so that no row carries the document's other lines
+    each = F.transform("__want", lambda w: F.struct(w["id"].alias("id"), F.get("__lines", w["__no"]).alias("raw")))
+    found = docs.select(F.explode(each).alias("w")).select("w.id", "w.raw").filter("raw is not null")
     # a repeated id with other texts may lack the line: the least of those found stands for it
-    texts = staged(found.filter("line is not null").groupBy("id").agg(F.min("line").alias("line")))
+    texts = staged(found.select("id", normal(F.col("raw")).alias("line")).groupBy("id").agg(F.min("line").alias("line")))
     full = pairs.join(texts.select(F.col("id").alias("u"), F.col("line").alias("a")), "u").join(texts.select(F.col("id").alias("v"), F.col("line").alias("b")), "v")
 
     def run(batches):
