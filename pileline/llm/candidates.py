@@ -1,22 +1,28 @@
-"""Candidate pairs from shared keys, without emitting all pairs of a large group.
+"""Candidate pairs from shared keys, without emitting all pairs of a large family.
 
 Rows (key, id, bits): ``bits`` are 64 sign bits of the item's sketch; similar items differ in few of them. Groups of at most
 ``CROWD`` items are compared in sorted runs inside a task, and only pairs whose bits differ in at most ``allowed`` leave
 it. Larger groups are families of near copies (or items of no news, such as very short ones): sixty-four partial sums give
 the group's majority bits, the item nearest to them becomes its hub, and every item of the group is paired with the hub.
-That is linear in the group and needs no task that holds it.
+Members that those links put in one component need no more comparing. All other pairs of a large group are compared in tiles
+of two blocks of the group, so that no task holds it and no pair is left out.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .components import components
 from .util import staged
 
 CROWD = 128
+#: Items of a large group that form a block; a tile compares two blocks, or one with itself.
+BLOCK = 512
 
 
 def _close(keys: np.ndarray, ids: np.ndarray, bits: np.ndarray, allowed: int) -> pa.RecordBatch:
@@ -67,3 +73,68 @@ def candidate_pairs(keyed: DataFrame, allowed: int, crowd: int = CROWD) -> DataF
     hubs = loud.join(centres, "key").groupBy("key").agg(F.min_by("id", far * F.lit(2.0**53) + F.abs(F.hash("id")).cast("double")).alias("hub"))
     many = loud.join(hubs, "key").filter(F.col("id") != F.col("hub")).select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v"))
     return few.unionAll(many).distinct()
+
+
+def _tile(side: np.ndarray, ids: np.ndarray, bits: np.ndarray, roots: np.ndarray, allowed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the rows of one tile: the near pairs of different roots, of side 0 with side 1 and inside side 2."""
+    us, vs = [], []
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    inner = np.flatnonzero(side == 2)
+    for a, b, same in ((left, right, False), (inner, inner, True)):
+        for start in range(0, a.size, BLOCK):
+            rows = a[start : start + BLOCK]
+            good = (np.bitwise_count(bits[rows][:, None] ^ bits[b][None, :]) <= allowed) & (roots[rows][:, None] != roots[b][None, :])
+            if same:
+                good &= ids[rows][:, None] < ids[b][None, :]
+            x, y = np.nonzero(good)
+            us.append(ids[rows[x]])
+            vs.append(ids[b[y]])
+    u, v = np.concatenate(us) if us else np.zeros(0, np.int64), np.concatenate(vs) if vs else np.zeros(0, np.int64)
+    return np.minimum(u, v), np.maximum(u, v)
+
+
+def rest_pairs(keyed: DataFrame, trees: DataFrame, allowed: int, crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
+    """Distinct pairs (u, v), u < v, of ids that share a key of over ``crowd`` items, differ in at most ``allowed`` bits and are
+    not in one component by ``trees`` (node, root): what candidate_pairs() leaves out."""
+    counts = staged(keyed.groupBy("key").count().filter(F.col("count") > crowd))
+    loud = keyed.join(counts, "key").join(trees, F.col("id") == F.col("node"), "left").select("key", "id", "bits", "count", F.coalesce("root", "id").alias("root"))
+    loud = staged(loud)
+    apart = loud.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
+    blocks = F.ceil(F.col("count") / block).cast("int")
+    rows = loud.join(apart, "key").withColumn("own", F.pmod(F.xxhash64("id", "key"), blocks).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    # two tiles of like hash would only be compared with each other, too
+    tile = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).cast("long")
+    tiles = rows.select(tile.alias("tile"), side.alias("side"), "id", "bits", "root")
+
+    def compare(batches):
+        held = [np.zeros(0, np.int64) for _ in range(5)]
+
+        def out(part):
+            cuts = np.flatnonzero(np.diff(part[0])) + 1
+            for tile_rows in zip(*[np.split(x, cuts) for x in part[1:]], strict=True):
+                u, v = _tile(*tile_rows, allowed)
+                if u.size:
+                    yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+        for batch in batches:
+            held = [np.concatenate((h, c.to_numpy())) for h, c in zip(held, batch.columns, strict=True)]
+            if held[0].size:
+                whole = int(np.searchsorted(held[0], held[0][-1]))  # the last tile may go on; it has about two blocks at most
+                if whole:
+                    yield from out([h[:whole] for h in held])
+                held = [h[whole:] for h in held]
+        if held[0].size:
+            yield from out(held)
+
+    return tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(compare, "u long, v long").distinct()
+
+
+def linked_components(keyed: DataFrame, allowed: int, verify: Callable[[DataFrame], DataFrame], crowd: int = CROWD) -> DataFrame:
+    """Components (node, root), as components() has them, of all pairs of ids that share a key, differ in at most ``allowed``
+    bits and are kept by ``verify``, which takes pairs (u, v) and gives those that are alike."""
+    links = staged(verify(staged(candidate_pairs(keyed, allowed, crowd))))
+    trees = components(links)
+    rest = staged(rest_pairs(keyed, trees, allowed, crowd))
+    return trees if rest.isEmpty() else components(links.unionAll(verify(rest)))

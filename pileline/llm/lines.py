@@ -22,8 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .candidates import candidate_pairs
-from .components import components
+from .candidates import linked_components
 from .util import SPACES, staged, text_of
 
 SHINGLE = 7
@@ -197,9 +196,8 @@ def line_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     distinct = staged(grouped.select("*", "__at.*").drop("__at").withColumn("id", F.monotonically_increasing_id()))
     keyed = distinct.select("id", "bits", F.explode(F.array(*sides)).alias("key")).select("key", "id", "bits")
-    pairs = staged(candidate_pairs(keyed, ALLOWED))
     slim = distinct.select("id", "hi", "lo", "__doc", "__no", "__n")
-    trees = components(_verified(df, pairs, slim, id_col, text_col, similarity))
+    trees = linked_components(keyed, ALLOWED, lambda pairs: _verified(df, pairs, slim, id_col, text_col, similarity))
     rooted = slim.join(trees, slim["id"] == trees["node"], "left").select("hi", "lo", "__doc", "__no", "__n", F.coalesce("root", "id").alias("root"))
     first = F.struct("__doc", "__no")
     heads = rooted.groupBy("root").agg(F.min(first).alias("first"), F.sum("__n").alias("class_lines")).filter("class_lines > 1")

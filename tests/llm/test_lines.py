@@ -1,6 +1,6 @@
 import random
 
-from pileline.llm import lines
+from pileline.llm import candidates, lines
 
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -70,3 +70,12 @@ def test_likeness_is_that_of_the_shingle_sets():
         left, right = many[:n], [x + many[k % 3] if k % 2 else x for k, x in enumerate(many[n:])]
         want = [lines.jaccard(lines.shingles(a), lines.shingles(b)) for a, b in zip(left, right, strict=True)]
         assert lines.alike(left, right).tolist() == want
+
+
+def test_members_of_a_crowded_key_are_linked_past_the_hub(spark):
+    # 200 items share one key: pairs (2k, 2k + 1) are alike, every other two and the hub are not
+    keyed = spark.createDataFrame([(7, k, 0) for k in range(200)], "key long, id long, bits long")
+    got = candidates.linked_components(keyed, 12, lambda pairs: pairs.filter("u DIV 2 = v DIV 2"))
+    assert {(x.node, x.root) for x in got.collect()} == {(2 * k + 1, 2 * k) for k in range(100)}
+    tiles = candidates.rest_pairs(keyed, spark.createDataFrame([], "node long, root long"), 12, block=16)
+    assert tiles.count() == 200 * 199 // 2
