@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pileline.llm import candidates, lines
 
 SPACES = " \t\n\x0b\x0c\r"
@@ -79,3 +80,19 @@ def test_members_of_a_crowded_key_are_linked_past_the_hub(spark):
     assert {(x.node, x.root) for x in got.collect()} == {(2 * k + 1, 2 * k) for k in range(100)}
     tiles = candidates.rest_pairs(keyed, spark.createDataFrame([], "node long, root long"), 12, block=16)
     assert tiles.count() == 200 * 199 // 2
+
+
+def test_bands_and_sketch_find_pairs_at_the_limit():
+    # 20,000 pairs of lines with 40 shingles in common and five of its own in each: likeness 0.8
+    r = random.Random(4)
+    text = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    left, right = [], []
+    for _ in range(20_000):
+        base = text(46)
+        left.append(base + "A" + text(4))
+        right.append(base + "B" + text(4))
+    assert set(lines.alike(left, right)) == {0.8}
+    (a, x), (b, y) = lines.signatures(left), lines.signatures(right)
+    assert (a == b).any(axis=1).mean() >= 0.993
+    share = (a == b).any(axis=1) & (np.bitwise_count(x ^ y) <= lines.ALLOWED)
+    assert share.mean() >= 0.993
