@@ -27,6 +27,7 @@ BLOCK = 512
 
 def _close(keys: np.ndarray, ids: np.ndarray, bits: np.ndarray, allowed: int) -> pa.RecordBatch:
     us, vs = [], []
+    bits = bits.view(np.uint64)  # of a negative number the bits of its absolute value would be counted
     at = np.arange(keys.size)
     for step in range(1, keys.size):
         at = at[: np.searchsorted(at, keys.size - step)]
@@ -78,6 +79,7 @@ def candidate_pairs(keyed: DataFrame, allowed: int, crowd: int = CROWD) -> DataF
 def _tile(side: np.ndarray, ids: np.ndarray, bits: np.ndarray, roots: np.ndarray, allowed: int) -> tuple[np.ndarray, np.ndarray]:
     """Of the rows of one tile: the near pairs of different roots, of side 0 with side 1 and inside side 2."""
     us, vs = [], []
+    bits = bits.view(np.uint64)
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     inner = np.flatnonzero(side == 2)
     for a, b, same in ((left, right, False), (inner, inner, True)):

@@ -17,6 +17,7 @@ rows each get a row; only the id and the text are read.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .candidates import candidate_pairs
+from .candidates import linked_components
 from .components import components
 from .util import staged, text_of
 
@@ -194,90 +195,100 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return marked.join(of, "fp").select(id_col, "fp", "component_id", "rows_alike")
 
 
-#: near_copies(): fingerprints of a document's words (rings), segments of a chain that is a key, sign bits of another ring in
-#: which candidates may differ, and least shingle hashes that stand for a document's shingles.
-RINGS, CHAIN, RING_ALLOWED, LEAST = 4, 6, 16, 256
-_MIX = [np.uint64((0x9E3779B97F4A7C15 * (2 * r + 1)) & (2**64 - 1) | 1) for r in range(RINGS)]
+#: near_copies(): bits in which the SimHash fingerprints of candidates may differ. At a likeness of 0.8 they differ in 10 of 64
+#: on average, in more than 26 about once in ten million pairs.
+SKETCH_ALLOWED = 26
 
 
-def word_rings(tokens: list[bytes]) -> list[int]:
-    """RINGS independent fingerprints of the distinct words."""
-    digest = xxhash.xxh64_intdigest
-    h = np.fromiter([digest(w, SEED) for w in sorted(set(tokens))], np.uint64)
-    out = []
-    for mix in _MIX:
-        x = (h ^ (h >> np.uint64(31))) * mix
-        out.append(majority(x ^ (x >> np.uint64(29))))
-    return out
+def shingle_set(text: str, words: int) -> np.ndarray:
+    """The distinct shingle hashes, in signed order."""
+    return np.unique(shingle_hashes(text, words).view(np.int64))
+
+
+def text_digest(text: str) -> tuple[int, int]:
+    """128 bits of the text's words."""
+    whole = xxhash.xxh3_128_digest(b" ".join(text.encode("utf-8", "replace").lower().split()))
+    return int.from_bytes(whole[:8], "big", signed=True), int.from_bytes(whole[8:], "big", signed=True)
 
 
-def least_hashes(text: str, words: int) -> np.ndarray:
-    """The LEAST smallest of the upper halves of the shingle hashes, in order: all of them where there are no more."""
-    return np.unique((shingle_hashes(text, words) >> np.uint64(32)).astype(np.uint32))[:LEAST]
+def prefix_size(size: int, similarity: float) -> int:
+    """So many first hashes of a set of ``size``, in any order that is the same for all sets: two sets of that likeness share
+    one of them, as they share at least ``similarity * size`` hashes."""
+    return size - math.ceil(similarity * size - 1e-9) + 1 if size else 0
 
 
-def estimated(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard likeness of two shingle sets from their least hashes; exact where neither has more than LEAST."""
-    both = np.union1d(a, b)
-    if a.size >= LEAST or b.size >= LEAST:
-        both = both[:LEAST]
-    shared = np.intersect1d(a, b, assume_unique=True)
-    return float(np.isin(both, shared, assume_unique=True).sum()) / max(1, both.size)
+def _whole_sets(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(id, hashes): all shingle hashes of the texts of ``wanted`` (id, hi, lo, __least)."""
+    rows = df.select(F.col(f"`{id_col}`").alias("__key"), text_of(text_col).alias("__text"))
+    rows = rows.join(wanted.select("__least").distinct(), F.col("__key").eqNullSafe(F.col("__least")), "left_semi").select("__text")
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            digests = [text_digest(t) for t in texts]
+            columns = [pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array([shingle_set(t, words) for t in texts], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["hi", "lo", "hashes"])
+
+    # a repeated id may have other texts, too; the digest tells
+    found = rows.mapInArrow(run, "hi long, lo long, hashes array<long>")
+    return found.join(wanted, ["hi", "lo"]).groupBy("id").agg(F.first("hashes").alias("hashes"))
+
+
+def _keys(df: DataFrame, distinct: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(key, id, bits): the prefix of each shingle set. The order is by hash, but shingles in the prefixes of over CROWD texts
+    (license lines and the like) come last, the rarer first, so that few texts share a key that are not alike."""
+    first = distinct.select("id", "bits", "count", F.explode("prefix").alias("key"))
+    crowded = staged(first.groupBy("key").count().filter(F.col("count") > CROWD).select("key"))
+    touched = staged(first.join(crowded, "key", "left_semi").select("id").distinct())
+    if touched.isEmpty():
+        return first.select("key", "id", "bits")
+    whole = lambda ids: _whole_sets(df, distinct.join(ids, "id").select("id", "hi", "lo", "__least"), id_col, text_col, words)
+    common = staged(whole(touched).select(F.explode("hashes").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWD))
+    moved = staged(first.join(common, "key", "left_semi").select("id").distinct())
+    hashes = whole(moved).select("id", F.explode("hashes").alias("key")).join(common, "key", "left")
+    order = hashes.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key"))).alias("order"))
+    later = order.join(distinct.select("id", "bits", "count"), "id").select("id", "bits", F.explode(F.slice("order", F.lit(1), F.col("count"))).alias("o"))
+    stay = first.join(moved, "id", "left_anti").select("key", "id", "bits")
+    return staged(stay.unionAll(later.select("o.key", "id", "bits")))
 
 
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``id_col`` and ``component_id`` of every row: classes of documents whose sets of word shingles have a likeness of
-    ``similarity`` or more, found by SimHash.
+    ``similarity`` or more.
 
-    At that likeness of five-word shingles, fingerprints of the shingles differ in 10 of 64 bits, too many for selective
-    chains; those of the distinct words differ in 4 or 5. A document has four of these. A chain of six equal consecutive
-    segments on any of the rings makes two documents candidates (found by 98 in 100 at the limit, more above it); they are
-    checked on another ring and then by their shingles, through the 256 least hashes, which is exact for documents of up
-    to 256 shingles and has a standard error of 0.025 above. Equal texts meet by a digest of their words. Key groups of
-    over CROWD texts are linked through the text nearest to their majority, see candidates.py.
+    At that likeness, fingerprints of the shingles differ in 10 of 64 bits, too many for selective chains, and those of the
+    words differ as much where whole blocks are edited. So candidates meet by the first fifth of their shingle hashes, which
+    two such sets can't have without a common one, however they were edited. Their SimHash fingerprints, with a wide margin,
+    spare most others the exact check: the Jaccard likeness of all shingle hashes of both texts. Equal texts meet by a digest
+    of their words. How keys that over CROWD texts share are worked off is told in candidates.py.
 
     Texts without words are equal texts; null counts as empty."""
     rows = df.select(F.col(f"`{id_col}`").alias(id_col), text_of(text_col).alias("__text"))
-    names = [f"r{r}" for r in range(RINGS)]
 
     def run(batches):
         for batch in batches:
-            hi, lo, rings, least = [], [], [], []
+            digests, bits, counts, prefixes = [], [], [], []
             for text in batch.column(1).to_pylist():
-                tokens = text.encode("utf-8", "replace").lower().split()
-                whole = xxhash.xxh3_128_digest(b" ".join(tokens))
-                hi.append(int.from_bytes(whole[:8], "big", signed=True))
-                lo.append(int.from_bytes(whole[8:], "big", signed=True))
-                rings.append(word_rings(tokens))
-                least.append(least_hashes(text, words).tobytes())
-            columns = [pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), *(pa.array([x[r] for x in rings], pa.int64()) for r in range(RINGS)), pa.array(least, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[id_col, "hi", "lo", *names, "least"])
-
-    marked = staged(rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, hi long, lo long, " + "".join(f"{c} long, " for c in names) + "least binary"))
-    slim = marked.groupBy("hi", "lo").agg(F.min(id_col).alias("__least"), *[F.min(c).alias(c) for c in names])
+                hashes = shingle_set(text, words)
+                digests.append(text_digest(text))
+                bits.append(majority(hashes.view(np.uint64)))
+                counts.append(prefix_size(hashes.size, similarity))
+                prefixes.append(hashes[: counts[-1]])
+            columns = [pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array(bits, pa.int64()), pa.array(counts, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[id_col, "hi", "lo", "bits", "count", "prefix"])
+
+    marked = staged(rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, hi long, lo long, bits long, count int, prefix array<long>"))
+    slim = marked.groupBy("hi", "lo").agg(F.min(id_col).alias("__least"), *[F.first(c).alias(c) for c in ("bits", "count", "prefix")])
     distinct = staged(slim.withColumn("id", F.monotonically_increasing_id()))
-    width = BITS // SEGMENTS
-    keys = []
-    for r in range(RINGS):
-        for k in range(SEGMENTS):
-            x = F.col(names[r])
-            turned = x if k == 0 else F.shiftleft(x, k * width).bitwiseOR(F.shiftrightunsigned(x, BITS - k * width))
-            keys.append(F.struct((F.shiftrightunsigned(turned, BITS - CHAIN * width) + F.lit((r * SEGMENTS + k) << (CHAIN * width)).cast("long")).alias("key"), F.col(names[(r + 1) % RINGS]).alias("bits")))
-    keyed = distinct.select("id", F.explode(F.array(*keys)).alias("k")).select("k.key", "id", "k.bits")
-    pairs = staged(candidate_pairs(keyed, RING_ALLOWED))
-    needed = pairs.select(F.col("u").alias("id")).unionAll(pairs.select("v")).distinct()
-    # of equal texts any sketch will do, they are the same
-    sketches = marked.join(distinct.join(needed, "id").select("id", "hi", "lo"), ["hi", "lo"]).groupBy("id").agg(F.first("least").alias("least"))
-    sketches = staged(sketches)
-    full = pairs.join(sketches.select(F.col("id").alias("u"), F.col("least").alias("a")), "u").join(sketches.select(F.col("id").alias("v"), F.col("least").alias("b")), "v")
-
-    def check(batches):
-        for batch in batches:
-            us, vs, a, b = (c.to_pylist() for c in batch.columns)
-            keep = [k for k in range(len(us)) if estimated(np.frombuffer(a[k], np.uint32), np.frombuffer(b[k], np.uint32)) >= similarity]
-            yield pa.RecordBatch.from_arrays([pa.array([us[k] for k in keep], pa.int64()), pa.array([vs[k] for k in keep], pa.int64())], names=["u", "v"])
 
-    trees = components(full.select("u", "v", "a", "b").mapInArrow(check, "u long, v long"))
+    def alike(pairs: DataFrame) -> DataFrame:
+        needed = pairs.select(F.col("u").alias("id")).unionAll(pairs.select("v")).distinct()
+        sets = staged(_whole_sets(df, distinct.join(needed, "id").select("id", "hi", "lo", "__least"), id_col, text_col, words))
+        full = pairs.join(sets.select(F.col("id").alias("u"), F.col("hashes").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("hashes").alias("b")), "v")
+        both = full.select("u", "v", F.size("a").alias("a"), F.size("b").alias("b"), F.size(F.array_intersect("a", "b")).alias("n"))
+        return both.filter(F.col("n") >= F.lit(similarity) * (F.col("a") + F.col("b") - F.col("n"))).select("u", "v")
+
+    trees = linked_components(_keys(df, distinct, id_col, text_col, words), SKETCH_ALLOWED, alike)
     rooted = distinct.select("id", "hi", "lo", "__least").join(trees, F.col("id") == F.col("node"), "left").select("hi", "lo", "__least", F.coalesce("root", "id").alias("root"))
     heads = rooted.groupBy("root").agg(F.min("__least").alias("component_id"))
     return marked.select(id_col, "hi", "lo").join(rooted.join(heads, "root").select("hi", "lo", "component_id"), ["hi", "lo"]).select(id_col, "component_id")

@@ -72,3 +72,47 @@ def test_words_between_documents_of_a_mix_keep_their_ids(spark):
     df = spark.createDataFrame([(1, "a b c d e f g", "x"), (1, "a b c d e f g", "x"), (2, "a b c d e f g", "y")], "doc_id long, text string, source string")
     assert [x.doc_id for x in simhash.keep_one(df.withColumn("extra", F.lit(1))).collect()] == [1, 1]
     assert simhash.keep_one(df.limit(0)).count() == 0
+
+
+def blocks():
+    """Pairs (2k, 2k + 1) with an appended, a dropped or a replaced block, of likeness 0.80 to 0.90."""
+    r = random.Random(12)
+    words = ["".join(r.choice("abcdefghijklm") for _ in range(r.randrange(2, 9))) for _ in range(3000)]
+    some = lambda n: [r.choice(words) for _ in range(n)]
+    out = []
+    for k in range(150):
+        base = some(r.randrange(150, 1200))
+        n = len(base) - 4
+        if k % 3 == 0:
+            other = base + some(int(n * r.uniform(0.12, 0.24)))
+        elif k % 3 == 1:
+            other = base[int(n * r.uniform(0.11, 0.19)) :]
+        else:
+            m = int(n * r.uniform(0.06, 0.10))
+            at = r.randrange(n - m)
+            other = base[:at] + some(m) + base[at + m :]
+        out += [" ".join(base), " ".join(other)]
+    return list(enumerate(out))
+
+
+def test_edits_in_blocks_are_found(spark):
+    docs = blocks()
+    want = classes(docs)
+    assert sum(want[d] != d for d in want) >= 140
+    got = {x.doc_id: x.component_id for x in simhash.near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_common_shingles_do_not_hide_near_copies(spark):
+    r = random.Random(14)
+    common = " ".join(f"c{k}" for k in range(60))
+    own = [" ".join(f"w{r.getrandbits(40)}" for _ in range(60)) for _ in range(200)]
+    docs = list(enumerate([f"{common} {x}" for x in own] + [f"{common} {x} end" for x in own[:20]]))
+    got = {x.doc_id: x.component_id for x in simhash.near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {d: d - 200 if d >= 200 else d for d, _ in docs}
+
+
+def test_candidates_may_differ_in_the_sign_bit(spark):
+    keyed = spark.createDataFrame([(1, 10, -(2**63)), (1, 11, 1), (1, 12, -1)], "key long, id long, bits long")
+    assert {(x.u, x.v) for x in candidates.candidate_pairs(keyed, 2).collect()} == {(10, 11)}
+    assert {(x.u, x.v) for x in candidates.rest_pairs(keyed, spark.createDataFrame([], "node long, root long"), 2, crowd=2).collect()} == {(10, 11)}
