@@ -4,12 +4,12 @@ A host's labels are cut at dots, hyphens, underscores and digits; each piece, wh
 is split by a Viterbi search for the words of greatest total log probability under a unigram model. A multinomial naive
 Bayes model scores the words of host and path.
 
-A blocked name is a mixture of block words and ordinary ones, so that words like www or com, which all names have, speak
-little for either class.
+The unigram model counts the words of all pages' texts and url paths, together with the seed words of both classes. It stays
+a table: a piece's substrings are looked up in it by a join, so no vocabulary is cut or sent to the driver.
 
-The unigram model counts the words of all pages' texts and url paths, together with the seed words of both classes. The
-classes' words: the block class has the fixed seed list of advertising, gambling, drug-shop, adult and spam words; the
-allow class has the corpus counts.
+The classes are learned from all pages, as they have no labels: a page is of the block class if a rule blocks it or if no rule
+fits and a word of it is in the fixed seed list of advertising, gambling, drug-shop, adult and spam words; all others are of
+the allow class. The seed words of either class get SEED_WEIGHT more counts in it, every word gets one.
 
 Defined results: a null url, or one without ``://``, has an empty host and path; a host without words is judged by the
 prior (allowed); the last label (the top-level domain) and ``www`` count as words like any other; an empty table gives an
@@ -36,18 +36,12 @@ BLOCK_WORDS = (
 ).split()
 #: Ordinary words of hosts and paths (fixed seed list).
 ALLOW_WORDS = "www blog news example com net org de fr es en en html index page article wiki docs help about mail shop forum home m static images data science school city book library health travel food music sport".split()
-#: Pseudo-counts of a seed word in the unigram model; bound on the model's words, which are the most frequent ones.
+#: Pseudo-counts of a seed word in the unigram model and in its class.
 SEED_COUNT = 1_000
-MOST_WORDS = 200_000
-#: No word of the model is longer; a piece of l letters takes l * LONGEST steps.
-LONGEST = 20
+SEED_WEIGHT = 10
 #: Prior probability that a page is blocked.
 PRIOR = 0.1
 
-#: Share of block words among the words of a blocked name; the rest are ordinary words. How much less likely each further
-#: letter makes it that an ordinary name holds a block word by chance (in nats).
-SHARE, CHANCE = 0.5, 1.5
-
 _PIECE = re.compile(r"[^\W\d_]+")
 
 
@@ -83,95 +77,137 @@ def by_rules(host: Column, path: Column, rules: list[Rule]) -> Column:
 
 @dataclass
 class Model:
-    """Log probabilities of words, for segmenting, and their log odds block : allow."""
-
-    words: dict[str, float]
-    unknown: float
-    odds: dict[str, float]
-    unseen: float
-    prior: float
-
-    def segment(self, piece: str) -> list[str]:
-        """The words of greatest total log probability; of equals the one whose last word is longest. Letters that fit no
-        word are words of one letter at ``unknown`` each."""
-        n = len(piece)
-        best, back = [0.0] + [-math.inf] * n, [0] * (n + 1)
-        for end in range(1, n + 1):
-            for start in range(max(0, end - LONGEST), end):
-                word = self.words.get(piece[start:end], self.unknown if end - start == 1 else None)
-                if word is not None and best[start] + word > best[end]:
-                    best[end], back[end] = best[start] + word, start
-        out = []
-        while n:
-            out.append(piece[back[n] : n])
-            n = back[n]
-        return out[::-1]
-
-    def tokens(self, host: str, path: str) -> list[str]:
-        return [w for piece in _PIECE.findall(f"{host} {path}".lower()) for w in self.segment(piece)]
-
-    def score(self, host: str, path: str) -> float:
-        """Probability that the page is to be blocked."""
-        odds = self.prior + sum(self.odds.get(w, self.unseen) for w in self.tokens(host, path))
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
+    """Tables: ``counts`` (word, n) for segmenting, of ``total`` words, the longest of ``longest`` letters; ``odds`` (word,
+    odds), the log odds block : allow; ``unseen``, those of a word that no page has."""
+
+    counts: DataFrame
+    total: int
+    longest: int
+    odds: DataFrame | None = None
+    unseen: float = 0.0
+    prior: float = math.log(PRIOR / (1 - PRIOR))
+
+
+def segment(piece: str, words: dict[str, float], unknown: float, longest: int) -> list[str]:
+    """The words of greatest total log probability; of equals the one whose last word is longest. Letters that fit no word are
+    words of one letter at ``unknown`` each."""
+    n = len(piece)
+    best, back = [0.0] + [-math.inf] * n, [0] * (n + 1)
+    for end in range(1, n + 1):
+        for start in range(max(0, end - longest), end):
+            word = words.get(piece[start:end], unknown if end - start == 1 else None)
+            if word is not None and best[start] + word > best[end]:
+                best[end], back[end] = best[start] + word, start
+    out = []
+    while n:
+        out.append(piece[back[n] : n])
+        n = back[n]
+    return out[::-1]
 
 
 def word_counts(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """(word, n): how often each word of up to LONGEST letters stands in the pages' texts and url paths, over all pages."""
+    """(word, n): how often each word stands in the pages' texts and url paths, over all pages."""
     _, path = split_url(F.col(f"`{url_col}`"))
     text = F.regexp_replace(F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")), r"(?is)<(script|style)\b.*?</\1>|<[^>]*>", " ")
     words = pages.select(F.explode(F.split(F.lower(F.concat_ws(" ", text, path)), r"[^\p{L}]+")).alias("word"))
-    return words.filter((F.length("word") > 0) & (F.length("word") <= LONGEST)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-
-
-def learn(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Model:
-    """The model of all pages. What comes to the driver are at most MOST_WORDS words, the most frequent ones (whole levels of like frequency)."""
-    counts = staged(word_counts(pages, url_col, html_col).withColumn("level", F.floor(F.log2("n") * 16)))
-    # a few hundred levels of frequency tell from which on there are few enough words; so no partition sends its own best
-    least, seen = math.inf, 0
-    for r in counts.groupBy("level").count().orderBy(F.desc("level")).collect():
-        seen += r["count"]
-        if seen > MOST_WORDS:
-            break
-        least = r.level
-    allow = {r.word: r.n for r in counts.filter(F.col("level") >= F.lit(float(least))).collect()}
-    block = dict.fromkeys(BLOCK_WORDS, SEED_COUNT)
-    for w in ALLOW_WORDS:
-        allow[w] = allow.get(w, 0) + SEED_COUNT
-    for w in BLOCK_WORDS:
-        allow.pop(w, None)
-    both = {w: allow.get(w, 0) + block.get(w, 0) for w in allow.keys() | block.keys()}
-    total = sum(both.values())
-    # every letter is a word of the model; those that the corpus lacks are less likely than any word, and still worse the more there are
-    unknown = math.log(0.01 / total)
-    a, kinds = sum(allow.values()), len(both) + 1
-    odds = {}
-    for w in both:
-        ordinary = (allow.get(w, 0) + 1) / (a + kinds)
-        if w in block:
-            # an ordinary name may hold the letters by chance, the less likely the more they are
-            ordinary = math.exp(-CHANCE * len(w)) / len(block)
-        odds[w] = math.log(SHARE * (w in block) / len(block) + (1 - SHARE) * ordinary) - math.log(ordinary)
-    return Model({w: math.log(n / total) for w, n in both.items()}, unknown, odds, math.log(1 - SHARE), math.log(PRIOR / (1 - PRIOR)))
+    return words.filter(F.length("word") > 0).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def judge(pages: DataFrame, rules: list[Rule], model: Model, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """``id_col``, host, path, rule (null if none fits), verdict, score (the method's, also where a rule decides), words."""
-    shared = pages.sparkSession.sparkContext.broadcast(model)
-    host, path = split_url(F.col(f"`{url_col}`"))
-    rows = pages.select(F.col(f"`{id_col}`").alias(id_col), host.alias("host"), path.alias("path"))
+def seeds(pages: DataFrame) -> DataFrame:
+    """(word, b, a): whether a word is a seed of the block class, and of the allow class."""
+    rows = [(w, int(w in BLOCK_WORDS), int(w in ALLOW_WORDS)) for w in sorted({*BLOCK_WORDS, *ALLOW_WORDS})]
+    return pages.sparkSession.createDataFrame(rows, "word string, b long, a long")
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    """Rows with host and path, and ``key``: their pieces in order, with spaces between."""
+    names = rows.columns
+    h, p = names.index("host"), names.index("path")
 
     def run(batches):
         for batch in batches:
-            known: dict[tuple[str, str], tuple[float, list[str]]] = {}
+            keys = [" ".join(_PIECE.findall(f"{host} {path}".lower())) for host, path in zip(batch.column(h).to_pylist(), batch.column(p).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.string())], names=[*names, "key"])
+
+    return rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", key string")
+
+
+def segmented(keys: DataFrame, model: Model) -> DataFrame:
+    """(key, words) of distinct keys (key)."""
+    longest, total = model.longest, model.total
+    # every letter is a word of the model; those that the corpus lacks are less likely than any word, and still worse the more there are
+    unknown = math.log(0.01 / total)
+    pieces = staged(keys.select(F.explode(F.split("key", " ")).alias("piece")).filter("piece <> ''").distinct())
+
+    def parts(batches):
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(of, pa.string()), pa.array(subs, pa.string())], names=["piece", "word"])
+
+        of, subs, size = [], [], 0
+        for batch in batches:
+            for piece in batch.column(0).to_pylist():
+                seen = set()
+                for start in range(len(piece)):
+                    for end in range(start + 1, min(len(piece), start + longest) + 1):
+                        if (sub := piece[start:end]) not in seen:
+                            seen.add(sub)
+                            of.append(piece)
+                            subs.append(sub)
+                            size += len(piece) + len(sub)
+                    if size > 1_000_000:
+                        yield out()
+                        of, subs, size = [], [], 0
+        yield out()
+
+    def split(batches):
+        for batch in batches:
             out = []
-            for key in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if key not in known:
-                    known[key] = (shared.value.score(*key), shared.value.tokens(*key))
-                out.append(known[key])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], pa.list_(pa.string()))], names=[id_col, "host", "path", "score", "words"])
+            for piece, known in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                out.append(segment(piece, {k["word"]: math.log(k["n"] / total) for k in known or ()}, unknown, longest))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.string()))], names=["piece", "words"])
+
+    known = pieces.mapInArrow(parts, "piece string, word string").join(model.counts, "word").groupBy("piece").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    cuts = pieces.join(known, "piece", "left").select("piece", "known").mapInArrow(split, "piece string, words array<string>")
+    at = keys.select("key", F.posexplode(F.split("key", " ")).alias("at", "piece"))
+    found = at.join(cuts, "piece", "left").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "words"))).alias("all"))
+    return found.select("key", F.flatten(F.transform("all", lambda x: F.coalesce(x["words"], F.array().cast("array<string>")))).alias("words"))
+
+
+def learn(pages: DataFrame, url_col: str = "url", html_col: str = "html", rules: list[Rule] | None = None) -> Model:
+    """The model of all pages; only sums come to the driver."""
+    extra = seeds(pages)
+    both = word_counts(pages, url_col, html_col).unionAll(extra.select("word", F.lit(SEED_COUNT).cast("long").alias("n")))
+    counts = staged(both.groupBy("word").agg(F.sum("n").alias("n")))
+    total, longest = counts.agg(F.sum("n"), F.max(F.length("word"))).first()
+    model = Model(counts, total, longest)
+    host, path = split_url(F.col(f"`{url_col}`"))
+    rows = pages.select(host.alias("host"), path.alias("path"))
+    ruled = rows.withColumn("rule", by_rules(F.col("host"), F.col("path"), RULES if rules is None else rules)["verdict"])
+    pages_of = staged(_keyed(ruled).groupBy("key", "rule").agg(F.count(F.lit(1)).alias("pages")))
+    words_of = segmented(pages_of.select("key").distinct(), model)
+    seeded = F.arrays_overlap("words", F.array(*[F.lit(w) for w in BLOCK_WORDS]))
+    blocked = F.coalesce(F.col("rule") == "block", seeded)
+    judged = pages_of.join(words_of, "key").select(F.when(blocked, F.col("pages")).otherwise(0).alias("b"), F.when(blocked, 0).otherwise(F.col("pages")).alias("a"), F.explode("words").alias("word"))
+    weights = extra.select("word", (F.col("b") * SEED_WEIGHT).alias("b"), (F.col("a") * SEED_WEIGHT).alias("a"))
+    classes = staged(judged.select("word", "b", "a").unionAll(weights).groupBy("word").agg(F.sum("b").alias("b"), F.sum("a").alias("a")))
+    b, a, kinds = classes.agg(F.sum("b"), F.sum("a"), F.count(F.lit(1))).first()
+    # multinomial likelihoods with one more count for every word, and for one that no page has
+    model.unseen = math.log(a + kinds + 1) - math.log(b + kinds + 1)
+    model.odds = classes.select("word", (F.log(F.col("b") + 1) - F.log(F.col("a") + 1) + F.lit(model.unseen)).alias("odds"))
+    return model
+
 
-    scored = rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, host string, path string, score double, words array<string>")
+def judge(pages: DataFrame, rules: list[Rule], model: Model, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """``id_col``, host, path, rule (null if none fits), verdict, score (the method's, also where a rule decides), words."""
+    host, path = split_url(F.col(f"`{url_col}`"))
+    rows = _keyed(pages.select(F.col(f"`{id_col}`").alias(id_col), host.alias("host"), path.alias("path")))
+    words_of = staged(segmented(rows.select("key").distinct(), model))
+    each = words_of.select("key", F.explode("words").alias("word")).groupBy("key", "word").agg(F.count(F.lit(1)).alias("n"))
+    odds = each.join(model.odds, "word", "left").groupBy("key").agg(F.sum(F.col("n") * F.coalesce("odds", F.lit(model.unseen))).alias("odds"))
+    # a sum's last places depend on its order
+    all_odds = F.round(F.coalesce("odds", F.lit(0.0)) + F.lit(model.prior), 9)
+    score = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), all_odds))))
+    scored = rows.join(words_of.join(odds, "key", "left").select("key", "words", score.alias("score")), "key")
     ruled = scored.withColumn("__rule", by_rules(F.col("host"), F.col("path"), rules))
     verdict = F.coalesce(F.col("__rule.verdict"), F.when(F.col("score") > 0.5, "block").otherwise("allow"))
     return ruled.select(id_col, "host", "path", F.col("__rule.rule").alias("rule"), verdict.alias("verdict"), "score", "words")

@@ -94,3 +94,14 @@ def test_features_do_not_depend_on_neighbours():
     together, counts = quality.features(texts)
     alone = np.concatenate([quality.features([t])[0] for t in texts])
     assert np.array_equal(together, alone) and counts.tolist() == [1, 1, 1, 4, 1, 1]
+
+
+def test_words_outside_the_seed_list_speak_for_a_class(spark):
+    # every page at zorgle is blocked by a rule or a seed word, none at plimf is
+    rows = [(k, f"http://zorgle.example.com/en/{k}") for k in range(40)] + [(100 + k, f"http://plimf.example.org/fr/{k}") for k in range(40)] + [(200, "http://zorgle.test/x"), (201, "http://plimf.test/x")]
+    df = spark.createDataFrame([(i, u, "zorgle plimf test") for i, u in rows], "page_id long, url string, html string")
+    model = urls.learn(df)
+    odds = {x.word: x.odds for x in model.odds.collect()}
+    assert odds["zorgle"] > 1 > -1 > odds["plimf"]
+    got = {x.page_id: x for x in urls.judge(df, urls.RULES, model).collect()}
+    assert got[200].words[0] == "zorgle" and got[200].score > got[201].score
