@@ -105,3 +105,11 @@ def test_words_outside_the_seed_list_speak_for_a_class(spark):
     assert odds["zorgle"] > 1 > -1 > odds["plimf"]
     got = {x.page_id: x for x in urls.judge(df, urls.RULES, model).collect()}
     assert got[200].words[0] == "zorgle" and got[200].score > got[201].score
+
+
+def test_rare_and_long_words_are_kept(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    many = " ".join(f"qx{letters[k // 17576]}{letters[k // 676 % 26]}{letters[k // 26 % 26]}{letters[k % 26]}" for k in range(210_000))
+    long = "donaudampfschifffahrtsgesellschaft"
+    df = spark.createDataFrame([(1, f"http://velvetlantern{long}.org/", f"{many} velvet lantern {long}")], "page_id long, url string, html string")
+    assert urls.judge(df, urls.RULES, urls.learn(df)).first().words == ["velvet", "lantern", long, "org"]
