@@ -237,19 +237,26 @@ def _whole_sets(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str, wo
 def _keys(df: DataFrame, distinct: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     """(key, id, bits): the prefix of each shingle set. The order is by hash, but shingles in the prefixes of over CROWD texts
     (license lines and the like) come last, the rarer first, so that few texts share a key that are not alike."""
-    first = distinct.select("id", "bits", "count", F.explode("prefix").alias("key"))
+    first = distinct.select("id", "bits", "count", F.explode(F.slice("prefix", F.lit(1), F.col("count"))).alias("key"))
     crowded = staged(first.groupBy("key").count().filter(F.col("count") > CROWD).select("key"))
     touched = staged(first.join(crowded, "key", "left_semi").select("id").distinct())
     if touched.isEmpty():
         return first.select("key", "id", "bits")
-    whole = lambda ids: _whole_sets(df, distinct.join(ids, "id").select("id", "hi", "lo", "__least"), id_col, text_col, words)
-    common = staged(whole(touched).select(F.explode("hashes").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWD))
+    twice = distinct.select("id", F.explode("prefix").alias("key"))
+    common = staged(twice.join(touched, "id").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWD))
     moved = staged(first.join(common, "key", "left_semi").select("id").distinct())
-    hashes = whole(moved).select("id", F.explode("hashes").alias("key")).join(common, "key", "left")
+    sizes = distinct.join(moved, "id").select("id", "hi", "lo", "__least", "bits", "count", "prefix")
+    found = twice.join(common, "key").groupBy("id").agg(F.collect_list(F.struct("n", "key")).alias("found"))
+    split = sizes.join(found, "id").withColumn("rare", F.array_except("prefix", F.transform("found", lambda x: x["key"])))
+    split = staged(split)
+    # where the first hashes hold too few that are not common, all of the text's take part
+    enough = split.filter(F.size("rare") >= F.col("count")).select("id", "bits", F.explode(F.slice("rare", F.lit(1), F.col("count"))).alias("key"))
+    short = split.filter(F.size("rare") < F.col("count"))
+    hashes = _whole_sets(df, short.select("id", "hi", "lo", "__least"), id_col, text_col, words).select("id", F.explode("hashes").alias("key")).join(common, "key", "left")
     order = hashes.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key"))).alias("order"))
-    later = order.join(distinct.select("id", "bits", "count"), "id").select("id", "bits", F.explode(F.slice("order", F.lit(1), F.col("count"))).alias("o"))
+    later = order.join(short.select("id", "bits", "count"), "id").select("id", "bits", F.explode(F.slice("order", F.lit(1), F.col("count"))).alias("o"))
     stay = first.join(moved, "id", "left_anti").select("key", "id", "bits")
-    return staged(stay.unionAll(later.select("o.key", "id", "bits")))
+    return staged(stay.unionAll(enough.select("key", "id", "bits")).unionAll(later.select("o.key", "id", "bits")))
 
 
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -273,7 +280,7 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
                 digests.append(text_digest(text))
                 bits.append(majority(hashes.view(np.uint64)))
                 counts.append(prefix_size(hashes.size, similarity))
-                prefixes.append(hashes[: counts[-1]])
+                prefixes.append(hashes[: 2 * counts[-1]])  # as much again, for where common ones come last
             columns = [pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array(bits, pa.int64()), pa.array(counts, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[id_col, "hi", "lo", "bits", "count", "prefix"])
 
