@@ -274,21 +274,25 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
 
     def run(batches):
         for batch in batches:
-            digests, bits, counts, prefixes = [], [], [], []
+            digests, bits, sizes, counts, prefixes = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 hashes = shingle_set(text, words)
                 digests.append(text_digest(text))
                 bits.append(majority(hashes.view(np.uint64)))
+                sizes.append(hashes.size)
                 counts.append(prefix_size(hashes.size, similarity))
                 prefixes.append(hashes[: 2 * counts[-1]])  # as much again, for where common ones come last
-            columns = [pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array(bits, pa.int64()), pa.array(counts, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[id_col, "hi", "lo", "bits", "count", "prefix"])
+            columns = [pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array(bits, pa.int64()), pa.array(sizes, pa.int32()), pa.array(counts, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[id_col, "hi", "lo", "bits", "size", "count", "prefix"])
 
-    marked = staged(rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, hi long, lo long, bits long, count int, prefix array<long>"))
-    slim = marked.groupBy("hi", "lo").agg(F.min(id_col).alias("__least"), *[F.first(c).alias(c) for c in ("bits", "count", "prefix")])
+    marked = staged(rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, hi long, lo long, bits long, size int, count int, prefix array<long>"))
+    slim = marked.groupBy("hi", "lo").agg(F.min(id_col).alias("__least"), *[F.first(c).alias(c) for c in ("bits", "size", "count", "prefix")])
     distinct = staged(slim.withColumn("id", F.monotonically_increasing_id()))
 
     def alike(pairs: DataFrame) -> DataFrame:
+        # sets of that likeness can't differ more in size; exact, and cheaper than fetching them
+        sized = pairs.join(distinct.select(F.col("id").alias("u"), F.col("size").alias("x")), "u").join(distinct.select(F.col("id").alias("v"), F.col("size").alias("y")), "v")
+        pairs = staged(sized.filter(F.least("x", "y") >= F.lit(similarity) * F.greatest("x", "y") - 1e-9).select("u", "v"))
         needed = pairs.select(F.col("u").alias("id")).unionAll(pairs.select("v")).distinct()
         sets = staged(_whole_sets(df, distinct.join(needed, "id").select("id", "hi", "lo", "__least"), id_col, text_col, words))
         full = pairs.join(sets.select(F.col("id").alias("u"), F.col("hashes").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("hashes").alias("b")), "v")
