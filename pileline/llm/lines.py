@@ -8,54 +8,45 @@ sets; a distributed union-find gives the components, and the first line (least d
 
 Texts are shuffled once only, to fetch the candidates' lines; everything else moves digests and numbers.
 
-Defined results: a null text has no lines; repeated rows of one document id count as one document whose lines repeat;
-very long lines are hashed whole; an empty table gives an empty result. Other columns are not read.
+Defined results: a null text has no lines; null ids are one id, the least. Rows of one id are told apart, in no set order, so
+that of lines that several of them share one stays; very long lines are hashed whole; an empty table gives an empty result.
+Other columns are not read, and can have any name.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .candidates import linked_components
-from .util import SPACES, staged, text_of
+from .candidates import linked_components, within
+from .util import SPACES, Shelf, free, staged, text_of
 
 SHINGLE = 7
 BANDS, ROWS = 10, 4
 SIMILARITY = 0.8
 #: One-bit sketches of lines of similarity 0.8 differ in 4 of 40 places on average; in more than 12 about once in 50,000.
 ALLOWED = 12
+#: Characters of texts that are worked on at once.
+RUN = 2_000_000
 _A = np.uint32(0x9E3779B1)
 #: Odd multipliers of the hash functions, from a rule.
 _FACTORS = [np.uint32((0x85EBCA6B * (2 * k + 1) + 0xC2B2AE35 * 2 * k) & 0xFFFFFFFF | 1) for k in range(BANDS * ROWS)]
+KEYS = [f"b{k}" for k in range(BANDS)]
 
 
-def normal(line: Column) -> Column:
-    """The line trimmed and in lower case. Trimming the right end walks the whole line, so only lines that end so pay for it."""
-    ends = [line.endswith(c) for c in SPACES]
-    trimmed = F.ltrim(line, F.lit(SPACES))
-    return F.lower(F.when(reduce(or_, ends), F.rtrim(trimmed, F.lit(SPACES))).otherwise(trimmed))
+def normal(line: str) -> str:
+    """The line trimmed and in lower case."""
+    return line.strip(SPACES).lower()
 
 
-def digest(line: Column) -> list[Column]:
-    return [F.xxhash64(line).alias("hi"), F.xxhash64(F.lit("second"), line).alias("lo")]
-
-
-def lines_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """__doc, __no (from 0) and the normal form of every line that is not blank."""
-    lines = df.select(F.col(f"`{id_col}`").alias("__doc"), F.posexplode(F.split(text_of(text_col), "\n")).alias("__no", "__raw"))
-    # the test is on the raw line: one on the normal form would be pushed down and compute that form twice
-    full = lines.filter(F.ltrim("__raw", F.lit(SPACES)) != "")
-    return full.select("__doc", "__no", normal(F.col("__raw")).alias("line"))
-
-
-def signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(bands, bits) of non-empty lines: int64 of (lines, BANDS), and the one-bit sketch as int64."""
+def _minima(lines: list[str]) -> np.ndarray:
+    """(BANDS * ROWS, lines): the least hash of each line's shingles by each hash function."""
     pad = "\0" * (SHINGLE - 1)
     codes = np.frombuffer((pad.join(lines) + pad).encode("utf-32-le", "surrogatepass"), np.uint32)
     n = codes.size - SHINGLE + 1
@@ -72,17 +63,25 @@ def signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     own = np.maximum(1, sizes - SHINGLE + 1)
     first = np.concatenate(([0], np.cumsum(own)[:-1]))
     h = h[np.repeat(starts - first, own) + np.arange(int(own.sum()))]
-    scaled = np.empty_like(h)
-    bands = np.zeros((len(lines), BANDS), np.uint64)
-    bits = np.zeros(len(lines), np.uint64)
+    scaled, out = np.empty_like(h), np.empty((BANDS * ROWS, len(lines)), np.uint32)
     for k, factor in enumerate(_FACTORS):
-        np.multiply(h ^ np.uint32(k * 0x27D4EB2F & 0xFFFFFFFF), factor, out=scaled)
-        least = np.minimum.reduceat(scaled, first).astype(np.uint64)
+        np.multiply(h, factor, out=scaled)
+        np.minimum.reduceat(scaled, first, out=out[k])
+    return out
+
+
+def signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(bands, bits) of non-empty lines: int64 of (lines, BANDS), and the one-bit sketch as int64."""
+    # runs that stay in a core's cache
+    minima = np.concatenate([_minima(lines[a:b]) for a, b in _runs(list(map(len, lines)), 50_000)], axis=1).astype(np.uint64)
+    bands = np.zeros((BANDS, len(lines)), np.uint64)
+    for k in range(BANDS * ROWS):
         band = k // ROWS
-        x = (bands[:, band] ^ least) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band + 1)
-        bands[:, band] = x ^ (x >> np.uint64(29))
-        bits |= ((least * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(63)) << np.uint64(k)
-    return bands.view(np.int64), bits.view(np.int64)
+        x = (bands[band] ^ minima[k]) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band + 1)
+        bands[band] = x ^ (x >> np.uint64(29))
+    ones = (minima * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(63)
+    bits = np.bitwise_or.reduce(ones << np.arange(BANDS * ROWS, dtype=np.uint64)[:, None], axis=0)
+    return bands.T.view(np.int64), bits.view(np.int64)
 
 
 def shingles(line: str) -> set[str]:
@@ -114,118 +113,176 @@ def shingle_numbers(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return h[np.repeat(starts - first, own) + np.arange(int(own.sum()))], own
 
 
-def _sets(lines: list[str], width: np.uint64) -> np.ndarray:
-    """The shingle sets of all lines as sorted numbers: the line's place in the upper ``width`` bits, the shingle below."""
-    numbers, own = shingle_numbers(lines)
-    places = np.repeat(np.arange(len(lines), dtype=np.uint64), own)
-    whole = np.sort((places << (np.uint64(64) - width)) | (numbers >> width))
-    return whole[np.concatenate(([True], whole[1:] != whole[:-1]))]
-
-
-def alike(left: list[str], right: list[str]) -> np.ndarray:
-    """The Jaccard likeness of the shingle sets of each pair of non-empty lines (left[k], right[k])."""
-    width = np.uint64(max(1, (len(left) - 1).bit_length()))
-    a, b = _sets(left, width), _sets(right, width)
-    both = np.sort(np.concatenate((a, b)), kind="stable")  # two sorted runs: a merge
-    shared = both[:-1][both[1:] == both[:-1]]
-    na, nb, ns = (np.bincount((x >> (np.uint64(64) - width)).astype(np.int64), minlength=len(left)) for x in (a, b, shared))
-    return ns / (na + nb - ns)
+def shingle_sets(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The shingle set of each non-empty line as ascending numbers of 52 bits, one line after the other, and their sizes."""
+    values, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for start in range(0, len(lines), 1 << 12):
+        some = lines[start : start + (1 << 12)]
+        numbers, own = shingle_numbers(some)
+        whole = np.sort((np.repeat(np.arange(len(some), dtype=np.uint64), own) << np.uint64(52)) | (numbers >> np.uint64(12)))
+        whole = whole[np.concatenate(([True], whole[1:] != whole[:-1]))]
+        values.append(whole & np.uint64((1 << 52) - 1))
+        sizes.append(np.bincount((whole >> np.uint64(52)).astype(np.int64), minlength=len(some)))
+    return np.concatenate(values), np.concatenate(sizes)
 
 
-def _runs(items: list[str], most: int = 500_000):
+def _runs(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
     """(start, stop) of runs of about ``most`` characters."""
     start, size = 0, 0
-    for i, x in enumerate(items):
-        if size and size + len(x) > most:
+    for i, x in enumerate(sizes):
+        if size and size + x > most:
             yield start, i
             start, size = i, 0
-        size += len(x)
-    if items:
-        yield start, len(items)
+        size += x
+    if sizes:
+        yield start, len(sizes)
+
+
+def _told_apart(df: DataFrame, id_col: str, copy: str) -> tuple[DataFrame, bool]:
+    """``df`` with a column ``copy`` that tells rows of one id apart, and whether an id repeats. Rows of repeated ids are staged,
+    so that the column stays what it is; all others have 0."""
+    own = F.col(f"`{id_col}`")
+    (name,) = free(df, "__again")
+    again = staged(df.groupBy(own.alias(name)).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(name))
+    if again.isEmpty():
+        return df.withColumn(copy, F.lit(0).cast("long")), False
+    twice = own.eqNullSafe(F.col(name))
+    copies = staged(df.join(again, twice, "left_semi").withColumn(copy, F.monotonically_increasing_id()))
+    return df.join(again, twice, "left_anti").withColumn(copy, F.lit(0).cast("long")).unionByName(copies), True
+
+
+def _documents(df: DataFrame, id_col: str, text_col: str, copy: str) -> DataFrame:
+    return df.select(F.col(f"`{id_col}`").alias("__doc"), F.col(copy).alias("__copy"), text_of(text_col).alias("__text"))
 
 
-def _signed(lines: DataFrame) -> DataFrame:
-    """Of (__doc, __no, line): __doc, __no, hi, lo, b0 .. b9, bits."""
-    names = [*(f"b{k}" for k in range(BANDS)), "bits"]
-    rows = lines.select("__doc", "__no", *digest(F.col("line")), "line")
+def _lines(docs: DataFrame, signed: bool) -> DataFrame:
+    """Of every line that is not blank: __doc, __copy, __no (from 0), digest hi and lo; signed: also b0 .. b9 and bits."""
+    names = [*KEYS, "bits"] if signed else []
+    rows = docs.select("__doc", "__copy", "__text")
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            texts = batch.column(4).to_pylist()
-            if texts:
-                parts = [signatures(texts[a:b]) for a, b in _runs(texts)]
-                bands, bits = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-                columns = [pa.array(np.ascontiguousarray(bands[:, k])) for k in range(BANDS)] + [pa.array(bits)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:4], *columns], names=["__doc", "__no", "hi", "lo", *names])
+            sizes = pc.utf8_length(batch.column(2)).to_pylist()
+            for start, stop in _runs(sizes, RUN):
+                of, nos, lines = [], [], []
+                for k, text in enumerate(batch.column(2).slice(start, stop - start).to_pylist()):
+                    for no, line in enumerate(text.lower().split("\n")):
+                        if line := line.strip(SPACES):
+                            of.append(start + k)
+                            nos.append(no)
+                            lines.append(line)
+                if not lines:
+                    continue
+                digests = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in lines]), ">i8").astype(np.int64).reshape(-1, 2)
+                columns = [pa.array(np.ascontiguousarray(digests[:, k])) for k in (0, 1)]
+                if signed:
+                    bands, bits = signatures(lines)
+                    columns += [pa.array(np.ascontiguousarray(bands[:, k])) for k in range(BANDS)] + [pa.array(bits)]
+                take = pa.array(of, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(nos, pa.int32()), *columns], names=["__doc", "__copy", "__no", "hi", "lo", *names])
 
     kind = rows.schema["__doc"].dataType.simpleString()
-    return rows.mapInArrow(run, f"__doc {kind}, __no int, hi long, lo long, " + ", ".join(f"{c} long" for c in names))
+    return rows.mapInArrow(run, f"__doc {kind}, __copy long, __no int, hi long, lo long" + "".join(f", {c} long" for c in names))
 
 
-def _verified(df: DataFrame, pairs: DataFrame, distinct: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
-    """The pairs whose lines' shingle sets have a Jaccard likeness of ``similarity`` or more."""
-    needed = pairs.select(F.col("u").alias("id")).unionAll(pairs.select("v")).distinct()
-    wanted = distinct.join(needed, "id").groupBy("__doc").agg(F.collect_list(F.struct("__no", "id")).alias("__want"))  # no more than the document's lines
-    docs = df.select(F.col(f"`{id_col}`").alias("__doc"), F.split(text_of(text_col), "\n").alias("__lines")).join(wanted, "__doc")
+class _Place:
+    """Documents, rows and line numbers as one column that sorts as they do: a number where ids are whole numbers that do not
+    repeat, which can be aggregated without a sort, else a struct."""
+
+    def __init__(self, docs: DataFrame, repeated: bool):
+        self.kind = docs.schema["__doc"].dataType
+        self.width = F.lit(str(1 << 31)).cast("decimal(10,0)")
+        self.number = not repeated and self.kind.typeName() in ("byte", "short", "integer", "long")
+
+    def of(self) -> Column:
+        if not self.number:
+            return F.struct("__doc", "__copy", "__no")
+        doc = F.coalesce(F.col("__doc").cast("decimal(20,0)"), F.lit(str(-(1 << 63) - 1)).cast("decimal(20,0)"))
+        return (doc * self.width + F.col("__no")).cast("decimal(38,0)")
+
+    def doc(self, at: Column) -> Column:
+        if not self.number:
+            return at["__doc"]
+        whole = ((at - self.no(at)) / self.width).cast("decimal(20,0)")
+        return F.when(whole >= F.lit(str(-(1 << 63))).cast("decimal(20,0)"), whole.cast(self.kind))
+
+    def no(self, at: Column) -> Column:
+        return F.pmod(at, self.width).cast("int") if self.number else at["__no"]
+
+    def copy(self, at: Column) -> Column:
+        return F.lit(0).cast("long") if self.number else at["__copy"]
+
+
+def _raw_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, payload): the line of each of ``wanted`` (id, __doc, __copy, __no)."""
+    lists = wanted.groupBy(F.col("__doc").alias("__d"), F.col("__copy").alias("__c")).agg(F.collect_list(F.struct("__no", "id")).alias("__want"))  # no more than the document's lines
+    met = docs.join(lists, F.col("__doc").eqNullSafe(F.col("__d")) & (F.col("__copy") == F.col("__c"))).select(F.split("__text", "\n").alias("__lines"), "__want")
     # lines are taken inside the list, so that no row carries the document's other lines
-    each = F.transform("__want", lambda w: F.struct(w["id"].alias("id"), F.get("__lines", w["__no"]).alias("raw")))
-    found = docs.select(F.explode(each).alias("w")).select("w.id", "w.raw").filter("raw is not null")
-    # a repeated id with other texts may lack the line: the least of those found stands for it
-    texts = staged(found.select("id", normal(F.col("raw")).alias("line")).groupBy("id").agg(F.min("line").alias("line")))
-    full = pairs.join(texts.select(F.col("id").alias("u"), F.col("line").alias("a")), "u").join(texts.select(F.col("id").alias("v"), F.col("line").alias("b")), "v")
+    each = F.transform("__want", lambda w: F.struct(w["id"].alias("id"), F.get("__lines", w["__no"]).alias("payload")))
+    return met.select(F.explode(each).alias("w")).select("w.id", "w.payload")
 
-    def run(batches):
-        for batch in batches:
-            us, vs = batch.columns[:2]
-            a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            if a:
-                likeness = np.concatenate([alike(a[start:stop], b[start:stop]) for start, stop in _runs(a, 100_000)])
-                keep = pa.array(np.flatnonzero(likeness >= similarity))
-                yield pa.RecordBatch.from_arrays([us.take(keep), vs.take(keep)], names=["u", "v"])
-
-    return full.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
-
-
-def line_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """Classes of more than one line: the digest (hi, lo) of every member with the class's first line (first_doc, first_no)
-    and the number of lines in it (class_lines)."""
-    sides = [f"b{k}" for k in range(BANDS)]
-    grouped = _signed(lines_of(df, id_col, text_col)).groupBy("hi", "lo").agg(
-        F.min(F.struct("__doc", "__no")).alias("__at"), F.count(F.lit(1)).alias("__n"), *[F.min(c).alias(c) for c in [*sides, "bits"]]
-    )
-    distinct = staged(grouped.select("*", "__at.*").drop("__at").withColumn("id", F.monotonically_increasing_id()))
-    keyed = distinct.select("id", "bits", F.explode(F.array(*sides)).alias("key")).select("key", "id", "bits")
-    slim = distinct.select("id", "hi", "lo", "__doc", "__no", "__n")
-    trees = linked_components(keyed, ALLOWED, lambda pairs: _verified(df, pairs, slim, id_col, text_col, similarity))
-    rooted = slim.join(trees, slim["id"] == trees["node"], "left").select("hi", "lo", "__doc", "__no", "__n", F.coalesce("root", "id").alias("root"))
-    first = F.struct("__doc", "__no")
-    heads = rooted.groupBy("root").agg(F.min(first).alias("first"), F.sum("__n").alias("class_lines")).filter("class_lines > 1")
-    return rooted.join(heads, "root").select("hi", "lo", F.col("first.__doc").alias("first_doc"), F.col("first.__no").alias("first_no"), "class_lines")
+
+def _line_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return shingle_sets([normal(x) for x in column.to_pylist()])
+
+
+def _classes(docs: DataFrame, place: _Place, similarity: float) -> DataFrame:
+    """Classes of more than one line: the digest (hi, lo) of every member with the class's first line (first_doc, first_copy,
+    first_no) and the number of lines in it (class_lines)."""
+    shelf = Shelf(docs.sparkSession)
+    # columns that follow from the digest are the same in all rows of a group
+    grouped = _lines(docs, True).groupBy("hi", "lo").agg(F.min(place.of()).alias("at"), F.count(F.lit(1)).alias("n"), *[F.min(c).alias(c) for c in [*KEYS, "bits"]])
+    distinct = shelf.put(grouped.withColumn("id", F.monotonically_increasing_id()))
+
+    def fetch(ids: DataFrame) -> DataFrame:
+        at = F.col("at")
+        return _raw_lines(docs, distinct.join(ids, "id").select("id", place.doc(at).alias("__doc"), place.copy(at).alias("__copy"), place.no(at).alias("__no")))
+
+    trees = linked_components(distinct.select("id", "bits", *KEYS), KEYS, within(ALLOWED), fetch, _line_sets, similarity)
+    named = trees.select(F.col("node").alias("id"), "root").unionAll(trees.select(F.col("root").alias("id"), "root").distinct())
+    # lines that are alone need no class
+    members = distinct.select("id", "hi", "lo", "at", "n").join(named, "id", "left").filter("n > 1 OR root IS NOT NULL")
+    members = shelf.put(members.select("hi", "lo", "at", "n", F.coalesce("root", "id").alias("root")))
+    first = F.col("first")
+    heads = members.groupBy("root").agg(F.min("at").alias("first"), F.sum("n").alias("class_lines"))
+    heads = heads.select("root", place.doc(first).alias("first_doc"), place.copy(first).alias("first_copy"), place.no(first).alias("first_no"), "class_lines")
+    out = staged(members.join(heads, "root").drop("root", "at", "n"))
+    shelf.clear()
+    return out
+
+
+def _judged(docs: DataFrame, repeated: bool, similarity: float) -> DataFrame:
+    """__doc, __copy, __no, first_doc, first_copy, first_no, class_lines (null: alone), kept."""
+    joined = _lines(docs, False).join(_classes(docs, _Place(docs, repeated), similarity), ["hi", "lo"], "left").drop("hi", "lo")
+    own = F.col("first_doc").eqNullSafe(F.col("__doc")) & (F.col("first_copy") == F.col("__copy")) & (F.col("first_no") == F.col("__no"))
+    return joined.withColumn("kept", F.col("class_lines").isNull() | own)
 
 
 def judged_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """Every line that is not blank: ``id_col``, line_no (from 0), class_doc and class_line (the first line of its class,
     itself if it is alone), class_lines (lines in the class), kept (whether it is that first line)."""
-    classes = staged(line_classes(df, id_col, text_col, similarity))
-    rows = lines_of(df, id_col, text_col).select("__doc", "__no", *digest(F.col("line")))
-    out = rows.join(classes, ["hi", "lo"], "left")
+    (copy,) = free(df, "__copy")
+    rows, repeated = _told_apart(df, id_col, copy)
+    docs = _documents(rows, id_col, text_col, copy)
     alone = F.col("class_lines").isNull()
-    return out.select(
-        F.col("__doc").alias(id_col), F.col("__no").alias("line_no"), F.coalesce("first_doc", "__doc").alias("class_doc"), F.coalesce("first_no", "__no").alias("class_line"),
-        F.coalesce("class_lines", F.lit(1)).cast("long").alias("class_lines"), (alone | ((F.col("first_doc") == F.col("__doc")) & (F.col("first_no") == F.col("__no")))).alias("kept"),
+    return _judged(docs, repeated, similarity).select(
+        F.col("__doc").alias(id_col), F.col("__no").alias("line_no"), F.when(alone, F.col("__doc")).otherwise(F.col("first_doc")).alias("class_doc"),
+        F.when(alone, F.col("__no")).otherwise(F.col("first_no")).alias("class_line"), F.coalesce("class_lines", F.lit(1)).cast("long").alias("class_lines"), "kept",
     )
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``df`` with only the kept (and blank) lines in their texts; documents of which no line is left go, as do
-    none that had no line to begin with."""
-    dropped = judged_lines(df, id_col, text_col, similarity).filter(~F.col("kept")).groupBy(F.col(f"`{id_col}`").alias("__d")).agg(F.collect_set("line_no").alias("__drop"))
-    drop = staged(dropped)
+    none that had no line to begin with. Rows of one id are told apart."""
+    copy, d, c, drop, new = free(df, "__copy", "__d", "__c", "__drop", "__new")
+    rows, repeated = _told_apart(df, id_col, copy)
+    judged = _judged(_documents(rows, id_col, text_col, copy), repeated, similarity).filter(~F.col("kept"))
+    dropped = staged(judged.groupBy(F.col("__doc").alias(d), F.col("__copy").alias(c)).agg(F.collect_set("__no").alias(drop)))
+    joined = rows.join(dropped, F.col(f"`{id_col}`").eqNullSafe(F.col(d)) & (F.col(copy) == F.col(c)), "left")
     text = F.col(f"`{text_col}`").cast("string")
-    joined = df.join(drop, df[f"`{id_col}`"].eqNullSafe(drop["__d"]), "left")
     lines = F.split(text, "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__drop")  # by a hash set, in order
-    new = F.when(F.col("__drop").isNull(), text).otherwise(F.array_join(F.transform(left, lambda k: F.get(lines, k)), "\n"))
-    gone = F.col("__drop").isNotNull() & (F.btrim(new, F.lit(SPACES)) == "")
-    out = joined.withColumn("__new", new).filter(~F.coalesce(gone, F.lit(False)))
-    return out.select(*[F.col("__new").alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns])
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drop)  # by a hash set, in order
+    kept = F.when(F.col(drop).isNull(), text).otherwise(F.array_join(F.transform(left, lambda k: F.get(lines, k)), "\n"))
+    gone = F.col(drop).isNotNull() & (F.btrim(F.col(new), F.lit(SPACES)) == "")
+    out = joined.withColumn(new, kept).filter(~F.coalesce(gone, F.lit(False)))
+    return out.select(*[F.col(new).alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns])

@@ -17,18 +17,19 @@ rows each get a row; only the id and the text are read.
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .candidates import linked_components
 from .components import components
-from .util import staged, text_of
+from .util import Shelf, free, staged, text_of
 
 BITS = 64
 SEGMENTS = 16
@@ -198,11 +199,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 #: near_copies(): bits in which the SimHash fingerprints of candidates may differ. At a likeness of 0.8 they differ in 10 of 64
 #: on average, in more than 26 about once in ten million pairs.
 SKETCH_ALLOWED = 26
+#: near_copies(): two sets of likeness 0.8 share a band with probability 1 - (1 - 0.8 ** 5) ** 20 = 0.9996.
+BANDS, ROWS = 20, 5
+KEYS = [f"b{k}" for k in range(BANDS)]
+#: Bytes of texts that are worked on at once.
+RUN = 1_000_000
+#: Odd multipliers of the hash functions, from a rule.
+_FACTORS = [np.uint32((0x9E3779B1 * (2 * k + 1) + 0x85EBCA6A * k) & 0xFFFFFFFF | 1) for k in range(BANDS * ROWS)]
+_LOW = np.uint64((1 << 52) - 1)
 
 
-def shingle_set(text: str, words: int) -> np.ndarray:
-    """The distinct shingle hashes, in signed order."""
-    return np.unique(shingle_hashes(text, words).view(np.int64))
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 def text_digest(text: str) -> tuple[int, int]:
@@ -211,52 +221,90 @@ def text_digest(text: str) -> tuple[int, int]:
     return int.from_bytes(whole[:8], "big", signed=True), int.from_bytes(whole[8:], "big", signed=True)
 
 
-def prefix_size(size: int, similarity: float) -> int:
-    """So many first hashes of a set of ``size``, in any order that is the same for all sets: two sets of that likeness share
-    one of them, as they share at least ``similarity * size`` hashes."""
-    return size - math.ceil(similarity * size - 1e-9) + 1 if size else 0
+def shingle_sets(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The set of word shingles of each text (at most 4,096) as ascending numbers of 52 bits, one text after the other, and
+    their sizes. A-Z are lower-cased; fewer words make one shingle; none make an empty set."""
+    tokens = [t.encode("utf-8", "replace").lower().split() for t in texts]
+    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    if not sizes.sum():
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    digest = xxhash.xxh3_64_intdigest
+    of = np.fromiter((digest(w) for some in tokens for w in some), np.uint64, int(sizes.sum()))
+    owner, own = np.repeat(np.arange(sizes.size), sizes), np.maximum(sizes - words + 1, np.minimum(sizes, 1))
+    starts = np.cumsum(sizes) - sizes
+    first = np.repeat(starts - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))
+    h = np.zeros(first.size, np.uint64)
+    for k in range(words):  # a text of fewer words has one shingle of what it has
+        at = first + k
+        inside = at < (starts + sizes)[owner[first]]
+        h = np.where(inside, h * np.uint64(0x9E3779B97F4A7C15) + of[np.minimum(at, of.size - 1)], h)
+    whole = np.sort((owner[first].astype(np.uint64) << np.uint64(52)) | (_mixed(h) >> np.uint64(12)))
+    whole = whole[np.concatenate(([True], whole[1:] != whole[:-1]))]
+    return whole & _LOW, np.bincount((whole >> np.uint64(52)).astype(np.int64), minlength=len(texts))
+
+
+def band_keys(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """(BANDS, sets): the keys of each set, 0 for an empty one."""
+    out = np.zeros((BANDS, sizes.size), np.uint64)
+    full = np.flatnonzero(sizes)
+    if full.size:
+        h, first = (_mixed(values) >> np.uint64(32)).astype(np.uint32), (np.cumsum(sizes) - sizes)[full]
+        scaled, bands = np.empty_like(h), np.zeros((BANDS, full.size), np.uint64)
+        for k, factor in enumerate(_FACTORS):
+            np.multiply(h, factor, out=scaled)
+            band = k // ROWS
+            x = (bands[band] ^ np.minimum.reduceat(scaled, first)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band + 1)
+            bands[band] = x ^ (x >> np.uint64(29))
+        out[:, full] = bands
+    return out
+
+
+def within_ring(tau: int) -> Callable[[np.ndarray], np.ndarray]:
+    """Whether at most ``tau`` bits are set in the difference of two fingerprints: first whether from some segment on all chains
+    stay within their budgets, as from one they must, then the whole count."""
+
+    def near(diff: np.ndarray) -> np.ndarray:
+        good = np.zeros(diff.size, bool)
+        for first in range(SEGMENTS):
+            rest = np.flatnonzero(~good)
+            good[rest[chain_holds(diff[rest], np.full(rest.size, first, np.int64), tau)]] = True
+        return good & (np.bitwise_count(diff) <= tau)
+
+    return near
+
+
+def _runs(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """Texts in runs of about RUN bytes and at most 4,096, each with its place."""
+    start, size, sizes = 0, 0, pc.binary_length(column).to_pylist()
+    for i, n in enumerate(sizes):
+        if i > start and (size + n > RUN or i - start == 1 << 12):
+            yield start, column.slice(start, i - start).to_pylist()
+            start, size = i, 0
+        size += n
+    if sizes:
+        yield start, column.slice(start).to_pylist()
 
 
 def _whole_sets(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, hashes): all shingle hashes of the texts of ``wanted`` (id, hi, lo, __least)."""
+    """(id, payload): the shingle sets of the texts of ``wanted`` (id, hi, lo, __least)."""
     rows = df.select(F.col(f"`{id_col}`").alias("__key"), text_of(text_col).alias("__text"))
     rows = rows.join(wanted.select("__least").distinct(), F.col("__key").eqNullSafe(F.col("__least")), "left_semi").select("__text")
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            digests = [text_digest(t) for t in texts]
-            columns = [pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array([shingle_set(t, words) for t in texts], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["hi", "lo", "hashes"])
+            for _, texts in _runs(batch.column(0)):
+                digests = [text_digest(t) for t in texts]
+                values, sizes = shingle_sets(texts, words)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(values.astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), lists], names=["hi", "lo", "payload"])
 
     # a repeated id may have other texts, too; the digest tells
-    found = rows.mapInArrow(run, "hi long, lo long, hashes array<long>")
-    return found.join(wanted, ["hi", "lo"]).groupBy("id").agg(F.first("hashes").alias("hashes"))
-
-
-def _keys(df: DataFrame, distinct: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(key, id, bits): the prefix of each shingle set. The order is by hash, but shingles in the prefixes of over CROWD texts
-    (license lines and the like) come last, the rarer first, so that few texts share a key that are not alike."""
-    first = distinct.select("id", "bits", "count", F.explode(F.slice("prefix", F.lit(1), F.col("count"))).alias("key"))
-    crowded = staged(first.groupBy("key").count().filter(F.col("count") > CROWD).select("key"))
-    touched = staged(first.join(crowded, "key", "left_semi").select("id").distinct())
-    if touched.isEmpty():
-        return first.select("key", "id", "bits")
-    twice = distinct.select("id", F.explode("prefix").alias("key"))
-    common = staged(twice.join(touched, "id").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWD))
-    moved = staged(first.join(common, "key", "left_semi").select("id").distinct())
-    sizes = distinct.join(moved, "id").select("id", "hi", "lo", "__least", "bits", "count", "prefix")
-    found = twice.join(common, "key").groupBy("id").agg(F.collect_list(F.struct("n", "key")).alias("found"))
-    split = sizes.join(found, "id").withColumn("rare", F.array_except("prefix", F.transform("found", lambda x: x["key"])))
-    split = staged(split)
-    # where the first hashes hold too few that are not common, all of the text's take part
-    enough = split.filter(F.size("rare") >= F.col("count")).select("id", "bits", F.explode(F.slice("rare", F.lit(1), F.col("count"))).alias("key"))
-    short = split.filter(F.size("rare") < F.col("count"))
-    hashes = _whole_sets(df, short.select("id", "hi", "lo", "__least"), id_col, text_col, words).select("id", F.explode("hashes").alias("key")).join(common, "key", "left")
-    order = hashes.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key"))).alias("order"))
-    later = order.join(short.select("id", "bits", "count"), "id").select("id", "bits", F.explode(F.slice("order", F.lit(1), F.col("count"))).alias("o"))
-    stay = first.join(moved, "id", "left_anti").select("key", "id", "bits")
-    return staged(stay.unionAll(enough.select("key", "id", "bits")).unionAll(later.select("o.key", "id", "bits")))
+    found = rows.mapInArrow(run, "hi long, lo long, payload array<long>")
+    return found.join(wanted.select("id", "hi", "lo"), ["hi", "lo"]).groupBy("id").agg(F.first("payload").alias("payload"))
+
+
+def _payload_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.uint64), pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -264,51 +312,48 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     ``similarity`` or more.
 
     At that likeness, fingerprints of the shingles differ in 10 of 64 bits, too many for selective chains, and those of the
-    words differ as much where whole blocks are edited. So candidates meet by the first fifth of their shingle hashes, which
-    two such sets can't have without a common one, however they were edited. Their SimHash fingerprints, with a wide margin,
-    spare most others the exact check: the Jaccard likeness of all shingle hashes of both texts. Equal texts meet by a digest
-    of their words. How keys that over CROWD texts share are worked off is told in candidates.py.
+    words differ as much where whole blocks are edited. So candidates meet by MinHash bands of their shingles, which depend
+    on the likeness only, however a text was edited. SimHash fingerprints, with a wide margin and chains checked first, spare
+    most others the exact check: the Jaccard likeness of all shingle hashes of both texts. Equal texts meet by a digest of
+    their words. How keys that many texts share are worked off is told in candidates.py.
 
-    Texts without words are equal texts; null counts as empty."""
-    rows = df.select(F.col(f"`{id_col}`").alias(id_col), text_of(text_col).alias("__text"))
+    Texts without words are equal texts; null counts as empty; the null id is the greatest. Other columns aren't read."""
+    rows = df.select(F.col(f"`{id_col}`").alias("__key"), text_of(text_col).alias("__text"))
 
     def run(batches):
         for batch in batches:
-            digests, bits, sizes, counts, prefixes = [], [], [], [], []
-            for text in batch.column(1).to_pylist():
-                hashes = shingle_set(text, words)
-                digests.append(text_digest(text))
-                bits.append(majority(hashes.view(np.uint64)))
-                sizes.append(hashes.size)
-                counts.append(prefix_size(hashes.size, similarity))
-                prefixes.append(hashes[: 2 * counts[-1]])  # as much again, for where common ones come last
-            columns = [pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array(bits, pa.int64()), pa.array(sizes, pa.int32()), pa.array(counts, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[id_col, "hi", "lo", "bits", "size", "count", "prefix"])
-
-    marked = staged(rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, hi long, lo long, bits long, size int, count int, prefix array<long>"))
-    slim = marked.groupBy("hi", "lo").agg(F.min(id_col).alias("__least"), *[F.first(c).alias(c) for c in ("bits", "size", "count", "prefix")])
-    distinct = staged(slim.withColumn("id", F.monotonically_increasing_id()))
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        # sets of that likeness can't differ more in size; exact, and cheaper than fetching them
-        sized = pairs.join(distinct.select(F.col("id").alias("u"), F.col("size").alias("x")), "u").join(distinct.select(F.col("id").alias("v"), F.col("size").alias("y")), "v")
-        pairs = staged(sized.filter(F.least("x", "y") >= F.lit(similarity) * F.greatest("x", "y") - 1e-9).select("u", "v"))
-        needed = pairs.select(F.col("u").alias("id")).unionAll(pairs.select("v")).distinct()
-        sets = staged(_whole_sets(df, distinct.join(needed, "id").select("id", "hi", "lo", "__least"), id_col, text_col, words))
-        full = pairs.join(sets.select(F.col("id").alias("u"), F.col("hashes").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("hashes").alias("b")), "v")
-        both = full.select("u", "v", F.size("a").alias("a"), F.size("b").alias("b"), F.size(F.array_intersect("a", "b")).alias("n"))
-        return both.filter(F.col("n") >= F.lit(similarity) * (F.col("a") + F.col("b") - F.col("n"))).select("u", "v")
-
-    trees = linked_components(_keys(df, distinct, id_col, text_col, words), SKETCH_ALLOWED, alike)
+            for start, texts in _runs(batch.column(1)):
+                digests = [text_digest(t) for t in texts]
+                values, sizes = shingle_sets(texts, words)
+                ends = np.cumsum(sizes)
+                spread = _mixed(values)
+                bits = [majority(spread[b - n : b]) if n else 0 for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+                keys = band_keys(values, sizes).view(np.int64)
+                columns = [pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array(bits, pa.int64()), *map(pa.array, keys)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), *columns], names=["__key", "hi", "lo", "bits", *KEYS])
+
+    shelf = Shelf(df.sparkSession)
+    marked = staged(rows.mapInArrow(run, f"__key {rows.schema[0].dataType.simpleString()}, hi long, lo long, bits long" + "".join(f", {c} long" for c in KEYS)))
+    slim = marked.groupBy("hi", "lo").agg(F.min("__key").alias("__least"), *[F.min(c).alias(c) for c in ("bits", *KEYS)])
+    distinct = shelf.put(slim.withColumn("id", F.monotonically_increasing_id()))
+
+    def fetch(ids: DataFrame) -> DataFrame:
+        return _whole_sets(df, staged(distinct.join(ids, "id").select("id", "hi", "lo", "__least")), id_col, text_col, words)
+
+    trees = linked_components(distinct.select("id", "bits", *KEYS), KEYS, within_ring(SKETCH_ALLOWED), fetch, _payload_sets, similarity)
     rooted = distinct.select("id", "hi", "lo", "__least").join(trees, F.col("id") == F.col("node"), "left").select("hi", "lo", "__least", F.coalesce("root", "id").alias("root"))
     heads = rooted.groupBy("root").agg(F.min("__least").alias("component_id"))
-    return marked.select(id_col, "hi", "lo").join(rooted.join(heads, "root").select("hi", "lo", "component_id"), ["hi", "lo"]).select(id_col, "component_id")
+    classes = staged(rooted.join(heads, "root").select("hi", "lo", "component_id"))
+    shelf.clear()
+    return marked.select("__key", "hi", "lo").join(classes, ["hi", "lo"]).select(F.col("__key").alias(id_col), "component_id")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``df``, all columns, of the documents that are the least ids of their classes. Rows of one id stay or go
     together."""
+    (gone_id,) = free(df, "__gone")
     classes = near_copies(df, id_col, text_col, words, similarity)
-    own = F.col("component_id").eqNullSafe(F.col(id_col))
-    gone = staged(classes.groupBy(F.col(id_col).alias("__gone")).agg(F.max(own).alias("own")).filter("NOT own").select("__gone"))
-    return df.join(gone, df[f"`{id_col}`"] == gone["__gone"], "left_anti")
+    key = F.col(f"`{id_col}`")
+    own = F.col("component_id").eqNullSafe(key)
+    gone = staged(classes.groupBy(key.alias(gone_id)).agg(F.max(own).alias("own")).filter("NOT own").select(gone_id))
+    return df.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col(gone_id)), "left_anti")

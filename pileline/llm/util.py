@@ -25,8 +25,11 @@ def word_count(text: Column) -> Column:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; only where that is unset, as in tests, one under /tmp."""
+    """The shared folder named in ``spark.checkpoint.dir``. Where that is unset, as in tests, one under /tmp, but only for a
+    master on this machine: on a cluster executors would each write to a folder of their own."""
     told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not told and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     return told or f"file:///tmp/checkpoints/pileline-{os.getuid()}"
 
 
@@ -41,12 +44,58 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """The same rows from a Parquet table in the shared folder; unlike a checkpoint it is columnar and has a known size."""
+def _filed(df: DataFrame) -> tuple[DataFrame, str]:
+    """The same rows from a new Parquet table in the shared folder, and its path. It goes when the application ends."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
+    _files(spark, path).deleteOnExit(spark._jvm.org.apache.hadoop.fs.Path(path))
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def _files(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """The same rows from a Parquet table in the shared folder; unlike a checkpoint it is columnar and has a known size."""
+    return _filed(df)[0]
+
+
+class Shelf:
+    """Staged tables of one run of an operator, which go as soon as nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.held: list[tuple[DataFrame, str]] = []
+
+    def put(self, df: DataFrame) -> DataFrame:
+        table, path = _filed(df)
+        self.held.append((table, path))
+        return table
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """A staged table that is not of the shelf."""
+        return staged(df)
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table, path in [x for x in self.held if any(x[0] is t for t in tables)]:
+            _files(self.spark, path).delete(self.spark._jvm.org.apache.hadoop.fs.Path(path), True)
+            self.held = [x for x in self.held if x[0] is not table]
+
+    def clear(self) -> None:
+        self.drop(*[t for t, _ in self.held])
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, each made longer until no column of ``df`` has it, in whatever case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def unit_hash(key: Column) -> Column:
