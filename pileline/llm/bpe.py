@@ -15,17 +15,16 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-from array import array
-from collections import defaultdict
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .util import text_of
+from .util import pieces, text_of
 
 #: The split of byte-level BPE (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -62,93 +61,124 @@ class ByteBpe:
             self.bytes_of[k] = bytes(values[c] for c in name) if all(c in values for c in name) else name.encode()
         self.split = regex.compile(PATTERN)
         self.split_special = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.known: dict[str, array] = {}
-
-    def encode_words(self, words: list[str]) -> list[array]:
-        """Ids of each word; the pair index runs over all of them together."""
-        symbols: list[int] = []
-        after: list[int] = []
-        ends: list[int] = []
-        ids = self.byte_ids
-        for word in words:
-            symbols.extend([ids[b] for b in word.encode("utf-8", "surrogatepass")])
-            after.extend(range(len(after) + 1, len(symbols) + 1))
-            if len(symbols) > (ends[-1] if ends else 0):
-                after[-1] = -1
-            ends.append(len(symbols))
-        before = [-1] * len(symbols)
-        where: dict[int, list[int]] = defaultdict(list)
-        merges = self.merges
-        for i, j in enumerate(after):
-            if j >= 0:
-                before[j] = i
-                pair = symbols[i] << _SHIFT | symbols[j]
-                if pair in merges:
-                    where[pair].append(i)
-        active = [(merges[pair][0], pair) for pair in where]
-        heapq.heapify(active)
+        self.known: dict[str | int, bytes] = {}
+        self.whole = {k: int(k).to_bytes(4, "little") for k in self.special.values()}
+        # the merges as sorted pairs with their ranks and results, and by rank
+        keys = np.array(list(self.merges), np.int64)
+        order = np.argsort(keys)
+        self.pairs, self.ranks = keys[order], np.array([r for r, _ in self.merges.values()], np.int64)[order]
+        self.by_rank = {rank: (pair, made) for pair, (rank, made) in self.merges.items()}
+        self.byte_table = np.array(self.byte_ids, np.int32)
+        self.sizes = np.fromiter(map(len, self.bytes_of), np.int64, len(self.bytes_of))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.blob = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+
+    def _index(self, where: dict[int, list[np.ndarray]], active: list[int], left: np.ndarray, right: np.ndarray, at: np.ndarray) -> None:
+        """Adds the places ``at`` of the pairs (left, right) to the lists of those pairs that can be merged."""
+        keys = left.astype(np.int64) << _SHIFT | right
+        place = np.minimum(np.searchsorted(self.pairs, keys), self.pairs.size - 1)
+        good = np.flatnonzero(self.pairs[place] == keys)
+        if not good.size:
+            return
+        ranks = self.ranks[place[good]]
+        order = np.argsort(ranks, kind="stable")
+        ranks, at = ranks[order], at[good[order]]
+        edges = np.flatnonzero(np.concatenate(([True], ranks[1:] != ranks[:-1]))).tolist()
+        for a, b in zip(edges, [*edges[1:], ranks.size], strict=True):
+            rank = int(ranks[a])
+            if rank not in where:
+                where[rank] = []
+                heapq.heappush(active, rank)
+            where[rank].append(at[a:b])
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word as the bytes of int32; the pair index runs over all of them together."""
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        ends = np.cumsum(sizes)
+        symbols = self.byte_table[np.frombuffer(b"".join(raw), np.uint8)]
+        n = symbols.size
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        full = sizes > 0
+        after[ends[full] - 1] = -1
+        before[(ends - sizes)[full]] = -1
+        where: dict[int, list[np.ndarray]] = {}
+        active: list[int] = []
+        inner = np.flatnonzero(after >= 0)
+        self._index(where, active, symbols[inner], symbols[after[inner]], inner)
         while active:
-            pair = heapq.heappop(active)[1]
-            left, right, made = pair >> _SHIFT, pair & _MASK, merges[pair][1]
-            for i in sorted(where.pop(pair)):
-                j = after[i]
-                if symbols[i] != left or j < 0 or symbols[j] != right:
-                    continue
-                symbols[i], symbols[j] = made, -1
-                after[i] = k = after[j]
-                if k >= 0:
-                    before[k] = i
-                    new = made << _SHIFT | symbols[k]
-                    if new in merges:
-                        if new not in where:
-                            heapq.heappush(active, (merges[new][0], new))
-                        where[new].append(i)
-                k = before[i]
-                if k >= 0:
-                    new = symbols[k] << _SHIFT | made
-                    if new in merges:
-                        if new not in where:
-                            heapq.heappush(active, (merges[new][0], new))
-                        where[new].append(k)
-        out, start = [], 0
-        for end in ends:
-            out.append(array("i", [s for s in symbols[start:end] if s >= 0]))
-            start = end
-        return out
+            rank = heapq.heappop(active)
+            pair, made = self.by_rank[rank]
+            left, right = pair >> _SHIFT, pair & _MASK
+            lists = where.pop(rank)
+            at = lists[0] if len(lists) == 1 else np.unique(np.concatenate(lists))
+            at = at[symbols[at] == left]
+            next_ = after[at]
+            good = (next_ >= 0) & (symbols[next_] == right)
+            at, next_ = at[good], next_[good]
+            if left == right and at.size > 1:
+                # of places that overlap, the first goes first
+                taken, free = [], -1
+                for i, j in zip(at.tolist(), next_.tolist(), strict=True):
+                    if i != free:
+                        taken.append(i)
+                        free = j
+                at = np.array(taken, np.int64)
+                next_ = after[at]
+            if not at.size:
+                continue
+            symbols[at], symbols[next_] = made, -1
+            last = after[next_]
+            after[at] = last
+            on = last >= 0
+            before[last[on]] = at[on]
+            first = before[at]
+            up = first >= 0
+            self._index(where, active, np.concatenate((symbols[at[on]], symbols[first[up]])), np.concatenate((symbols[last[on]], symbols[at[up]])), np.concatenate((at[on], first[up])))
+        kept = symbols >= 0
+        counts = np.concatenate(([0], np.cumsum(kept)))
+        flat = symbols[kept].astype("<i4").tobytes()
+        stops = (4 * counts[ends]).tolist()
+        return [flat[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
 
     def _segments(self, text: str) -> list[str]:
         return self.split_special.split(text) if self.split_special and text else [text]
 
-    def encode_batch(self, texts: list[str]) -> list[array]:
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text, int32."""
         known = self.known
         split, special = self.split.findall, self.special
-        parts = [[s if s in special else split(s) for s in self._segments(t)] for t in texts]
-        fresh = {w for doc in parts for seg in doc if not isinstance(seg, str) for w in seg}.difference(known)
+        docs = []
+        for text in texts:
+            segments = self._segments(text)
+            # a special token is told from the words around it by its type
+            docs.append(split(text) if len(segments) == 1 else [w for s in segments for w in ((special[s],) if s in special else split(s))])
+        now = {w for words in docs for w in words}
+        now.difference_update(self.whole)
+        fresh = sorted(now.difference(known))
         if len(known) + len(fresh) > REMEMBERED:
-            now = {w for doc in parts for seg in doc if not isinstance(seg, str) for w in seg}
             for w in list(known)[: len(known) // 2]:
                 if w not in now:
                     del known[w]
-        order = sorted(fresh)
-        known.update(zip(order, self.encode_words(order), strict=True))
-        out = []
-        for doc in parts:
-            ids = array("i")
-            for seg in doc:
-                if isinstance(seg, str):
-                    ids.append(special[seg])
-                else:
-                    for w in seg:
-                        ids += known[w]
-            out.append(ids)
-        return out
+        if fresh:
+            known.update(zip(fresh, self.encode_words(fresh), strict=True))
+        known.update(self.whole)
+        return [np.frombuffer(b"".join([known[w] for w in words]), "<i4") for words in docs]
 
     def encode(self, text: str) -> list[int]:
-        return list(self.encode_batch([text])[0])
+        return self.encode_batch([text])[0].tolist()
+
+    def decode_batch(self, lists: list[np.ndarray]) -> list[str]:
+        """The texts of lists of ids; bytes that are no UTF-8 become U+FFFD."""
+        ids = np.concatenate(lists) if lists else np.zeros(0, np.int64)
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        flat = self.blob[np.arange(int(ends[-1]) if ends.size else 0) + np.repeat(self.starts[ids] - (ends - sizes), sizes)].tobytes()
+        stops = np.concatenate(([0], ends))[np.cumsum([0, *map(len, lists)])].tolist()
+        return [flat[a:b].decode("utf-8", "replace") for a, b in zip(stops[:-1], stops[1:], strict=True)]
 
     def decode(self, ids) -> str:
-        """The text of the ids; bytes that are no UTF-8 become U+FFFD."""
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+        return self.decode_batch([np.asarray(ids, np.int64)])[0]
 
 
 @lru_cache(maxsize=2)
@@ -166,16 +196,8 @@ def read_spec(path: str) -> str:
         return f.read()
 
 
-def _pieces(texts: list[str], most: int = 1_000_000) -> list[list[str]]:
-    """The texts in runs of about ``most`` characters, so that memory follows the run and not the batch."""
-    runs, size = [[]], 0
-    for t in texts:
-        if size and size + len(t) > most:
-            runs.append([])
-            size = 0
-        runs[-1].append(t)
-        size += len(t)
-    return runs
+def _lists(ids: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
 
 
 def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -186,13 +208,9 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     def run(batches):
         bpe = _model(spec.value)
         for batch in batches:
-            flat, offsets = array("i"), array("i", [0])
-            for texts in _pieces(batch.column(1).to_pylist()):
-                for ids in bpe.encode_batch(texts):
-                    flat += ids
-                    offsets.append(len(flat))
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.Array.from_buffers(pa.int32(), len(flat), [None, pa.py_buffer(flat)]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=[id_col, "ids"])
+            for start, texts in pieces(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), _lists(bpe.encode_batch(texts))], names=[id_col, "ids"])
+        bpe.known.clear()
 
     schema = T.StructType([T.StructField(id_col, rows.schema[0].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     return rows.mapInArrow(run, schema)
@@ -204,12 +222,12 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids
     rows = df.select(F.col(f"`{id_col}`").alias(id_col), F.coalesce(F.col(f"`{ids_col}`"), F.array().cast("array<int>")).alias("ids"))
 
     def run(batches):
-        table = _model(spec.value).bytes_of
+        bpe = _model(spec.value)
         for batch in batches:
             lists = batch.column(1)
             flat, at = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
             at = at - at[0]
-            texts = [b"".join(map(table.__getitem__, flat[a:b].tolist())).decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)]
+            texts = bpe.decode_batch([flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)])
             yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(texts, pa.string())], names=[id_col, "ids", "decoded"])
 
     schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in rows.schema], T.StructField("decoded", T.StringType())])
@@ -225,14 +243,10 @@ def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     def run(batches):
         bpe = _model(spec.value)
         for batch in batches:
-            flat, offsets, decoded = array("i"), array("i", [0]), []
-            for texts in _pieces(batch.column(1).to_pylist()):
-                for ids in bpe.encode_batch(texts):
-                    flat += ids
-                    offsets.append(len(flat))
-                    decoded.append(bpe.decode(ids))
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.Array.from_buffers(pa.int32(), len(flat), [None, pa.py_buffer(flat)]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(decoded, pa.string())], names=[id_col, "ids", "decoded"])
+            for start, texts in pieces(batch.column(1)):
+                ids = bpe.encode_batch(texts)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), _lists(ids), pa.array(bpe.decode_batch(ids), pa.string())], names=[id_col, "ids", "decoded"])
+        bpe.known.clear()  # a worker outlives its tasks
 
     schema = T.StructType([T.StructField(id_col, rows.schema[0].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
     return rows.mapInArrow(run, schema)

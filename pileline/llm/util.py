@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +27,25 @@ def word_count(text: Column) -> Column:
     return F.when(bare == "", F.lit(0)).otherwise(F.size(F.split(bare, SPACE_CLASS + "+"))).cast("long")
 
 
+def pieces(column: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int, list]]:
+    """The values of a column of texts or bytes in runs of about ``most`` bytes, each with its place, so that memory follows
+    the run (or one long value) and not the batch."""
+    start, size, sizes = 0, 0, pc.binary_length(column).fill_null(0).to_pylist()
+    for i, n in enumerate(sizes):
+        if size and size + n > most:
+            yield start, column.slice(start, i - start).to_pylist()
+            start, size = i, 0
+        size += n
+    if sizes:
+        yield start, column.slice(start).to_pylist()
+
+
+def each(column: pa.Array) -> Iterator:
+    """The values of a column of texts or bytes, one by one."""
+    for _, some in pieces(column):
+        yield from some
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named in ``spark.checkpoint.dir``. Where that is unset, as in tests, one under /tmp, but only for a
     master on this machine: on a cluster executors would each write to a folder of their own."""
