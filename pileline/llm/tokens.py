@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import text_of
+from .util import each, text_of
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -43,6 +43,7 @@ class UnigramCounter:
                 self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         names = {p for p, _ in pieces}
+        self.longest = max(map(len, names), default=1)
         self.single = {p for p in names if len(p) == 1}
         self.unknown_score = min(s for _, s in pieces) - UNKNOWN_PENALTY
         self.bytes = byte_fallback and all(f"<0x{b:02X}>" in names for b in range(256))
@@ -51,30 +52,32 @@ class UnigramCounter:
         self.known: dict[str, int] = {}
 
     def count_part(self, text: str) -> int:
-        """Pieces of the best division of ``text``, as it stands."""
-        n = len(text)
-        # of each end: best score, pieces, whether the last is unknown, bytes of the unknown run
-        best: list = [(0.0, 0, False)] + [None] * n
-        at: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-        for last, (length, score) in self.automaton.iter(text):
-            at[last + 1].append((last + 1 - length, score))
-        for end in range(1, n + 1):
-            found = None
-            matches = at[end]
-            if text[end - 1] not in self.single:
-                matches = [*matches, (end - 1, None)]
-            for start, score in sorted(matches, key=lambda m: m[0]):
-                before = best[start]
-                total = before[0] + (self.unknown_score if score is None else score)
-                if found is None or total > found[0]:
-                    if score is not None:
-                        found = (total, before[1] + 1, False)
-                    elif self.bytes:
-                        found = (total, before[1] + len(text[start:end].encode("utf-8", "replace")), True)
-                    else:
-                        found = (total, before[1] + (not before[2]), True)
-            best[end] = found
-        return best[n][1]
+        """Pieces of the best division of ``text``, as it stands. Of the ends so far, only as many are kept as the longest piece
+        reaches back."""
+        m, single, least = self.longest + 1, self.single, self.unknown_score
+        # of each end: best score, pieces, whether the last is unknown
+        scores, counts, unknown = [0.0] * m, [0] * m, [False] * m
+        matches = self.automaton.iter(text)  # by their ends, and of one end the longest first
+        last, match = next(matches, (-1, None))
+        for end, sign in enumerate(text, 1):
+            best = None
+            while last == end - 1:
+                length, score = match
+                before = (end - length) % m
+                total = scores[before] + score
+                if best is None or total > best:
+                    best, n = total, counts[before] + 1
+                last, match = next(matches, (-1, None))
+            own = end % m
+            unknown[own] = False
+            if sign not in single:
+                before = (end - 1) % m
+                total = scores[before] + least
+                if best is None or total > best:
+                    best, unknown[own] = total, True
+                    n = counts[before] + (len(sign.encode("utf-8", "replace")) if self.bytes else not unknown[before])
+            scores[own], counts[own] = best, n
+        return counts[len(text) % m]
 
     def count(self, text: str) -> int:
         """Pieces of a text, after a leading U+2581 and the replacement of spaces."""
@@ -149,7 +152,8 @@ def count_tokens(df: DataFrame, pieces: list[tuple[str, float]], id_col: str = "
     def run(batches):
         counter = _counter(key, shared.value, byte_fallback)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([counter.count(t) for t in texts], pa.int64()), pa.array([len(t) for t in texts], pa.int64())], names=[id_col, "n_tokens", "n_chars"])
+            counts = [(counter.count(t), len(t)) for t in each(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([c[k] for c in counts], pa.int64()) for k in (0, 1)]], names=[id_col, "n_tokens", "n_chars"])
+        counter.known.clear()  # a worker outlives its tasks
 
     return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, n_tokens long, n_chars long")
