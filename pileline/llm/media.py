@@ -19,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import text_of
+from .util import each, text_of
 
 #: Width in pixels of the images made from texts: 64 RGB samples, 192 bytes a row.
 ROW_PIXELS = 64
+#: Rows of an image that are summed at once.
+STRIP = 4096
 PAD_TO = 192
 
 
@@ -137,24 +139,27 @@ def decode(data: bytes | None) -> np.ndarray:
 def resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
     """Mean over the area of each new pixel, from the integral image; float64 of (height, width, planes)."""
 
-    def along(sums: np.ndarray, n: int, axis: int) -> np.ndarray:
-        old = sums.shape[axis] - 1
+    def along(image: np.ndarray, n: int) -> np.ndarray:
+        """Sums over n equal parts of axis 0, from the integral at their edges; worked off in strips, so that no table of the
+        whole image is held. Sums of samples are whole numbers, so strips don't change them."""
+        old = image.shape[0]
         at = np.arange(n + 1) * (old / n)
         low = np.minimum(at.astype(np.int64), old - 1)
-        shape = [1] * sums.ndim
-        shape[axis] = -1
-        part = (at - low).reshape(shape)
-        a = np.take(sums, low, axis)
-        return np.diff(a + part * (np.take(sums, low + 1, axis) - a), axis=axis)
-
-    tall, wide, planes = image.shape
-    # the sums of one axis at a time: the second table is as small as the first result
-    sums = np.zeros((tall + 1, wide, planes))
-    np.cumsum(image, axis=0, dtype=np.float64, out=sums[1:])
-    rows = along(sums, height, 0)
-    sums = np.zeros((height, wide + 1, planes))
-    np.cumsum(rows, axis=1, out=sums[:, 1:])
-    return along(sums, width, 1) * (height * width / (tall * wide))
+        below, above = np.zeros((n + 1, *image.shape[1:])), np.zeros((n + 1, *image.shape[1:]))
+        total = np.zeros(image.shape[1:])
+        for start in range(0, old, STRIP):
+            sums = np.cumsum(image[start : start + STRIP], axis=0, dtype=np.float64)
+            sums = np.concatenate((total[None], total + sums))
+            for wanted, out in ((low, below), (low + 1, above)):
+                here = (wanted >= start) & (wanted < start + len(sums))
+                out[here] = sums[wanted[here] - start]
+            total = sums[-1]
+        part = (at - low).reshape(-1, *[1] * (image.ndim - 1))
+        return np.diff(below + part * (above - below), axis=0)
+
+    tall, wide, _ = image.shape
+    rows = along(image, height)
+    return along(rows.swapaxes(0, 1), width).swapaxes(0, 1) * (height * width / (tall * wide))
 
 
 def grey(image: np.ndarray) -> np.ndarray:
@@ -181,7 +186,7 @@ def tiles(df: DataFrame, id_col: str, media_col: str, side: int = 32) -> DataFra
     def run(batches):
         for batch in batches:
             rows = []
-            for data in batch.column(1).to_pylist():
+            for data in each(batch.column(1)):
                 try:
                     image = decode(data)
                     if image.dtype != np.uint8:
@@ -199,7 +204,7 @@ def tiles(df: DataFrame, id_col: str, media_col: str, side: int = 32) -> DataFra
 
 
 def write_tiles(tiled: DataFrame, path: str) -> None:
-    """The rows of tiles() as a table whose ``tile`` values are whole NPY files."""
+    """The rows of tiles() or media_digests() as a table whose ``tile`` values are whole NPY files."""
     tiled.write.mode("overwrite").parquet(path)
 
 
@@ -214,22 +219,23 @@ def text_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return df.select(F.col(f"`{id_col}`").alias(id_col), n.cast("long").alias("n_bytes"), F.concat(head.cast("binary"), payload).alias("media"))
 
 
-def media_digests(media: DataFrame, id_col: str = "doc_id", side: int = 32) -> DataFrame:
-    """Reads the images of text_media() back and describes them: payload digests, the stored form's digests, ``feature``
-    (difference hash and SHA-256 of the NPY tile's first half)."""
+def media_digests(media: DataFrame, id_col: str = "doc_id", side: int = 16) -> DataFrame:
+    """Reads the images of text_media() back and describes them: payload digests, the stored form's digests, the ``tile`` (the
+    bytes of an NPY file) and ``feature`` (the difference hash and the first half of the tile's SHA-256). Null ids and
+    repeated rows are described like any other."""
 
     def run(batches):
         for batch in batches:
             rows = []
-            for data in batch.column(2).to_pylist():
+            for data in each(batch.column(2)):
                 image = decode(data)
                 payload = image.tobytes()
                 tile = npy_tile(image, side)
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), f"{difference_hash(image):016x}-{hashlib.sha256(tile).hexdigest()[:32]}"))
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), f"{difference_hash(image):016x}-{hashlib.sha256(tile).hexdigest()[:32]}", tile))
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
             columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=[id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=[id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile"])
 
     rows = media.select(id_col, "n_bytes", "media")
     kind = rows.schema[0].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return rows.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile binary")
