@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .candidates import linked_components
 from .components import components
-from .util import Shelf, free, staged, text_of
+from .util import Shelf, each, free, staged, text_of
 
 BITS = 64
 SEGMENTS = 16
@@ -67,7 +67,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches):
         for batch in batches:
-            fps = [majority(shingle_hashes(t, words)) for t in batch.column(1).to_pylist()]
+            fps = [majority(shingle_hashes(t, words)) for t in each(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=[id_col, "fp"])
 
     return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, fp long")

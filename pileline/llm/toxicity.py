@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import text_of
+from .util import each, text_of
 
 #: Fixed word lists of the grammar.
 INSULTS = "idiot moron stupid loser scum trash clown pathetic worthless disgusting fool dumb imbecile jerk bastard idiota imbécil estúpido tonto basura idiote imbécile stupide ordure dummkopf trottel abschaum dumm".split()
@@ -45,7 +45,8 @@ MOST_ROWS = 20_000
 STEMS = (4, 5, 6)
 #: Learned entries: in so many toxic rows at least, so much evidence (twice the log likelihood ratio) and share of toxic rows.
 LEAST_ROWS, LEAST_EVIDENCE, LEAST_SHARE = 4, 14.0, 0.75
-MOST_ENTRIES = 2_000
+#: No entry counts for more; the number of entries is bounded by the sample they are learned from.
+MOST_WEIGHT = 8.0
 
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 CLAUSE_END = re.compile(r"[.!?;:\n]+")
@@ -195,7 +196,7 @@ def _count_terms(rows: DataFrame, only=None) -> DataFrame:
     def run(batches):
         counts: Counter = Counter()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in each(batch.column(0)):
                 found = _terms(text)
                 counts.update(found if only is None else found & only.value)
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
@@ -229,8 +230,8 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
         if a >= LEAST_SHARE * (a + b) and (e := _evidence(a, b, toxic, clean)) >= LEAST_EVIDENCE:
             found.append((e, term, math.log((a + 0.5) / (toxic + 1)) - math.log((b + 0.5) / (clean + 1))))
     found.sort(key=lambda x: (-x[0], x[1]))
-    for _, term, weight in found[:MOST_ENTRIES]:
-        weight = min(weight, 8.0)
+    for _, term, weight in found:
+        weight = min(weight, MOST_WEIGHT)
         if term.endswith("*"):
             lexicon.stems[term[:-1]] = weight
         elif lexicon.classes.get(term, "i") in "it":
@@ -259,7 +260,7 @@ def learn(rows: DataFrame) -> Model:
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([totals(shared.value, t) for t in batch.column(0).to_pylist()], pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array([totals(shared.value, t) for t in each(batch.column(0))], pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
 
     got = rows.select("text", "label").mapInArrow(run, "x array<double>, y double").toArrow()
     x, y = np.array(got.column(0).to_pylist()).reshape(-1, len(KINDS)), got.column(1).to_numpy()
@@ -276,7 +277,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                x = np.array([totals(shared.value.lexicon, t) for t in batch.column(1).to_pylist()])
+                x = np.array([totals(shared.value.lexicon, t) for t in each(batch.column(1))])
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.score(x)), pa.array(list(x), pa.list_(pa.float64()))], names=[id_col, "score", "matches"])
 
     return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, score double, matches array<double>")
@@ -290,7 +291,7 @@ def keep_clean(df: DataFrame, model: Model, threshold: float, text_col: str = "t
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                x = np.array([totals(shared.value.lexicon, t or "") for t in batch.column(at).to_pylist()])
+                x = np.array([totals(shared.value.lexicon, t or "") for t in each(batch.column(at))])
                 yield batch.filter(pa.array(shared.value.score(x) < threshold))
 
     return df.mapInArrow(run, df.schema)
