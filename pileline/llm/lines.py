@@ -6,7 +6,8 @@ multiplicative hashes over its 7-character shingles (shorter lines: padded), cut
 similarity 0.8 share a band with probability 0.995. Candidates are checked by the exact Jaccard likeness of their shingle
 sets; a distributed union-find gives the components, and the first line (least document, then line number) of each stays.
 
-Texts are shuffled once only, to fetch the candidates' lines; everything else moves digests and numbers.
+No text is shuffled but the candidates' lines (and whole ones where dedup_lines() rewrites them); everything else moves
+digests and numbers.
 
 Defined results: a null text has no lines; null ids are one id, the least. Rows of one id are told apart, in no set order, so
 that of lines that several of them share one stays; very long lines are hashed whole; an empty table gives an empty result.
@@ -19,32 +20,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .candidates import linked_components, within
-from .util import SPACES, Shelf, free, staged, text_of
+from .util import SPACES, Shelf, free, pieces, staged, text_of
 
 SHINGLE = 7
 BANDS, ROWS = 10, 4
 SIMILARITY = 0.8
 #: One-bit sketches of lines of similarity 0.8 differ in 4 of 40 places on average; in more than 12 about once in 50,000.
 ALLOWED = 12
-#: Characters of texts that are worked on at once.
-RUN = 2_000_000
+#: Bits of the table that tells which lines are wanted: 8 MB, at most 1,048,576 words from the cluster.
+MARKS = 1 << 26
 _A = np.uint32(0x9E3779B1)
 #: Odd multipliers of the hash functions, from a rule.
 _FACTORS = [np.uint32((0x85EBCA6B * (2 * k + 1) + 0xC2B2AE35 * 2 * k) & 0xFFFFFFFF | 1) for k in range(BANDS * ROWS)]
 KEYS = [f"b{k}" for k in range(BANDS)]
 
 
-def normal(line: str) -> str:
-    """The line trimmed and in lower case."""
-    return line.strip(SPACES).lower()
-
-
 def _minima(lines: list[str]) -> np.ndarray:
     """(BANDS * ROWS, lines): the least hash of each line's shingles by each hash function."""
     pad = "\0" * (SHINGLE - 1)
@@ -155,17 +151,17 @@ def _documents(df: DataFrame, id_col: str, text_col: str, copy: str) -> DataFram
     return df.select(F.col(f"`{id_col}`").alias("__doc"), F.col(copy).alias("__copy"), text_of(text_col).alias("__text"))
 
 
-def _lines(docs: DataFrame, signed: bool) -> DataFrame:
-    """Of every line that is not blank: __doc, __copy, __no (from 0), digest hi and lo; signed: also b0 .. b9 and bits."""
-    names = [*KEYS, "bits"] if signed else []
+def _lines(docs: DataFrame, signed: bool = False, only: Broadcast | None = None) -> DataFrame:
+    """Of every line that is not blank: __doc, __copy, __no (from 0), digest hi and lo; signed: also b0 .. b9 and bits. ``only``:
+    those of _marks(), with their normal form as ``line``."""
+    names = [*KEYS, "bits"] if signed else ["line"] if only else []
     rows = docs.select("__doc", "__copy", "__text")
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            sizes = pc.utf8_length(batch.column(2)).to_pylist()
-            for start, stop in _runs(sizes, RUN):
+            for start, texts in pieces(batch.column(2)):
                 of, nos, lines = [], [], []
-                for k, text in enumerate(batch.column(2).slice(start, stop - start).to_pylist()):
+                for k, text in enumerate(texts):
                     for no, line in enumerate(text.lower().split("\n")):
                         if line := line.strip(SPACES):
                             of.append(start + k)
@@ -174,15 +170,31 @@ def _lines(docs: DataFrame, signed: bool) -> DataFrame:
                 if not lines:
                     continue
                 digests = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in lines]), ">i8").astype(np.int64).reshape(-1, 2)
-                columns = [pa.array(np.ascontiguousarray(digests[:, k])) for k in (0, 1)]
+                take, number = np.array(of, np.int64), np.array(nos, np.int32)
+                columns = []
+                if only:
+                    bit = (digests[:, 0] ^ (number.astype(np.int64) << 7)) & (MARKS - 1)
+                    good = np.flatnonzero(only.value[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1))
+                    digests, take, number = digests[good], take[good], number[good]
+                    columns = [pa.array([lines[k] for k in good.tolist()], pa.string())]
                 if signed:
                     bands, bits = signatures(lines)
-                    columns += [pa.array(np.ascontiguousarray(bands[:, k])) for k in range(BANDS)] + [pa.array(bits)]
-                take = pa.array(of, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(nos, pa.int32()), *columns], names=["__doc", "__copy", "__no", "hi", "lo", *names])
+                    columns = [pa.array(np.ascontiguousarray(bands[:, k])) for k in range(BANDS)] + [pa.array(bits)]
+                first = [batch.column(k).take(pa.array(take)) for k in (0, 1)] + [pa.array(number), *(pa.array(np.ascontiguousarray(digests[:, k])) for k in (0, 1))]
+                yield pa.RecordBatch.from_arrays([*first, *columns], names=["__doc", "__copy", "__no", "hi", "lo", *names])
 
     kind = rows.schema["__doc"].dataType.simpleString()
-    return rows.mapInArrow(run, f"__doc {kind}, __copy long, __no int, hi long, lo long" + "".join(f", {c} long" for c in names))
+    return rows.mapInArrow(run, f"__doc {kind}, __copy long, __no int, hi long, lo long" + "".join(f", {c} {'string' if c == 'line' else 'long'}" for c in names))
+
+
+def _marks(wanted: DataFrame) -> Broadcast:
+    """One bit for each of ``wanted`` (hi, __no), by digest and number, of a table of MARKS bits whatever their number; a line
+    whose bit isn't set is none of them. It only spares moving lines that a join would leave out."""
+    bit = F.col("hi").bitwiseXOR(F.shiftleft(F.col("__no").cast("long"), 7)).bitwiseAND(F.lit(MARKS - 1))
+    words = wanted.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("ones")).toArrow()
+    table = np.zeros(MARKS >> 6, np.uint64)
+    table[words.column(0).to_numpy()] = words.column(1).to_numpy().view(np.uint64)
+    return wanted.sparkSession.sparkContext.broadcast(table)
 
 
 class _Place:
@@ -213,17 +225,16 @@ class _Place:
         return F.lit(0).cast("long") if self.number else at["__copy"]
 
 
-def _raw_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, payload): the line of each of ``wanted`` (id, __doc, __copy, __no)."""
-    lists = wanted.groupBy(F.col("__doc").alias("__d"), F.col("__copy").alias("__c")).agg(F.collect_list(F.struct("__no", "id")).alias("__want"))  # no more than the document's lines
-    met = docs.join(lists, F.col("__doc").eqNullSafe(F.col("__d")) & (F.col("__copy") == F.col("__c"))).select(F.split("__text", "\n").alias("__lines"), "__want")
-    # lines are taken inside the list, so that no row carries the document's other lines
-    each = F.transform("__want", lambda w: F.struct(w["id"].alias("id"), F.get("__lines", w["__no"]).alias("payload")))
-    return met.select(F.explode(each).alias("w")).select("w.id", "w.payload")
+def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, payload): the normal form of each line of ``wanted`` (id, hi, __doc, __copy, __no)."""
+    wanted = staged(wanted)
+    at = wanted.select("id", F.col("__doc").alias("d"), F.col("__copy").alias("c"), F.col("__no").alias("n"))
+    lines = _lines(docs, only=_marks(wanted))
+    return lines.join(at, F.col("__doc").eqNullSafe(F.col("d")) & (F.col("__copy") == F.col("c")) & (F.col("__no") == F.col("n"))).select("id", F.col("line").alias("payload"))
 
 
 def _line_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    return shingle_sets([normal(x) for x in column.to_pylist()])
+    return shingle_sets(column.to_pylist())
 
 
 def _classes(docs: DataFrame, place: _Place, similarity: float) -> DataFrame:
@@ -231,12 +242,12 @@ def _classes(docs: DataFrame, place: _Place, similarity: float) -> DataFrame:
     first_no) and the number of lines in it (class_lines)."""
     shelf = Shelf(docs.sparkSession)
     # columns that follow from the digest are the same in all rows of a group
-    grouped = _lines(docs, True).groupBy("hi", "lo").agg(F.min(place.of()).alias("at"), F.count(F.lit(1)).alias("n"), *[F.min(c).alias(c) for c in [*KEYS, "bits"]])
+    grouped = _lines(docs, signed=True).groupBy("hi", "lo").agg(F.min(place.of()).alias("at"), F.count(F.lit(1)).alias("n"), *[F.min(c).alias(c) for c in [*KEYS, "bits"]])
     distinct = shelf.put(grouped.withColumn("id", F.monotonically_increasing_id()))
 
     def fetch(ids: DataFrame) -> DataFrame:
         at = F.col("at")
-        return _raw_lines(docs, distinct.join(ids, "id").select("id", place.doc(at).alias("__doc"), place.copy(at).alias("__copy"), place.no(at).alias("__no")))
+        return _line_texts(docs, distinct.join(ids, "id").select("id", "hi", place.doc(at).alias("__doc"), place.copy(at).alias("__copy"), place.no(at).alias("__no")))
 
     trees = linked_components(distinct.select("id", "bits", *KEYS), KEYS, within(ALLOWED), fetch, _line_sets, similarity)
     named = trees.select(F.col("node").alias("id"), "root").unionAll(trees.select(F.col("root").alias("id"), "root").distinct())
@@ -253,7 +264,7 @@ def _classes(docs: DataFrame, place: _Place, similarity: float) -> DataFrame:
 
 def _judged(docs: DataFrame, repeated: bool, similarity: float) -> DataFrame:
     """__doc, __copy, __no, first_doc, first_copy, first_no, class_lines (null: alone), kept."""
-    joined = _lines(docs, False).join(_classes(docs, _Place(docs, repeated), similarity), ["hi", "lo"], "left").drop("hi", "lo")
+    joined = _lines(docs).join(_classes(docs, _Place(docs, repeated), similarity), ["hi", "lo"], "left").drop("hi", "lo")
     own = F.col("first_doc").eqNullSafe(F.col("__doc")) & (F.col("first_copy") == F.col("__copy")) & (F.col("first_no") == F.col("__no"))
     return joined.withColumn("kept", F.col("class_lines").isNull() | own)
 
@@ -278,7 +289,8 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     rows, repeated = _told_apart(df, id_col, copy)
     judged = _judged(_documents(rows, id_col, text_col, copy), repeated, similarity).filter(~F.col("kept"))
     dropped = staged(judged.groupBy(F.col("__doc").alias(d), F.col("__copy").alias(c)).agg(F.collect_set("__no").alias(drop)))
-    joined = rows.join(dropped, F.col(f"`{id_col}`").eqNullSafe(F.col(d)) & (F.col(copy) == F.col(c)), "left")
+    # never broadcast: the table grows with the input, and its size in files says little of that in memory
+    joined = rows.join(dropped.hint("merge"), F.col(f"`{id_col}`").eqNullSafe(F.col(d)) & (F.col(copy) == F.col(c)), "left")
     text = F.col(f"`{text_col}`").cast("string")
     lines = F.split(text, "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drop)  # by a hash set, in order
