@@ -30,11 +30,18 @@ def normalise(reads: DataFrame) -> DataFrame:
     return out
 
 
+#: Contigs that are broadcast: names and lengths of so many are some MB.
+FEW_CONTIGS = 50_000
+
+
 def in_bounds(reads: DataFrame, contigs: DataFrame, strict: bool = True) -> DataFrame:
     """Reads that start at 0 or later and end before the contig's last place; ``strict``: an unknown contig is an error.
 
-    Contigs are as many as sequences in the genome file; Spark broadcasts them where they are few."""
+    Contigs are counted first: up to FEW_CONTIGS are broadcast, so that reads stay where they are (by contig they would be as
+    many groups as there are chromosomes); more go by a shuffle."""
     lengths = contigs.select(F.col("chr").alias("__c"), F.col("length").alias("__length"))
+    if lengths.limit(FEW_CONTIGS + 1).count() <= FEW_CONTIGS:
+        lengths = F.broadcast(lengths)
     joined = reads.join(lengths, F.col("chr") == F.col("__c"), "left" if strict else "inner")
     inside = (F.col("pos") >= 0) & (F.col("pos") + F.col("read_len") < F.col("__length"))
     if strict:  # in one expression with the bounds, so that no filter comes before it
@@ -48,6 +55,8 @@ def with_ref_pieces(reads: DataFrame, blocks: DataFrame, block: int = BLOCK) ->
     read and not once a base; places without a block are left out."""
     end = F.col("pos") + F.col("read_len")
     parts = reads.withColumn("__at", F.explode(F.expr(f"sequence((pos) div {block}, (pos + read_len - 1) div {block})")))
+    # each row becomes as many as it has bases, so that partitions must not be joined by their size before that
+    parts = parts.repartition(int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chr", "__at")
     g = blocks.select(F.col("chr").alias("__c"), F.col("block").alias("__b"), F.col("start").alias("__s"), F.col("seq").alias("__g"))
     joined = parts.join(g, (F.col("chr") == F.col("__c")) & (F.col("__at") == F.col("__b")))
     left, right = F.greatest(F.col("pos"), F.col("__s")), F.least(end, F.col("__s") + F.length("__g"))

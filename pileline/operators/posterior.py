@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,21 +56,26 @@ def prior_table(spark: SparkSession, params: CallParams = CallParams()) -> DataF
 def prior_column(params: CallParams = CallParams()) -> Column:
     """The ten priors of a row's ref_code: eighty constants, no join."""
     table = prior_rows(params)
-    return F.get(F.array(*[F.array(*[F.lit(p) for r, _, p in table if r == ref]) for ref in range(8)]), F.col("ref_code"))
+    flat = F.array(*[F.lit(p) for _, _, p in table])
+    return F.slice(flat, F.col("ref_code") * len(GENOTYPES) + 1, F.lit(len(GENOTYPES)))
 
 
 def refined_prior(prior: Column, params: CallParams) -> Column:
-    """Priors of known sites by their entry (f0 .. f3, hapmap, validated, indel); others and indels keep theirs."""
-    out = []
+    """Priors of known sites by their entry (f0 .. f3, hapmap, validated, indel); others and indels keep theirs. One expression
+    for all genotypes: ten spelled out would outgrow a compiled method."""
     validated = F.col("validated") == 1
     het, hom = F.when(validated, params.het_val).otherwise(params.het_unval), F.when(validated, params.althom_val).otherwise(params.althom_unval)
-    for k, g in enumerate(GENOTYPES):
-        a, b = g >> 2, g & 3
-        fa, fb, own = F.col(f"f{a}"), F.col(f"f{b}"), F.col("ref_code").bitwiseAND(3)
-        tagged = F.when(own == a, F.lit(1.0)).otherwise(hom) if a == b else het
-        known = F.when(F.col("hapmap") == 1, F.lit(1.0 if a == b else 2 * params.het_val) * fa * fb).otherwise(tagged)
-        out.append(F.when(F.col("hapmap").isNotNull() & (F.col("indel") == 0) & (fa > 0) & (fb > 0), known).otherwise(prior[k]))
-    return F.array(*out)
+    freq, own = F.array(*[F.col(f"f{k}") for k in range(4)]), F.col("ref_code").bitwiseAND(3)
+
+    def refined(g: Column, k: Column) -> Column:
+        a, b = F.shiftright(g, 2), g.bitwiseAND(3)
+        fa, fb = F.get(freq, a), F.get(freq, b)
+        tagged = F.when(a != b, het).when(own == a, F.lit(1.0)).otherwise(hom)
+        known = F.when(F.col("hapmap") == 1, F.when(a == b, F.lit(1.0)).otherwise(F.lit(2 * params.het_val)) * fa * fb).otherwise(tagged)
+        return F.when((fa > 0) & (fb > 0), known).otherwise(F.get(prior, k))
+
+    changed = F.transform(F.array(*[F.lit(g) for g in GENOTYPES]), refined)
+    return F.when(F.col("hapmap").isNotNull() & (F.col("indel") == 0), changed).otherwise(prior)
 
 
 def with_best_bases(rows: DataFrame) -> DataFrame:
@@ -117,42 +124,74 @@ def rank_table_frame(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(pa.table([np.concatenate(c) for c in zip(*parts, strict=True)], names=["n", "n1", "t", "p"]))
 
 
-def rank_sums(calls: DataFrame, table: DataFrame, exact: bool = False) -> DataFrame:
+@lru_cache(maxsize=4)
+def _lookup(spark: SparkSession, exact: bool) -> DataFrame:
+    """rank_table_frame() with the place that the interpolation goes on to, as one row: (x, y, z, p1, p2), built once a session.
+
+    That place is addressed with a shift of one bit less; ``exact`` takes the next place instead."""
+    table = rank_table_frame(spark).toArrow()
+    n, n1, t, p = (table.column(c).to_numpy() for c in ("n", "n1", "t", "p"))
+    grid = np.full((64, 64, 2049), np.nan)
+    grid[n, n1, t] = p
+    n2, m2 = (n, n1) if exact else (n >> 1, n1 | (n & 1) << 5)
+    return spark.createDataFrame(pa.table([pa.array(c) for c in (n, n1, t, p)] + [pa.array(grid[n2, m2, t + 1], from_pandas=True)], names=["__x", "__y", "__z", "__p1", "__p2"]))
+
+
+def _allele_ranks(own: Column, a: Column) -> Column:
+    """struct(ta, tb): sums of the mid-ranks, by q, of the bases ``a`` and of the others among ``own``: one pass in order of q."""
+    zero = F.struct(*[F.lit(0.0).alias(c) for c in ("before", "na", "nb", "ta", "tb")], F.lit(-1).alias("q"))
+
+    def flushed(s: Column) -> tuple[Column, Column, Column]:
+        middle = s["before"] + (s["na"] + s["nb"] + 1) / 2
+        return s["before"] + s["na"] + s["nb"], s["ta"] + s["na"] * middle, s["tb"] + s["nb"] * middle
+
+    def step(s: Column, x: Column) -> Column:
+        before, ta, tb = flushed(s)
+        one, other = F.when(x["base"] == a, 1.0).otherwise(0.0), F.when(x["base"] == a, 0.0).otherwise(1.0)
+        tied = x["q"] == s["q"]
+        pick = lambda yes, no: F.when(tied, yes).otherwise(no)
+        return F.struct(
+            pick(s["before"], before).alias("before"), pick(s["na"] + one, one).alias("na"), pick(s["nb"] + other, other).alias("nb"),
+            pick(s["ta"], ta).alias("ta"), pick(s["tb"], tb).alias("tb"), x["q"].cast("int").alias("q"),
+        )
+
+    return F.aggregate(F.array_sort(F.transform(own, lambda x: F.struct(x["q"].alias("q"), x["base"].alias("base")))), zero, step, lambda s: F.struct(flushed(s)[1].alias("ta"), flushed(s)[2].alias("tb")))
+
+
+def rank_sums(calls: DataFrame, table: DataFrame | None = None, exact: bool = False) -> DataFrame:
     """Adds rank_p to calls with type1, uni0 .. uni3 and seen: 1 for homozygous calls, 0 where an allele has no unique
     observation, else the rank-sum test of the two alleles' qualities, by the table for fewer than 64 of them."""
     a, b = F.shiftright("type1", 2), F.col("type1").bitwiseAND(3)
     uni = F.array(*[F.col(f"uni{k}") for k in range(4)])
     own = F.filter("seen", lambda s: (s["base"] == a) | (s["base"] == b))
-    ranked = F.transform(own, lambda s: F.struct(s["base"].alias("base"), (F.size(F.filter(own, lambda x: x["q"] < s["q"])) + (1 + F.size(F.filter(own, lambda x: x["q"] == s["q"]))) / 2.0).alias("r")))
-    total = lambda base: F.aggregate(F.filter("__ranked", lambda s: s["base"] == base), F.lit(0.0), lambda acc, s: acc + s["r"])
     testable = (a != b) & (F.get(uni, a) > 0) & (F.get(uni, b) > 0)
     rows = calls.withColumn("__a", a).withColumn("__b", b).withColumn("__test", testable).withColumn("__na", F.get(uni, b).cast("int")).withColumn("__nb", F.get(uni, a).cast("int"))
-    rows = rows.withColumn("__ranked", F.when(F.col("__test"), ranked)).withColumn("__ta", total(F.col("__b"))).withColumn("__tb", total(F.col("__a"))).drop("__ranked")
-    n = F.col("__na") + F.col("__nb")
+    # "a" counts the second allele here, as the test does
+    rows = rows.withColumn("__sums", F.when(F.col("__test"), _allele_ranks(own, F.col("__b"))))
+    rows = rows.withColumn("__ta", F.col("__sums.ta")).withColumn("__tb", F.col("__sums.tb")).drop("__sums")
     small = F.col("__na") <= F.col("__nb")
-    rows = rows.withColumn("__n", n).withColumn("__n1", F.when(small, F.col("__na")).otherwise(F.col("__nb"))).withColumn("__tt", F.when(small, F.col("__ta")).otherwise(F.col("__tb"))).withColumn("__t", F.floor("__tt").cast("int"))
-    # the second place of the interpolation is addressed with a shift of one bit less; exact=True takes the next place instead
-    n2, m2 = (F.col("__n"), F.col("__n1")) if exact else (F.shiftright("__n", 1), F.col("__n1").bitwiseOR(F.shiftleft(F.col("__n").bitwiseAND(1), 5)))
-    rows = rows.withColumn("__n_", n2).withColumn("__n1_", m2).withColumn("__t_", F.col("__t") + 1)
-    t1 = table.select(F.col("n").alias("__x"), F.col("n1").alias("__y"), F.col("t").alias("__z"), F.col("p").alias("__p1"))
-    t2 = table.select(F.col("n").alias("__u"), F.col("n1").alias("__v"), F.col("t").alias("__w"), F.col("p").alias("__p2"))
+    rows = rows.withColumn("__n", F.col("__na") + F.col("__nb")).withColumn("__n1", F.when(small, F.col("__na")).otherwise(F.col("__nb")))
+    rows = rows.withColumn("__tt", F.when(small, F.col("__ta")).otherwise(F.col("__tb"))).withColumn("__t", F.floor("__tt").cast("int"))
     use = F.col("__test") & (F.col("__n") < 64)
-    # the table's size is fixed at 679,120 rows of 20 bytes
-    rows = rows.join(F.broadcast(t1), use & (F.col("__n") == F.col("__x")) & (F.col("__n1") == F.col("__y")) & (F.col("__t") == F.col("__z")), "left")
-    rows = rows.join(F.broadcast(t2), use & (F.col("__n_") == F.col("__u")) & (F.col("__n1_") == F.col("__v")) & (F.col("__t_") == F.col("__w")), "left")
+    # the table's size is fixed at 679,120 rows of 28 bytes
+    found = F.broadcast(table if table is not None else _lookup(calls.sparkSession, exact))
+    rows = rows.join(found, use & (F.col("__n") == F.col("__x")) & (F.col("__n1") == F.col("__y")) & (F.col("__t") == F.col("__z")), "left")
     p1, p2 = F.coalesce("__p1", F.lit(1.0)), F.coalesce("__p2", F.lit(1.0))
     by_table = p1 + (F.col("__tt") - F.col("__t")) * (p2 - p1)
-    by_normal = normal_test(F.col("__na"), F.col("__nb"), F.col("__ta"), F.col("__tb"))
+    # columns of their own: spelled into each other they would outgrow a compiled method
+    rows = rows.withColumn("__deviate", normal_deviate(F.col("__na"), F.col("__nb"), F.col("__ta"), F.col("__tb"))).withColumn("__normal", normal_tail(F.col("__deviate")))
+    by_normal = F.col("__normal")
     p = F.when(F.col("__a") == F.col("__b"), 1.0).when(~F.col("__test"), 0.0).when(F.col("__n") < 64, by_table).otherwise(by_normal)
     return rows.withColumn("rank_p", F.round(p, PLACES)).drop(*[c for c in rows.columns if c.startswith("__")])
 
 
-def normal_test(n1: Column, n2: Column, t1: Column, t2: Column) -> Column:
-    """Tail of the larger of the two groups' normal deviates; the means are whole numbers, cut off."""
+def normal_deviate(n1: Column, n2: Column, t1: Column, t2: Column) -> Column:
+    """The larger of the two groups' normal deviates; the means are whole numbers, cut off."""
     n = n1 + n2 + 1
     scale = F.sqrt(n1 * n2 * n / 12.0)
     u1, u2 = (t1 - F.floor(n1 * n / 2)) / scale, (t2 - F.floor(n2 * n / 2)) / scale
-    return normal_tail(F.when(F.abs(u1) > F.abs(u2), u1).otherwise(u2))
+    far = F.array_max(F.array(F.struct(F.abs(u1).alias("far"), F.lit(0).alias("first"), u1.alias("u")), F.struct(F.abs(u2).alias("far"), F.lit(1).alias("first"), u2.alias("u"))))
+    return far["u"]
 
 
 def consensus_quality() -> Column:
@@ -181,7 +220,7 @@ def call(sites: DataFrame, covered: DataFrame, known: DataFrame | None, params:
         rows = rows.withColumn("prior", refined_prior(F.col("prior"), params))
     rows = with_top_genotypes(with_best_bases(rows), params.monoploid).drop("lik", "prior")
     if params.rank_sum:
-        rows = rank_sums(rows, table if table is not None else rank_table_frame(sites.sparkSession), params.exact_rank)
+        rows = rank_sums(rows, table, params.exact_rank)
     else:
         rows = rows.withColumn("rank_p", F.lit(1.0))
     return rows.withColumn("quality", consensus_quality())

@@ -26,7 +26,9 @@ def ref_base(pos: str, contig: str) -> str:
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads with 1-based positions, as a file has them."""
-    e = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 5).alias("contig"), F.expr("(event_id) div 5").alias("pos0"))
+    # a small file is one split, but each of its rows is made into much more
+    e = table(spark, sf_dir, "events").select("event_id").repartition(spark.sparkContext.defaultParallelism)
+    e = e.select("event_id", (F.col("event_id") % 5).alias("contig"), F.expr("(event_id) div 5").alias("pos0"))
     ref = ref_base("pos0 + c", "contig")
     base = f"CASE WHEN (event_id * 31 + c * 17) % 23 = 0 THEN ({ref} + 1 + event_id % 3) % 4 WHEN (pos0 + c) % 50 = 0 AND event_id % 2 = 0 THEN ({ref} + 2) % 4 ELSE {ref} END"
     seq = f"array_join(transform(sequence(0L, {READ - 1}L), c -> substring('ACTG', cast({base} as int) + 1, 1)), '')"
