@@ -1,12 +1,19 @@
 """Columnar codecs: run lengths, dictionaries, two-bit bases, differences, sparse lists, window directory.
 
-Words are built and read by shifts; rows are grouped by word, never collected."""
+Words are built and read by shifts; rows are grouped by word, never collected. The codec of whole consensus rows works on
+blocks of bounded size in Arrow batches."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
+
+from .. import schema
 
 from .seq import reduce_by_key
 
@@ -83,6 +90,113 @@ def sparse_columns(df: DataFrame, keys: list[str], usual: dict[str, float]) -> D
     return df.select(*keys, F.explode(F.filter(values, lambda x: x["value"].isNotNull())).alias("x")).select("x.col", *keys, "x.value")
 
 
+#: How each column of a consensus row is kept in a block: bases by two bits, runs, or exceptions to the usual value.
+_BASES, _RUN_COLUMNS = ("ref", "base1"), ("quality", "avg_q1", "uni1", "all1", "depth", "copy_number")
+_USUAL = {"base2": "N", "avg_q2": 0, "uni2": 0, "all2": 0, "rank_p": 1.0, "is_dbsnp": 0}
+_KINDS = dict(c.split() for c in schema.CONSENSUS.split(", "))
+
+
+def _block_schema() -> str:
+    lists = {"pos_v": "bigint", "pos_n": "int", "genotype_k": "int", "genotype_v": "string"}
+    for c in _BASES:
+        lists |= {f"{c}_w": "bigint", f"{c}_k": "int", f"{c}_v": "string"}
+    lists |= {f"{c}_v": _KINDS[c] for c in _RUN_COLUMNS} | {f"{c}_n": "int" for c in _RUN_COLUMNS}
+    lists |= {f"{c}_{x}": _KINDS[c] if x == "v" else "int" for c in _USUAL for x in "kv"}
+    return "chr string, block bigint, n int, " + ", ".join(f"{c} array<{t}>" for c, t in lists.items())
+
+
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    heads = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+    return values[heads], np.diff(np.append(heads, values.size))
+
+
+def _encoded(rows: dict[str, np.ndarray]) -> dict:
+    """One block: its rows' columns, in order of position."""
+    n = rows["pos"].size
+    out: dict = {"n": n}
+    starts, out["pos_n"] = _runs(rows["pos"] - np.arange(n))  # runs of consecutive places
+    out["pos_v"] = starts
+    for c in _BASES:
+        # two bits a base, 32 a word, the first lowest; what is no base is 0 there and listed
+        code = np.full(n, -1)
+        for k, letter in enumerate(PACKED):
+            code[rows[c] == letter] = k
+        odd = np.flatnonzero(code < 0)
+        padded = np.zeros(-(-n // 32) * 32, np.uint64)
+        padded[:n] = np.maximum(code, 0)
+        out[f"{c}_w"] = np.bitwise_or.reduce(padded.reshape(-1, 32) << (2 * np.arange(32, dtype=np.uint64)), axis=1).view(np.int64)
+        out[f"{c}_k"], out[f"{c}_v"] = odd, rows[c][odd]
+    for c in _RUN_COLUMNS:
+        out[f"{c}_v"], out[f"{c}_n"] = _runs(rows[c])
+    for c, usual in {"genotype": rows["ref"], **_USUAL}.items():
+        odd = np.flatnonzero(rows[c] != usual)
+        out[f"{c}_k"], out[f"{c}_v"] = odd, rows[c][odd]
+    return out
+
+
+def _decoded(x: dict) -> dict[str, np.ndarray]:
+    n = x["n"]
+    out = {"pos": np.repeat(np.asarray(x["pos_v"], np.int64), x["pos_n"]) + np.arange(n)}
+    for c in _BASES:
+        codes = (np.asarray(x[f"{c}_w"], np.int64).view(np.uint64)[:, None] >> (2 * np.arange(32, dtype=np.uint64))) & np.uint64(3)
+        out[c] = np.array(list(PACKED), object)[codes.reshape(-1)[:n].astype(np.int64)]
+        out[c][x[f"{c}_k"]] = x[f"{c}_v"]
+    for c in _RUN_COLUMNS:
+        out[c] = np.repeat(np.asarray(x[f"{c}_v"]), x[f"{c}_n"])
+    for c, usual in {"genotype": out["ref"], **_USUAL}.items():
+        out[c] = usual.copy() if c == "genotype" else np.full(n, usual, object if isinstance(usual, str) else None)
+        out[c][x[f"{c}_k"]] = x[f"{c}_v"]
+    return out
+
+
+def compress(rows: DataFrame, size: int = 4096) -> DataFrame:
+    """Consensus rows (17 columns, none null) as one row for each (chr, block) of ``size`` places: positions as runs of
+    consecutive ones, bases by two bits with a list of what is none, the genotype where it isn't the reference's letter,
+    quality, counts and copy number by runs, all else where it isn't what it mostly is. Arrow batches; a block is bounded."""
+    names = list(_KINDS)
+    placed = rows.select(*names, F.floor((F.col("pos") - 1) / size).alias("block")).repartition("chr", "block").sortWithinPartitions("chr", "block", "pos")
+    target = pa.schema(to_arrow_schema(_parse_datatype_string(_block_schema())))
+
+    def run(batches):
+        held, last = [], None
+
+        def done():
+            table = pa.Table.from_batches(held)
+            block = _encoded({c: table.column(c).to_numpy() for c in names if c != "chr"})
+            return pa.RecordBatch.from_pylist([{"chr": last[0], "block": last[1]} | {k: v.tolist() if isinstance(v, np.ndarray) else v for k, v in block.items()}], target)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            chrs, blocks = batch.column("chr").to_numpy(zero_copy_only=False), batch.column("block").to_numpy()
+            edges = np.flatnonzero((blocks[1:] != blocks[:-1]) | (chrs[1:] != chrs[:-1])) + 1
+            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows], strict=True):
+                own = (chrs[a], int(blocks[a]))
+                if held and own != last:
+                    yield done()
+                    held = []
+                last = own
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield done()
+
+    return placed.mapInArrow(run, _block_schema())
+
+
+def decompress(blocks: DataFrame) -> DataFrame:
+    """The rows of compress(), all 17 columns."""
+    target = pa.schema(to_arrow_schema(_parse_datatype_string(schema.CONSENSUS)))
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                x = batch.slice(k, 1).to_pylist()[0]
+                columns = _decoded(x) | {"chr": [x["chr"]] * x["n"]}
+                yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in target], schema=target)
+
+    return blocks.mapInArrow(run, schema.CONSENSUS)
+
+
 def window_directory(rows: DataFrame, size: int = 262_144) -> DataFrame:
     """(chr, block, first_pos, sites, all_n) of windows of ``size`` sites."""
     return rows.groupBy("chr", F.floor((F.col("pos") - 1) / size).alias("block")).agg(F.min("pos").alias("first_pos"), F.count(F.lit(1)).alias("sites"), F.every(F.col("ref") == "N").alias("all_n"))

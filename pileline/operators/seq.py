@@ -148,7 +148,56 @@ def mismatch(a: DataFrame, b: DataFrame, idx: str, value: str) -> DataFrame:
     return left.join(right, idx, "full").filter(~F.col("__a").eqNullSafe(F.col("__b"))).agg(F.min(idx).alias("first")).withColumn("equal", F.col("first").isNull())
 
 
+def zipped(a: DataFrame, b: DataFrame, idx: str, left: str, right: str) -> DataFrame:
+    """(idx, left, right): the values of two sequences at each place that both have."""
+    return a.select(idx, F.col(left).alias("left")).join(b.select(idx, F.col(right).alias("right")), idx)
+
+
+def inner_product(a: DataFrame, b: DataFrame, idx: str, left: str, right: str, init=0) -> DataFrame:
+    """One row: init and the sum of the products, place by place, of two sequences; and how many places both have."""
+    both = zipped(a, b, idx, left, right)
+    return both.agg((F.coalesce(F.sum(F.col("left") * F.col("right")), F.lit(0)) + F.lit(init)).alias("s"), F.count(F.lit(1)).alias("n"))
+
+
+def swap_ranges(a: DataFrame, b: DataFrame, idx: str, value: str, start: int, stop: int) -> tuple[DataFrame, DataFrame]:
+    """Two sequences with their values from place ``start`` to before ``stop`` exchanged, where both have the place."""
+    inside = (F.col(idx) >= start) & (F.col(idx) < stop)
+
+    def taken(own: DataFrame, other: DataFrame) -> DataFrame:
+        new = other.filter(inside).select(F.col(idx).alias("__i"), F.struct(F.col(value).alias("v")).alias("__n"))
+        return own.join(new, F.col(idx) == F.col("__i"), "left").withColumn(value, F.when(F.col("__n").isNotNull(), F.col("__n")["v"]).otherwise(F.col(value))).drop("__i", "__n")
+
+    return taken(a, b), taken(b, a)
+
+
+def ranked(df: DataFrame, *order: str, out: str = "rank") -> DataFrame:
+    """Adds the row's place, from 1, in that order: a row number within a range of it, and the ranges' sizes before it. A key
+    that many rows have is cut by the later columns of the order."""
+    rows = df.repartitionByRange(*[F.col(c) for c in order]).withColumn("__part", F.spark_partition_id())
+    before = F.coalesce(F.sum("count").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sizes = rows.groupBy("__part").count().select(F.col("__part").alias("__q"), before.alias("__before"))
+    numbered = rows.withColumn("__n", F.row_number().over(W.partitionBy("__part").orderBy(*order)))
+    return numbered.join(sizes, F.col("__part") == F.col("__q")).withColumn(out, F.col("__before") + F.col("__n")).drop("__part", "__q", "__before", "__n")
+
+
+def stable_sort_by_key(df: DataFrame, idx: str, key: str, out: str = "place") -> DataFrame:
+    """Adds the row's place, from 1, when rows are sorted by ``key`` and those of equal keys keep their order."""
+    return ranked(df, key, idx, out=out)
+
+
+def for_each(df: DataFrame, action: Callable) -> None:
+    """Runs ``action`` on every row where the row is, for its effects (accumulators, stores) only. A task that is run again
+    repeats them."""
+
+    def run(rows):
+        for row in rows:
+            action(row)
+
+    df.foreachPartition(run)
+
+
 def minmax_element(df: DataFrame, idx: str, value: str) -> DataFrame:
     """One row: places of the first least and the first greatest value."""
-    v, i = F.col(value), F.col(idx)
-    return df.agg(F.min(F.struct(v.alias("v"), i.alias("i")))["i"].alias("min_idx"), F.min(F.struct((-v).alias("v"), i.alias("i")))["i"].alias("max_idx"))
+    v, i = F.col(value).alias("v"), F.col(idx)
+    least, greatest = F.min(F.struct(v, i.alias("i"))), F.max(F.struct(v, (-i).alias("i")))
+    return df.agg(least["i"].alias("min_idx"), (-greatest["i"]).alias("max_idx"))

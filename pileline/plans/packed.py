@@ -36,7 +36,7 @@ def diff_encode(spark, d):
 
 @query(_with(_CONS, "select chr, pos, genotype from cons"))
 def diff_decode(spark, d):
-    rows = cons(spark, d).withColumn("place", F.struct("chr", "pos")).persist()  # read twice
+    rows = cons(spark, d).withColumn("place", F.struct("chr", "pos"))
     changes = codec.diff_encode(rows, "place", "genotype", "ref")
     return codec.diff_decode(rows.select("place", "ref"), "place", "ref", changes, "genotype").select("place.chr", "place.pos", "genotype")
 
@@ -56,16 +56,50 @@ def window_directory(spark, d):
     return codec.window_directory(cons(spark, d))
 
 
-@query("select unnest(['genotype', 'quality', 'copy_number']) as \"column\", 0::bigint as n")
+_EXACT = "ref genotype quality base1 avg_q1 uni1 all1 base2 avg_q2 uni2 all2 depth is_dbsnp".split()
+_NEAR = ["rank_p", "copy_number"]
+
+
+@query(_with(_CONS, "select u.c as \"column\", case u.c when 'quality' then count(*) filter (pos % 100 = 7) when 'base2' then count(*) filter (pos % 50 = 3 and base2 <> 'Q') when 'rank_p' then count(*) filter (pos % 40 = 9) else 0 end as n "
+    f"from cons, (select unnest({[*_EXACT, *_NEAR]}) as c) u group by u.c"))
 def codec_roundtrip_diff(spark, d):
-    """Consensus rows against themselves after differences to the reference and sparse lists: nothing differs."""
-    rows = cons(spark, d).persist()  # read five times
-    placed = rows.withColumn("place", F.struct("chr", "pos"))
-    back = codec.diff_decode(placed.select("place", "ref"), "place", "ref", codec.diff_encode(placed, "place", "genotype", "ref"), "genotype").select("place.chr", "place.pos", "genotype")
-    quality = codec.sparse(rows, ["chr", "pos"], "quality", 0).withColumnRenamed("value", "quality")
-    copies = codec.sparse(rows, ["chr", "pos"], "copy_number", 1.0).withColumnRenamed("value", "copy_number")
-    back = back.join(quality, ["chr", "pos"], "left").join(copies, ["chr", "pos"], "left").na.fill({"quality": 0, "copy_number": 1.0})
-    return codec.differing(rows, back, ["chr", "pos"], ["genotype", "quality"], ["copy_number"])
+    """Consensus rows against themselves after the codec of all 17 columns, with some values changed afterwards: only those differ."""
+    path = _folder(spark, "blocks")
+    rows = cons(spark, d)
+    codec.compress(rows).write.parquet(path)
+    back = codec.decompress(spark.read.parquet(path))
+    at = F.col("pos")
+    changed = back.withColumn("quality", F.when(at % 100 == 7, F.col("quality") + 1).otherwise(F.col("quality"))).withColumn("base2", F.when(at % 50 == 3, "Q").otherwise(F.col("base2")))
+    changed = changed.withColumn("rank_p", F.when(at % 40 == 9, F.col("rank_p") + 2).otherwise(F.col("rank_p")))
+    return codec.differing(rows, changed, ["chr", "pos"], _EXACT, _NEAR)
+
+
+@query(_with(_CONS, "select * from cons"))
+def consensus_codec(spark, d):
+    path = _folder(spark, "blocks")
+    codec.compress(cons(spark, d), 512).write.parquet(path)
+    return codec.decompress(spark.read.parquet(path))
+
+
+@query(_with(["reads", "contigs", "ref", "known"], "select chr, pos, hapmap, validated, indel, f0, f1, f2, f3 from known"))
+def dbsnp_roundtrip(spark, d):
+    """Known SNPs written as the tab-separated file that the reader takes, each position twice; the first row counts."""
+    path = _folder(spark, "dbsnp")
+    rows = synth.dbsnp(spark, d)
+    lines = [F.concat_ws("\t", "chr", (F.col("pos") + 1).cast("string"), *[F.col(c).cast("string") for c in ("hapmap", "validated", "indel", "f0", "f1", "f2", "f3")], F.lit("rs1"))]
+    again = [F.concat_ws("\t", "chr", (F.col("pos") + 1).cast("string"), F.lit("0\t0\t1\t0\t0\t0\t0\trs2"))]
+    rows.select(F.explode(F.array(*lines, *again)).alias("value")).write.text(path)
+    known = pileup.known_sites(text.read_dbsnp(spark, path))
+    return known.select("chr", "pos", "hapmap", "validated", "indel", "f0", "f1", "f2", "f3")
+
+
+@query(_with(["reads", "contigs", "regions as (select chr, unnest(range(10, length + 1, 500)) as start from contigs)"], 'select chr, start::bigint as start, (start + 60)::bigint as "end" from regions'))
+def region_roundtrip(spark, d):
+    path = _folder(spark, "regions")
+    rows = synth.contigs(spark, d).select("chr", F.explode(F.expr("sequence(10L, length, 500L)")).alias("start"))
+    short = F.array(F.concat_ws("\t", "chr", F.col("start").cast("string"), (F.col("start") + 60).cast("string")), F.col("chr"))  # a line without its numbers is left out
+    rows.select(F.explode(short).alias("value")).write.text(path)
+    return text.read_regions(spark, path)
 
 
 def _folder(spark, name: str) -> str:
@@ -73,7 +107,12 @@ def _folder(spark, name: str) -> str:
     import uuid
 
     told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return f"{(told or 'file:///tmp/checkpoints/pileline').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not told and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    path = f"{(told or 'file:///tmp/checkpoints/pileline').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(place)
+    return path
 
 
 @query(domain.SQL["genome_blocks"])
@@ -98,11 +137,12 @@ def matrix_file_roundtrip(spark, d):
     return text.read_matrix(spark, path).withColumn("p", F.round("p", 9))
 
 
-@query(_with(_CONS, "select chr, pos, genotype, quality, base1, base2, depth, is_dbsnp from cons"))
+@query(_with(_CONS, "select * replace (" + ", ".join(f"round(case when {c} = 0 then 0 else round({c}, (5 - floor(log10(abs({c}))))::int) end, 6) as {c}" for c in ("rank_p", "copy_number")) + ") from cons"))
 def consensus_text_roundtrip(spark, d):
+    """All 17 columns; the last two numbers have six significant digits in the text."""
     path = _folder(spark, "consensus")
     text.write_consensus(cons(spark, d), path)
-    return text.read_consensus_text(spark, path).select("chr", "pos", "genotype", "quality", "base1", "base2", "depth", "is_dbsnp")
+    return text.read_consensus_text(spark, path).withColumns({c: F.round(c, 6) for c in ("rank_p", "copy_number")})
 
 
 @query(_with(_CONS, "select * from cons where chr = '3' and pos between 50 and 150"))

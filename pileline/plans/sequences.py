@@ -89,9 +89,35 @@ def minmax_element(spark, d):
     return seq.minmax_element(ev(spark, d), "idx", "v")
 
 
-@query("select sum(l_quantity::bigint * round(l_extendedprice)::bigint)::bigint as s, count(*) as n from lineitem")
+_CU = ", c as (select c_custkey as idx, round(c_acctbal)::bigint as w from customer)"
+
+
+def cu(spark, d):
+    """A second sequence: (idx, w) of the customers."""
+    return table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("idx"), F.round("c_acctbal").cast("long").alias("w"))
+
+
+@query(_EV + _CU + " select 11 + sum(v * w)::bigint as s, count(*) as n from e join c using (idx)")
 def inner_product(spark, d):
-    return table(spark, d, "lineitem").agg(F.sum(F.col("l_quantity").cast("long") * F.round("l_extendedprice").cast("long")).alias("s"), F.count(F.lit(1)).alias("n"))
+    return seq.inner_product(ev(spark, d), cu(spark, d), "idx", "v", "w", 11)
+
+
+@query(_EV + _CU + ' select idx, v as "left", w as "right" from e join c using (idx)')
+def zip_sequences(spark, d):
+    return seq.zipped(ev(spark, d), cu(spark, d), "idx", "v", "w")
+
+
+@query(_EV + " select count(*) as n, sum(v)::bigint as total from e")
+def for_each(spark, d):
+    """Counts and sums by accumulators."""
+    n, total = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def action(row):
+        n.add(1)
+        total.add(row.v)
+
+    seq.for_each(ev(spark, d).select("v"), action)
+    return spark.createDataFrame([(n.value, total.value)], "n long, total long")
 
 
 @query(_EV + " select k, bool_and(v >= 0) as all_of, bool_or(v > 150) as any_of, not bool_or(v > 190) as none_of from e group by k")
@@ -101,15 +127,12 @@ def all_any_none(spark, d):
 
 @query(_EV + " select row_number() over (order by v, idx) as rank, idx, v from e")
 def sort(spark, d):
-    """Places in sorted order, by ranges: a row number within a range and the ranges' sizes before it."""
-    ranged = ev(spark, d).repartitionByRange(F.col("v"), F.col("idx")).withColumn("part", F.spark_partition_id())
-    sizes = ranged.groupBy("part").count().select(F.col("part").alias("p"), F.coalesce(F.sum("count").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return ranged.withColumn("n", F.row_number().over(W.partitionBy("part").orderBy("v", "idx"))).join(sizes, F.col("part") == F.col("p")).select((F.col("before") + F.col("n")).alias("rank"), "idx", "v")
+    return seq.ranked(ev(spark, d).select("idx", "v"), "v", "idx")
 
 
-@query(_EV + " select k, idx, row_number() over (partition by k order by v, idx) as place from e")
+@query(_EV + " select row_number() over (order by k, idx) as place, k, idx, v from e")
 def stable_sort_by_key(spark, d):
-    return ev(spark, d).select("k", "idx", F.row_number().over(W.partitionBy("k").orderBy("v", "idx")).cast("long").alias("place"))
+    return seq.stable_sort_by_key(ev(spark, d).select("k", "idx", "v"), "idx", "k")
 
 
 @query("select o_custkey, array_to_string(list_sort(list(o_orderkey)), ',') as keys from orders group by o_custkey")
@@ -188,9 +211,12 @@ def mismatch(spark, d):
     return seq.mismatch(a, a.withColumn("v", F.when(F.col("idx") >= 500, F.expr("(v) div 2")).otherwise(F.col("v"))), "idx", "v")
 
 
-@query(_EV + " select null::bigint is null as equal")
+@query(_EV + " select name, bool_and(v = w) as equal from (select 'same' as name, v, v as w from e union all select 'one differs', v, case when idx = 700 then v + 1 else v end from e) group by name")
 def equal(spark, d):
-    return seq.mismatch(ev(spark, d), ev(spark, d), "idx", "v").select("equal")
+    a = ev(spark, d)
+    others = {"same": a.select("*"), "one differs": a.withColumn("v", F.col("v") + (F.col("idx") == 700).cast("int"))}
+    found = [seq.mismatch(a, b, "idx", "v").select(F.lit(name).alias("name"), "equal") for name, b in others.items()]
+    return found[0].unionAll(found[1])
 
 
 _N = "(select count(*) from events)"
@@ -245,10 +271,10 @@ def replace_if(spark, d):
     return ev(spark, d).select("idx", F.when(F.col("v") > 100, F.lit(-1).cast("long")).otherwise(F.col("v")).alias("v"), F.when(F.col("k") == "click", "tap").otherwise(F.col("k")).alias("k"))
 
 
-@query(_EV + " select idx, v * 2 + 1 as a, idx - v as b, greatest(idx, v) as c, least(idx, v) as d, v % 7 as m, -v as n from e")
+@query(_EV + " select idx, v * 2 + 1 as a, idx - v as b, greatest(idx, v) as c, least(idx, v) as d, v % 7 as m, -v as n, v // 3 as q from e")
 def transform(spark, d):
     i, v = F.col("idx"), F.col("v")
-    return ev(spark, d).select("idx", (v * 2 + 1).alias("a"), (i - v).alias("b"), F.greatest(i, v).alias("c"), F.least(i, v).alias("d"), (v % 7).alias("m"), (-v).alias("n"))
+    return ev(spark, d).select("idx", (v * 2 + 1).alias("a"), (i - v).alias("b"), F.greatest(i, v).alias("c"), F.least(i, v).alias("d"), (v % 7).alias("m"), (-v).alias("n"), F.expr("v div 3").alias("q"))
 
 
 @query(_EV + " select idx, case when v % 2 = 0 then v // 2 else v end as v from e")
@@ -271,9 +297,12 @@ def generate(spark, d):
     return spark.range(1000).select(F.col("id").alias("idx"), (F.col("id") * F.col("id") + 1).alias("v"))
 
 
-@query(_EV + " select idx, k as v, v as k from e")
+@query(_EV + _CU + """, b as (select idx, case when idx between 20 and 79 then true else false end as inside, v, w from e join c using (idx))
+    select 'events' as side, e.idx, case when b.inside then b.w else e.v end as v from e left join b using (idx)
+    union all select 'customers', c.idx, case when b.inside then b.v else c.w end from c left join b using (idx)""")
 def swap_ranges(spark, d):
-    return ev(spark, d).select("idx", F.col("k").alias("v"), F.col("v").alias("k"))
+    a, b = seq.swap_ranges(ev(spark, d).select("idx", "v"), cu(spark, d).withColumnRenamed("w", "v"), "idx", "v", 20, 80)
+    return a.select(F.lit("events").alias("side"), "idx", "v").unionAll(b.select(F.lit("customers").alias("side"), "idx", "v"))
 
 
 @query("select user_id from events where event_type = 'click' intersect all select user_id from events where event_type = 'view'")
