@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import random
 from ..operators import calibrate, codec, pileup
 from ..sources import text
 from ..streaming import pileup as stream
@@ -177,19 +178,50 @@ def stream_windows(spark, d):
     return _streamed(spark, reads.unionAll(last), lambda r: stream.windows_stream(r, 500), "windows").filter("chr <> 'end'")
 
 
-@query("with recursive g(i, x) as (select 1, (48271::bigint * 1) % 2147483647 union all select i + 1, (48271 * x) % 2147483647 from g where i < 2000) select i::bigint as idx, x from g")
+_LCG = "with recursive g(i, x, y) as (select 1, 48271::bigint, 16807::bigint union all select i + 1, (48271 * x) % 2147483647, (16807 * y) % 2147483647 from g where i < 6000)"
+
+
+@query(_LCG + " select i::bigint as idx, x, y from g where i <= 2000")
 def random_lcg(spark, d):
-    """The minimal standard generator from seed 1, each place by itself: the factor's power modulo 2^31 - 1 by halving."""
-    power = """aggregate(sequence(0, 31), named_struct('r', 1L, 'b', 48271L), (s, k) ->
-        named_struct('r', if((idx >> k) & 1 = 1, (s.r * s.b) % 2147483647L, s.r), 'b', (s.b * s.b) % 2147483647L), s -> s.r)"""
-    return spark.range(1, 2001).withColumnRenamed("id", "idx").select("idx", F.expr(power).alias("x"))
+    """The two minimal standard generators from seed 1."""
+    idx = F.col("idx")
+    return spark.range(1, 2001).withColumnRenamed("id", "idx").select("idx", random.lcg(idx).alias("x"), random.lcg(idx, 16807).alias("y"))
 
 
-@query(None)
+@query(_LCG + " select i::bigint as idx, round(x / 2147483647.0, 12) as u, (10 * x) // 2147483647 as n from g where i <= 1000")
 def random_uniform(spark, d):
-    return spark.range(1000).select("id", F.rand(7).alias("u"), F.floor(F.rand(8) * 10).alias("n"))
+    """Uniform draws: in (0, 1), and whole numbers 0 to 9."""
+    x = random.lcg(F.col("idx"))
+    return spark.range(1, 1001).withColumnRenamed("id", "idx").select("idx", F.round(random.uniform(x), 12).alias("u"), random.below(x, 10).alias("n"))
 
 
-@query(None)
+@query(_LCG + " select (a.i // 2 + 1)::bigint as idx, round(sqrt(-2 * ln(a.x / 2147483647.0)) * cos(2 * pi() * b.x / 2147483647.0), 9) as z from g a join g b on b.i = a.i + 1 where a.i % 2 = 1 and a.i < 2000")
 def random_normal(spark, d):
-    return spark.range(1000).select("id", F.randn(7).alias("z"))
+    """Normal draws, each from two uniform ones."""
+    return spark.range(1, 1001).withColumnRenamed("id", "idx").select("idx", F.round(random.normal(F.col("idx")), 9).alias("z"))
+
+
+@query(_LCG + " select ((i - 1) // 23 * 5 + (i - 1) % 23 + 1)::bigint as idx, x from g where (i - 1) % 23 < 5 and (i - 1) // 23 * 5 + (i - 1) % 23 < 1000")
+def random_discard_block(spark, d):
+    """The first 5 of each 23 draws."""
+    return spark.range(1, 1001).withColumnRenamed("id", "idx").select("idx", random.lcg(random.discarded(F.col("idx"), 23, 5)).alias("x"))
+
+
+@query(_LCG + " select i::bigint as idx, xor(x, y << 3) as x from g where i <= 1000")
+def random_xor_combine(spark, d):
+    idx = F.col("idx")
+    return spark.range(1, 1001).withColumnRenamed("id", "idx").select("idx", random.xor_combined(random.lcg(idx), random.lcg(idx, 16807), 0, 3).alias("x"))
+
+
+def _lfsr_sql(z: str, k: int, q: int, s: int) -> str:
+    low = f"{z} & {(1 << 32) - (1 << (32 - k))}"
+    return f"xor((({low}) << {s}) & 4294967295, xor(({z} << {q}) & 4294967295, {z}) >> {k - s})"
+
+
+@query(
+    "with recursive g(i, a, b, c) as (select 0, 341::bigint, 341::bigint, 341::bigint union all select i + 1, "
+    + ", ".join(_lfsr_sql(z, *random.TAUS88[j]) for j, z in enumerate("abc"))
+    + " from g where i < 1000) select i::bigint as idx, xor(a, xor(b, c)) as x from g where i > 0"
+)
+def random_taus88(spark, d):
+    return random.taus88(spark, 1000)

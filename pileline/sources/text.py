@@ -18,13 +18,23 @@ def read_fasta(spark: SparkSession, path: str, block: int = BLOCK) -> tuple[Data
     no contig. Lines are joined by contig through their places in the file: each line knows its length, a running sum by
     contig gives its start, and lines are cut where blocks begin. No contig is held as one value."""
     lines = spark.read.text(path).select(F.col("value"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("n"))
-    # ids grow along a file's splits, so the header of a line is the last one with a smaller id
-    heads = lines.filter(F.startswith("value", F.lit(">"))).select("file", "n", F.regexp_extract("value", r"^>\s*(\S*)", 1).alias("chr"))
-    until = F.coalesce(F.lead("n").over(W.partitionBy("file").orderBy("n")), F.lit(2**63 - 1))
-    spans = heads.select(F.col("file").alias("__f"), F.col("n").alias("__a"), until.alias("__z"), "chr")
-    body = lines.filter(~F.startswith("value", F.lit(">"))).withColumn("seq", F.regexp_replace("value", r"\s", "")).filter("seq <> ''")
-    placed = body.join(spans, (F.col("file") == F.col("__f")) & (F.col("n") > F.col("__a")) & (F.col("n") < F.col("__z")))
-    start = F.coalesce(F.sum(F.length("seq")).over(W.partitionBy("chr").orderBy("n").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    # ids grow along a file's splits. A line's header is the last one before it in its split, else the last one of the splits
+    # before; so lines meet no contigs, and only rows of one split, or one row a split, are ever ordered together
+    split, name = F.shiftright("n", 33).alias("split"), F.regexp_extract("value", r"^>\s*(\S*)", 1)
+    rows = lines.select("file", "n", split, F.when(F.startswith("value", F.lit(">")), name).alias("head"), "value")
+    own = F.last("head", ignorenulls=True).over(W.partitionBy("file", "split").orderBy("n").rowsBetween(W.unboundedPreceding, 0))
+    tails = rows.groupBy("file", "split").agg(F.max(F.when(F.col("head").isNotNull(), F.struct("n", "head")))["head"].alias("tail"))
+    before = F.last("tail", ignorenulls=True).over(W.partitionBy("file").orderBy("split").rowsBetween(W.unboundedPreceding, -1))
+    tails = tails.select(F.col("file").alias("__f"), F.col("split").alias("__s"), before.alias("before"))
+    body = rows.withColumn("own", own).filter("head IS NULL").withColumn("seq", F.regexp_replace("value", r"\s", "")).filter("seq <> ''")
+    placed = body.join(tails, (F.col("file") == F.col("__f")) & (F.col("split") == F.col("__s"))).withColumn("chr", F.coalesce("own", "before")).filter("chr IS NOT NULL")
+    # places, too, are summed up by split first
+    sums = placed.groupBy("chr", "split").agg(F.sum(F.length("seq")).alias("letters"))
+    earlier = F.coalesce(F.sum("letters").over(W.partitionBy("chr").orderBy("split").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(F.col("chr").alias("__c"), F.col("split").alias("__p"), earlier.alias("earlier"))
+    inside = F.coalesce(F.sum(F.length("seq")).over(W.partitionBy("chr", "split").orderBy("n").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = placed.withColumn("inside", inside).join(sums, (F.col("chr") == F.col("__c")) & (F.col("split") == F.col("__p")))
+    start = F.col("earlier") + F.col("inside")
     placed = placed.select("chr", start.alias("start"), "seq")
     parts = placed.select("chr", "start", "seq", F.explode(F.expr(f"sequence((start) div {block}, (start + length(seq) - 1) div {block})")).alias("block"))
     left = F.greatest(F.col("block") * block, F.col("start"))
