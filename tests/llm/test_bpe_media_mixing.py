@@ -118,3 +118,42 @@ def test_mixing_meets_targets(spark):
     copies = mixing.mixed_documents(df).groupBy("doc_id").count().collect()
     assert {x.doc_id: x["count"] for x in copies if next(y.size for y in rows if y.doc_id == x.doc_id)} == {x.doc_id: x.taken // x.size for x in rows if x.taken}
     assert mixing.mixed(df.limit(0)).count() == 0
+
+
+def test_tiles_by_plain_loops(spark, tmp_path):
+    image = np.random.default_rng(2).integers(0, 256, (7, 5, 3), dtype=np.uint8)
+    n = 4
+    cell = lambda i, k, size: max(0.0, min((i + 1) * size / n, k + 1) - max(i * size / n, k))
+    want = np.zeros((n, n, 3))
+    for y in range(n):
+        for x in range(n):
+            for row in range(7):
+                for column in range(5):
+                    want[y, x] += cell(y, row, 7) * cell(x, column, 5) * image[row, column] * n * n / 35
+    stored = [(1, bytearray(media.encode_netpbm(image))), (2, bytearray(media.encode_bmp(image)))]
+    media.write_tiles(media.tiles(spark.createDataFrame(stored, "id int, m binary"), "id", "m", n), str(tmp_path / "t"))
+    read = spark.read.parquet(str(tmp_path / "t")).collect()
+    assert len(read) == 2 and len({x.dhash for x in read}) == 1
+    for x in read:
+        assert (np.load(__import__("io").BytesIO(x.tile)) == np.rint(want)).all() and (x.height, x.width, x.planes) == (7, 5, 3)
+    grey = media.grey(media.resize(image, 8, 9))
+    bits = "".join(str(int(grey[y, x + 1] > grey[y, x])) for y in range(8) for x in range(8))
+    assert read[0].dhash == f"{int(bits, 2):016x}"
+    tall = np.random.default_rng(3).integers(0, 256, (10_001, 3, 1), dtype=np.uint8)  # more rows than a strip has
+    assert np.allclose(media.resize(tall, 1, 1), tall.mean()) and np.allclose(media.resize(tall, 10_001, 3), tall)
+
+
+def test_the_tile_of_a_text_is_returned(spark):
+    rows = media.media_digests(media.text_media(spark.createDataFrame([(1, "abc" * 500), (2, None), (1, "abc" * 500)], "doc_id long, text string"))).collect()
+    assert all(np.load(__import__("io").BytesIO(x.tile)).shape == (16, 16, 3) for x in rows)
+    assert all(x.feature.endswith(hashlib.sha256(x.tile).hexdigest()[:32]) for x in rows)
+
+
+def test_mixing_keeps_clashing_columns_and_cells_are_even(spark):
+    names = "__key __s __epochs __last __n __copy __id __size __source __cell".split()
+    df = spark.range(300).selectExpr("id as doc_id", "repeat('w ', 5) as text", "if(id % 3 = 0, 'a', null) as source", *[f"'x{k}' as {c}" for k, c in enumerate(names)])
+    out = mixing.mixed_documents(df).collect()
+    assert out and all([x[c] for c in names] == [f"x{k}" for k in range(len(names))] for x in out)
+    # a source of the least weight: no cell gets a hundredth of its rows
+    low = mixing.sized(spark.range(100_000).selectExpr("id as doc_id", "'a' as text", "'s' as source"), "doc_id", "text", "source", F.lit(0.1))
+    assert low.groupBy("__cell").count().agg(F.max("count")).first()[0] < 1000

@@ -113,3 +113,89 @@ def test_rare_and_long_words_are_kept(spark):
     long = "donaudampfschifffahrtsgesellschaft"
     df = spark.createDataFrame([(1, f"http://velvetlantern{long}.org/", f"{many} velvet lantern {long}")], "page_id long, url string, html string")
     assert urls.judge(df, urls.RULES, urls.learn(df)).first().words == ["velvet", "lantern", long, "org"]
+
+
+def test_scores_by_plain_loops():
+    r = random.Random(3)
+    text = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randrange(1, 9))) for _ in range(n))
+    texts = [text(n) for n in (1, 30, 200, 700)] + [""]
+    x, counts = quality.features(texts)
+    model = quality.fit(x, counts, np.array([1.0, 0.0, 1.0, 0.0, 1.0], np.float32), epochs=3)
+    w, at = {k: v.astype(np.float64) for k, v in model.weights.items()}, 0
+    for n, got in zip(counts, model.scores(texts), strict=True):
+        passages = [np.tanh(((row - model.mean) / model.scale) @ w["encode"] + w["encode_bias"]) for row in x[at : at + n].astype(np.float64)]
+        heat = [np.exp(sum(a * np.tanh(e @ look) / (1 + np.exp(-(e @ gate))) for a, look, gate in zip(w["attend"], w["look"].T, w["gate"].T, strict=True))) for e in passages]
+        whole = sum(h / sum(heat) * e for h, e in zip(heat, passages, strict=True))
+        assert abs(got - 1 / (1 + np.exp(-(whole @ w["score"] + w["score_bias"][0])))) < 1e-4
+        at += n
+
+
+def by_counters(symbols):
+    """What the grammar makes of a clause: negated (j, u), reported (k, v), with a target (I, T)."""
+    out, negated, near, said = [], 0, 0, False
+    for s in symbols:
+        o = s
+        if s in "it" and negated:
+            o = "j" if s == "i" else "u"
+        negated = toxicity.NEGATION_REACH if s == "n" else max(0, negated - 1)
+        if o in "it" and said:
+            o = "k" if o == "i" else "v"
+        said = said or s == "r"
+        if o in "it" and near:
+            o = o.upper()
+        near = toxicity.TARGET_REACH if s == "y" else max(0, near - 1)
+        out.append(o)
+    near = 0
+    for k in reversed(range(len(out))):
+        if out[k] in "it" and near:
+            out[k] = out[k].upper()
+            near -= 1
+        else:
+            near = toxicity.TARGET_REACH if out[k] == "y" else max(0, near - 1)
+    return "".join(out)
+
+
+def test_the_composed_grammar_does_what_counters_do():
+    r = random.Random(5)
+    for _ in range(3000):
+        symbols = "".join(r.choice("itynrooo") for _ in range(r.randrange(1, 14)))
+        assert toxicity.BACKWARDS.run(toxicity.FORWARDS.run(symbols)[::-1])[::-1] == by_counters(symbols), symbols
+
+
+def test_segmentation_is_the_best_of_all_splits():
+    r = random.Random(7)
+    words = {w: -r.uniform(1, 9) for w in {"".join(r.choice("ab") for _ in range(r.randrange(1, 5))) for _ in range(14)}}
+    longest = max(map(len, words))
+    value = lambda w: words.get(w, -12.0 if len(w) == 1 else -1e9)
+    for _ in range(300):
+        piece = "".join(r.choice("abc") for _ in range(r.randrange(1, 10)))
+        best = max(sum(map(value, split)) for split in splits(piece))
+        got = urls.segment(piece, words, -12.0, longest)
+        assert "".join(got) == piece and abs(sum(map(value, got)) - best) < 1e-9
+
+
+def splits(piece):
+    if not piece:
+        return [[]]
+    return [[piece[:k], *rest] for k in range(1, len(piece) + 1) for rest in splits(piece[k:])]
+
+
+def test_bayes_scores_by_plain_counts(spark):
+    hosts = ["casino", "bigcasino", "catfood", "dogfood", "dog", "cat", "casino", "foodblog"]
+    pages = [(k, f"http://{h}.{t}/x/{p}", "<p>casino big cat dog food blog news big dog cat food</p>" * 3) for k, (h, t, p) in enumerate((h, t, p) for h in hosts for t in ("com", "org") for p in ("cat", "dog"))]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    model = urls.learn(df)
+    rows = {x.page_id: x for x in urls.judge(df, urls.RULES, model).collect()}
+    b, a = {}, {}
+    for x in rows.values():
+        assert "".join(x.words) == f"{x.host}{x.path}".replace(".", "").replace("/", "")
+        side = b if x.rule is None and set(x.words) & set(urls.BLOCK_WORDS) else a
+        for w in x.words:
+            side[w] = side.get(w, 0) + 1
+    for words, side in ((urls.BLOCK_WORDS, b), (urls.ALLOW_WORDS, a)):
+        for w in set(words):
+            side[w] = side.get(w, 0) + urls.SEED_WEIGHT
+    kinds = len({*a, *b})
+    for x in rows.values():
+        odds = np.log(urls.PRIOR / (1 - urls.PRIOR)) + sum(np.log((b.get(w, 0) + 1) / (sum(b.values()) + kinds + 1)) - np.log((a.get(w, 0) + 1) / (sum(a.values()) + kinds + 1)) for w in x.words)
+        assert abs(x.score - 1 / (1 + np.exp(-odds))) < 1e-6 and (x.verdict == "block") == (odds > 0)
