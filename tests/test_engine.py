@@ -1,3 +1,4 @@
+import math
 import random
 from itertools import combinations
 
@@ -7,6 +8,7 @@ from pileline.functions import bases as B
 from pileline.operators import calibrate, codec, pileup, posterior, seq
 from pileline.params import CallParams
 from pileline.sources import text
+from pileline.streaming.pileup import refuse_late
 from pyspark.sql import functions as F
 
 READS = "read_idx bigint, read_id string, seq string, qual string, hit int, ab string, read_len int, strand string, chr string, pos bigint, mismatch int, indel_pos int"
@@ -138,3 +140,92 @@ def test_fasta_lines_headers_and_blocks(spark, tmp_path):
     blocks, contigs = text.read_fasta(spark, str(tmp_path / "g.fa"), block=4)
     assert sorted((x.chr, x.block, x.seq) for x in blocks.collect()) == [("c1", 0, "ACGT"), ("c1", 1, "ACGT"), ("c1", 2, "A"), ("c2", 0, "NNN")]
     assert sorted(map(tuple, contigs.collect())) == [("c1", 9), ("c2", 3)]
+
+
+def tail(z):
+    """Normal tail by the error function."""
+    return 0.5 * math.erfc(abs(z) / math.sqrt(2))
+
+
+def test_rank_sums_of_many_observations_are_normal(spark):
+    r = random.Random(17)
+    rows, want = [], []
+    for n1, n2, shift in ((40, 30, 0), (33, 31, 4), (100, 20, -3), (32, 32, 0)):
+        a, b = [r.randrange(10, 40) for _ in range(n1)], [r.randrange(10, 40) + shift for _ in range(n2)]
+        every = sorted(a + b)
+        mid = {q: every.index(q) + (1 + every.count(q)) / 2 for q in every}
+        deviates = []
+        for own, other in ((a, b), (b, a)):
+            n = len(every) + 1
+            deviates.append((sum(mid[q] for q in own) - len(own) * n // 2) / math.sqrt(len(own) * len(other) * n / 12))
+        want.append(tail(max(deviates, key=abs)))
+        seen = [(0, q) for q in a] + [(1, q) for q in b] + [(3, 20)] * 5
+        r.shuffle(seen)
+        rows.append((1, n1, n2, 0, 5, seen))  # type 1: bases 0 and 1
+    df = spark.createDataFrame(rows, "type1 int, uni0 int, uni1 int, uni2 int, uni3 int, seen array<struct<base:int,q:int>>")
+    got = [x.rank_p for x in posterior.rank_sums(df).collect()]
+    assert all(abs(g - w) < 1e-6 for g, w in zip(got, want, strict=True))
+
+
+def test_exact_rank_interpolates_between_neighbours(spark):
+    a, b = [10, 12, 14, 15], [12, 13, 20, 21, 22]
+    every = sorted(a + b)
+    mid = {q: every.index(q) + (1 + every.count(q)) / 2 for q in every}
+    t = sum(mid[q] for q in a)
+    table = {(x.n, x.n1, x.t): x.p for x in posterior.rank_table_frame(spark).filter("n = 9").collect()}
+    low = int(t)
+    want = table[9, 4, low] + (t - low) * (table[9, 4, low + 1] - table[9, 4, low])
+    df = spark.createDataFrame([(1, 4, 5, 0, 0, [(0, q) for q in a] + [(1, q) for q in b])], "type1 int, uni0 int, uni1 int, uni2 int, uni3 int, seen array<struct<base:int,q:int>>")
+    assert t != low and abs(posterior.rank_sums(df, exact=True).first().rank_p - want) < 1e-9
+
+
+def test_late_reads_stop_a_stream(spark, tmp_path):
+    reads = [read(0, "ACGTACGT", 5), read(1, "ACGTACGT", 90)]
+    spark.createDataFrame(reads, READS).write.parquet(str(tmp_path / "in"))
+    closed = spark.createDataFrame([("c", 50)], "chr string, upto bigint")
+    seen = []
+
+    def batch(df, _):
+        seen.append(refuse_late(df, closed).count())
+
+    def run(rows, name):
+        rows.writeStream.foreachBatch(batch).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination()
+
+    source = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).parquet(str(tmp_path / "in"))
+    run(source.filter("pos >= 50"), "a")
+    assert sum(seen) == 1
+    with pytest.raises(Exception, match="late read 0"):
+        run(source, "b")
+
+
+def test_calls_compile_to_whole_stages(spark):
+    spark.conf.set("spark.sql.codegen.fallback", "false")  # a method that grows too large is then an error
+    try:
+        r = random.Random(2)
+        genome = {"c": "".join(r.choice("ACGT") for _ in range(40))}
+        known = spark.createDataFrame([("c", 9, 1, 0, 0, 0.7, 0.3, 0.0, 0.0)], "chr string, pos bigint, hapmap int, validated int, indel int, f0 double, f1 double, f2 double, f3 double")
+        reads = [read(k, "".join(r.choice("ACGT") for _ in range(8)), 1 + k % 30) for k in range(60)]
+        params = CallParams(read_length=8, refine=True, rank_sum=True)
+        assert posterior.consensus(calls(spark, reads, genome, params, known)).count() == 40
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+
+
+def test_fasta_over_many_splits(spark, tmp_path):
+    r = random.Random(8)
+    contigs = {f"c{k}": "".join(r.choice("ACGTN") for _ in range(r.randrange(0, 400))) for k in range(60)}
+    body = "".join(f">{c} x\n" + "".join(s[k : k + 37] + "\n" for k in range(0, len(s), 37)) for c, s in contigs.items())
+    (tmp_path / "g.fa").write_text(body)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        blocks, lengths = text.read_fasta(spark, str(tmp_path / "g.fa"), block=64)
+        found = {}
+        for x in sorted(blocks.collect(), key=lambda x: (x.chr, x.block)):
+            found[x.chr] = found.get(x.chr, "") + x.seq
+        assert found == {c: s for c, s in contigs.items() if s}
+        assert dict(map(tuple, lengths.collect())) == {c: len(s) for c, s in contigs.items() if s}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")

@@ -5,7 +5,6 @@ import pytest
 from pileline.plans import catalog
 
 DIR = "/root/testdata/sf0.001"
-SLOW = {"sparse_nonzero", "codec_roundtrip_diff", "rank_table"}
 
 
 def rows(columns, data):
@@ -26,7 +25,7 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", [n for n in catalog.SQL if n not in SLOW])
+@pytest.mark.parametrize("name", list(catalog.SQL))
 def test_query(spark, duck, name):
     got = catalog.QUERIES[name](spark, DIR)
     want = duck.execute(catalog.SQL[name])
