@@ -256,7 +256,8 @@ def _classes(docs: DataFrame, place: _Place, similarity: float) -> DataFrame:
     members = shelf.put(members.select("hi", "lo", "at", "n", F.coalesce("root", "id").alias("root")))
     first = F.col("first")
     heads = members.groupBy("root").agg(F.min("at").alias("first"), F.sum("n").alias("class_lines"))
-    heads = heads.select("root", place.doc(first).alias("first_doc"), place.copy(first).alias("first_copy"), place.no(first).alias("first_no"), "class_lines")
+    # staged, so that a class of very many lines can be split in the join
+    heads = shelf.put(heads.select("root", place.doc(first).alias("first_doc"), place.copy(first).alias("first_copy"), place.no(first).alias("first_no"), "class_lines"))
     out = staged(members.join(heads, "root").drop("root", "at", "n"))
     shelf.clear()
     return out

@@ -342,7 +342,7 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
 
     trees = linked_components(distinct.select("id", "bits", *KEYS), KEYS, within_ring(SKETCH_ALLOWED), fetch, _payload_sets, similarity)
     rooted = distinct.select("id", "hi", "lo", "__least").join(trees, F.col("id") == F.col("node"), "left").select("hi", "lo", "__least", F.coalesce("root", "id").alias("root"))
-    heads = rooted.groupBy("root").agg(F.min("__least").alias("component_id"))
+    heads = shelf.put(rooted.groupBy("root").agg(F.min("__least").alias("component_id")))  # staged, so that a large class can be split in the join
     classes = staged(rooted.join(heads, "root").select("hi", "lo", "component_id"))
     shelf.clear()
     return marked.select("__key", "hi", "lo").join(classes, ["hi", "lo"]).select(F.col("__key").alias(id_col), "component_id")
