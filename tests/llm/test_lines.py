@@ -109,16 +109,16 @@ def test_a_crowded_family_is_one_component_and_strangers_stay_out(spark):
 
 
 def test_a_family_of_lines_of_one_template(spark):
-    # 400 lines, pairs of them alike (0.91), across pairs not (0.78): they share many band keys
+    # 400 lines, pairs of them alike (0.90), across pairs not (0.79 at most): they share many band keys
     r = random.Random(9)
     text = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
-    template, rows = text(170), []
+    template, rows = text(150), []
     for _ in range(200):
         own = text(14)
         rows += [template + own + text(9), template + own + text(9)]
     sets = [lines.shingles(x) for x in rows]
     assert min(lines.jaccard(sets[2 * k], sets[2 * k + 1]) for k in range(200)) >= 0.8
-    assert max(lines.jaccard(sets[2 * k], sets[2 * k + 2]) for k in range(199)) < 0.8
+    assert max(lines.jaccard(sets[a], sets[b]) for a in range(400) for b in range(a) if a // 2 != b // 2) < 0.8
     for n in (60, 400):  # below and above the size of a crowded key
         df = spark.createDataFrame(list(enumerate(rows[:n])), "doc_id long, text string")
         got = {x.doc_id: x.class_doc for x in lines.judged_lines(df).collect()}
