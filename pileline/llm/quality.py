@@ -24,7 +24,8 @@ from .util import text_of
 PASSAGE = 64
 BUCKETS = 32
 HIDDEN, GATE = 24, 12
-#: Bounds on what is learned from: rows, and passages of a row (rows of more are no training rows; they are scored whole).
+#: Bounds on what is learned from: rows, and encodings of a row. A training row of more passages gives the means of runs of
+#: neighbouring ones, so that all of its text counts; scores always look at each passage by itself.
 MOST_ROWS, MOST_PASSAGES = 6_000, 2_000
 
 #: Character classes: lower, upper, other letter, digit, full stop, comma, !?, space, line feed, the signs, other punctuation, the rest.
@@ -181,6 +182,14 @@ def fit(x: np.ndarray, counts: np.ndarray, y: np.ndarray, epochs: int = 60, batc
     return model
 
 
+def merged(x: np.ndarray, most: int = MOST_PASSAGES) -> np.ndarray:
+    """At most ``most`` rows: the means of runs of neighbouring rows, whose lengths differ by one at most."""
+    if len(x) <= most:
+        return x
+    cuts = np.arange(most + 1) * len(x) // most
+    return np.add.reduceat(x, cuts[:-1]) / np.diff(cuts)[:, None].astype(x.dtype)
+
+
 def learn(rows: DataFrame) -> Model:
     """The model of a bounded sample (text, label); encodings of its passages come to the driver."""
 
@@ -188,10 +197,8 @@ def learn(rows: DataFrame) -> Model:
         for batch in batches:
             xs, ys = [], []
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x, counts = features([text])
-                if counts[0] <= MOST_PASSAGES:
-                    xs.append(x.astype(np.float16).tobytes())
-                    ys.append(y)
+                xs.append(merged(features([text])[0]).astype(np.float16).tobytes())
+                ys.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(xs, pa.binary()), pa.array(ys, pa.float64())], names=["x", "y"])
 
     got = rows.select("text", "label").mapInArrow(run, "x binary, y double").toArrow()

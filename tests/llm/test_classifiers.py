@@ -199,3 +199,12 @@ def test_bayes_scores_by_plain_counts(spark):
     for x in rows.values():
         odds = np.log(urls.PRIOR / (1 - urls.PRIOR)) + sum(np.log((b.get(w, 0) + 1) / (sum(b.values()) + kinds + 1)) - np.log((a.get(w, 0) + 1) / (sum(a.values()) + kinds + 1)) for w in x.words)
         assert abs(x.score - 1 / (1 + np.exp(-odds))) < 1e-6 and (x.verdict == "block") == (odds > 0)
+
+
+def test_long_training_rows_are_merged_whole():
+    x = np.random.default_rng(4).random((1003, quality.WIDTH)).astype(np.float32)
+    got = quality.merged(x, 100)
+    lengths = [(k + 1) * 1003 // 100 - k * 1003 // 100 for k in range(100)]
+    assert set(lengths) == {10, 11} and got.shape == (100, quality.WIDTH)
+    assert np.allclose((got * np.array(lengths)[:, None]).sum(0), x.sum(0), rtol=1e-4)
+    assert quality.merged(x, 1003) is x
