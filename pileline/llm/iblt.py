@@ -11,7 +11,8 @@ The fingerprint is the smallest sketch, written as text.
 
 Defined results: null counts as empty, which has no paragraph; two texts without paragraphs are alike (1.0); repeated
 paragraphs of a text count once; rows with the same id stand in descending order of their texts; a table of one row has that
-row as its own next document. Only the id and the text are read. Ids are numbers.
+row as its own next document. Only the id and the text are read. Ids are numbers; any
+other type is an error in comparisons with the next document.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from .util import SPACES, staged, text_of
 
@@ -47,10 +49,13 @@ def _place(digest: str, part: str, size: int) -> str:
 
 def sketch_sql(digests: str, size: int = PART) -> str:
     """The cells of an array of digests: struct(c: count, k: XOR of digests, h: XOR of checks)."""
+    # checks and places are made once a digest, not once a cell
+    places = ", ".join(f"'p{j}', cast({_place('d', str(j), size)} as int)" for j in range(PARTS))
+    items = f"transform({digests}, d -> named_struct('k', d, 'h', xxhash64(d) & 4294967295L, {places}))"
     empty = "named_struct('c', 0, 'k', 0L, 'h', 0L)"
-    add = "(s, d) -> named_struct('c', s.c + 1, 'k', s.k ^ d, 'h', s.h ^ (xxhash64(d) & 4294967295L))"
-    parts = (f"transform(sequence(0L, {size - 1}L), i -> aggregate(filter({digests}, d -> {_place('d', str(j), size)} = i), {empty}, {add}))" for j in range(PARTS))
-    return f"concat({', '.join(parts)})"
+    add = "(s, x) -> named_struct('c', s.c + 1, 'k', s.k ^ x.k, 'h', s.h ^ x.h)"
+    parts = (f"transform(sequence(0, {size - 1}), i -> aggregate(filter(t, x -> x.p{j} = i), {empty}, {add}))" for j in range(PARTS))
+    return f"transform(array({items}), t -> concat({', '.join(parts)}))[0]"
 
 
 def subtract_sql(a: str, b: str) -> str:
@@ -120,15 +125,18 @@ def likeness(a: Column, b: Column, found: Column) -> Column:
 def _group(df: DataFrame, id_col: str) -> Column:
     """Number of the quantile group of an id, from the lowest ids up; null ids are in the lowest. The quantiles are those of
     all ids, four for each shuffle partition."""
+    if not isinstance(df.schema[id_col].dataType, NumericType):
+        raise TypeError(f"ids in {id_col} have to be numbers: the next document is found by their quantiles")
     groups = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ids = df.select(F.col(f"`{id_col}`").cast("double").alias("x")).filter("x is not null")
     cuts = sorted(set(ids.approxQuantile("x", [k / groups for k in range(1, groups)], 0.25 / groups)))
     if not cuts:
         return F.lit(0)
+    # one literal, however many cuts there are: the text is folded to an array when the plan is made
+    known = f"cast(split('{','.join(f'{float(c)!r}' for c in cuts)}', ',') as array<double>)"
     halve = f"""aggregate(sequence(1, {len(cuts).bit_length()}), named_struct('l', 0, 'h', {len(cuts)}), (s, i) ->
-        if(s.l >= s.h, s, if(cuts[(s.l + s.h) div 2] < x, named_struct('l', cast((s.l + s.h) div 2 + 1 as int), 'h', s.h), named_struct('l', s.l, 'h', cast((s.l + s.h) div 2 as int)))), s -> s.l)"""
-    bound = halve.replace("cuts[", f"array({', '.join(f'{float(c)!r}D' for c in cuts)})[").replace("< x", f"< cast(`{id_col}` as double)")
-    return F.coalesce(F.expr(bound), F.lit(0))
+        if(s.l >= s.h, s, if({known}[(s.l + s.h) div 2] < cast(`{id_col}` as double), named_struct('l', cast((s.l + s.h) div 2 + 1 as int), 'h', s.h), named_struct('l', s.l, 'h', cast((s.l + s.h) div 2 as int)))), s -> s.l)"""
+    return F.coalesce(F.expr(halve), F.lit(0))
 
 
 def edited_versions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import pytest
 from pileline.llm import iblt
 from pyspark.sql import functions as F
 
@@ -54,3 +55,23 @@ def test_small_tables(spark):
     x = iblt.compared(one).first()
     assert x.near_next == 1.0 and x.n_chars == 5
     assert iblt.compared(one.limit(0)).count() == 0
+
+
+def test_ids_that_are_no_numbers_are_an_error(spark):
+    with pytest.raises(TypeError, match="numbers"):
+        iblt.compared(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
+
+
+def test_many_cuts_are_one_literal_and_change_nothing(spark):
+    docs = spark.range(3000).selectExpr("id * 7 - 900 AS doc_id", "concat('line ', id % 11, '. more ', id % 5) AS text")
+    few = iblt.compared(docs.limit(3000)).groupBy().agg(F.bit_xor(F.xxhash64("doc_id", "edited_sha256", "near_next"))).first()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "300")
+    try:
+        cut = docs.select(iblt._group(docs, "doc_id").alias("g"))
+        plan = cut._jdf.queryExecution().optimizedPlan().toString()
+        assert "split(" not in plan and cut.distinct().count() > 1000
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        assert iblt.compared(docs).groupBy().agg(F.bit_xor(F.xxhash64("doc_id", "edited_sha256", "near_next"))).first() == few
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
