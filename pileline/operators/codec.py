@@ -15,7 +15,7 @@ from pyspark.sql.types import _parse_datatype_string
 
 from .. import schema
 
-from .seq import reduce_by_key
+from .seq import ranked, reduce_by_key
 
 #: Two-bit codes of the packed form, in another order than the base codes: A0 C1 G2 T3 (fixed value).
 PACKED = "ACGT"
@@ -32,9 +32,7 @@ def rle_decode(runs: DataFrame, idx: str = "idx") -> DataFrame:
 
 def dictionary(df: DataFrame, value: str) -> DataFrame:
     """(value, code): the distinct values in order, from code 0. One row a distinct value, numbered by ranges."""
-    ranged = df.select(F.col(value).alias("value")).distinct().repartitionByRange(F.col("value")).withColumn("__part", F.spark_partition_id())
-    sizes = ranged.groupBy("__part").count().select(F.col("__part").alias("__q"), F.coalesce(F.sum("count").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    return ranged.withColumn("__n", F.row_number().over(W.partitionBy("__part").orderBy("value"))).join(sizes, F.col("__part") == F.col("__q")).select("value", (F.col("__before") + F.col("__n") - 1).alias("code"))
+    return ranked(df.select(F.col(value).alias("value")).distinct(), "value").select("value", (F.col("rank") - 1).alias("code"))
 
 
 def code_bits(entries: int) -> int:

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..files import staged
+
 BLOCK = 4096
 
 #: Folds by name: aggregate, combination of two partial results, value of nothing.
@@ -121,7 +123,7 @@ def bounds(values: DataFrame, value: str, probes: DataFrame, probe: str) -> Data
     counted = values.groupBy(F.col(value).alias("__x")).agg(F.count(F.lit(1)).alias("__n")).withColumn("__p", F.lit(False))
     asked = probes.select(F.col(probe).alias("__x")).distinct().withColumn("__n", F.lit(0).cast("long")).withColumn("__p", F.lit(True))
     merged = counted.unionByName(asked).groupBy("__x").agg(F.sum("__n").alias("__n"), F.max("__p").alias("__p"))
-    ranged = merged.repartitionByRange(F.col("__x")).withColumn("__part", F.spark_partition_id())
+    ranged = staged(merged.repartitionByRange(F.col("__x")).withColumn("__part", F.spark_partition_id()))
     before = ranged.groupBy("__part").agg(F.sum("__n").alias("__t")).select(F.col("__part").alias("__q"), F.coalesce(F.sum("__t").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__c"))
     upto = F.sum("__n").over(W.partitionBy("__part").orderBy("__x").rowsBetween(W.unboundedPreceding, 0))
     out = ranged.withColumn("__u", upto).join(before, F.col("__part") == F.col("__q")).filter("__p")
@@ -171,17 +173,21 @@ def swap_ranges(a: DataFrame, b: DataFrame, idx: str, value: str, start: int, st
 
 
 def ranked(df: DataFrame, *order: str, out: str = "rank") -> DataFrame:
-    """Adds the row's place, from 1, in that order: a row number within a range of it, and the ranges' sizes before it. A key
-    that many rows have is cut by the later columns of the order."""
-    rows = df.repartitionByRange(*[F.col(c) for c in order]).withColumn("__part", F.spark_partition_id())
-    before = F.coalesce(F.sum("count").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    sizes = rows.groupBy("__part").count().select(F.col("__part").alias("__q"), before.alias("__before"))
-    numbered = rows.withColumn("__n", F.row_number().over(W.partitionBy("__part").orderBy(*order)))
-    return numbered.join(sizes, F.col("__part") == F.col("__q")).withColumn(out, F.col("__before") + F.col("__n")).drop("__part", "__q", "__before", "__n")
+    """Adds the row's place, from 1, in that order (null last): its number within a range of it, and the ranges' sizes before it.
+    A key that many rows have is cut by the later columns of the order.
+
+    The ranges' bounds come from a sample, which another run of the same plan draws anew; so the rows are staged with their
+    range (upper bits) and number."""
+    ascending = [F.col(c).asc_nulls_last() for c in order]
+    rows = staged(df.repartitionByRange(*ascending).sortWithinPartitions(*ascending).withColumn("__at", F.monotonically_increasing_id()))
+    part, number = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    before = F.coalesce(F.sum("count").over(W.orderBy("__q").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sizes = rows.groupBy(part.alias("__q")).count().select("__q", before.alias("__before"))
+    return rows.join(sizes, part == F.col("__q")).withColumn(out, F.col("__before") + number + 1).drop("__at", "__q", "__before")
 
 
 def stable_sort_by_key(df: DataFrame, idx: str, key: str, out: str = "place") -> DataFrame:
-    """Adds the row's place, from 1, when rows are sorted by ``key`` and those of equal keys keep their order."""
+    """Adds the row's place, from 1, when rows are sorted by ``key`` (null last) and those of equal keys keep their order."""
     return ranked(df, key, idx, out=out)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..files import folder
 from ..functions import random
 from ..operators import calibrate, codec, pileup
 from ..sources import text
@@ -65,7 +66,7 @@ _NEAR = ["rank_p", "copy_number"]
     f"from cons, (select unnest({[*_EXACT, *_NEAR]}) as c) u group by u.c"))
 def codec_roundtrip_diff(spark, d):
     """Consensus rows against themselves after the codec of all 17 columns, with some values changed afterwards: only those differ."""
-    path = _folder(spark, "blocks")
+    path = folder(spark, "blocks")
     rows = cons(spark, d)
     codec.compress(rows).write.parquet(path)
     back = codec.decompress(spark.read.parquet(path))
@@ -77,7 +78,7 @@ def codec_roundtrip_diff(spark, d):
 
 @query(_with(_CONS, "select * from cons"))
 def consensus_codec(spark, d):
-    path = _folder(spark, "blocks")
+    path = folder(spark, "blocks")
     codec.compress(cons(spark, d), 512).write.parquet(path)
     return codec.decompress(spark.read.parquet(path))
 
@@ -85,7 +86,7 @@ def consensus_codec(spark, d):
 @query(_with(["reads", "contigs", "ref", "known"], "select chr, pos, hapmap, validated, indel, f0, f1, f2, f3 from known"))
 def dbsnp_roundtrip(spark, d):
     """Known SNPs written as the tab-separated file that the reader takes, each position twice; the first row counts."""
-    path = _folder(spark, "dbsnp")
+    path = folder(spark, "dbsnp")
     rows = synth.dbsnp(spark, d)
     lines = [F.concat_ws("\t", "chr", (F.col("pos") + 1).cast("string"), *[F.col(c).cast("string") for c in ("hapmap", "validated", "indel", "f0", "f1", "f2", "f3")], F.lit("rs1"))]
     again = [F.concat_ws("\t", "chr", (F.col("pos") + 1).cast("string"), F.lit("0\t0\t1\t0\t0\t0\t0\trs2"))]
@@ -96,36 +97,23 @@ def dbsnp_roundtrip(spark, d):
 
 @query(_with(["reads", "contigs", "regions as (select chr, unnest(range(10, length + 1, 500)) as start from contigs)"], 'select chr, start::bigint as start, (start + 60)::bigint as "end" from regions'))
 def region_roundtrip(spark, d):
-    path = _folder(spark, "regions")
+    path = folder(spark, "regions")
     rows = synth.contigs(spark, d).select("chr", F.explode(F.expr("sequence(10L, length, 500L)")).alias("start"))
     short = F.array(F.concat_ws("\t", "chr", F.col("start").cast("string"), (F.col("start") + 60).cast("string")), F.col("chr"))  # a line without its numbers is left out
     rows.select(F.explode(short).alias("value")).write.text(path)
     return text.read_regions(spark, path)
 
 
-def _folder(spark, name: str) -> str:
-    """A new folder in the shared place for files that a query writes and reads."""
-    import uuid
-
-    told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not told and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-    path = f"{(told or 'file:///tmp/checkpoints/pileline').rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(place)
-    return path
-
-
 @query(domain.SQL["genome_blocks"])
 def fasta_roundtrip(spark, d):
-    path = _folder(spark, "fasta")
+    path = folder(spark, "fasta")
     text.write_fasta(synth.genome(spark, d), path)
     return text.read_fasta(spark, path + "/*")[0]
 
 
 @query(domain.SQL["reads_synth"])
 def alignment_roundtrip(spark, d):
-    path = _folder(spark, "reads")
+    path = folder(spark, "reads")
     text.write_alignments(synth.reads(spark, d), path)
     rows = text.read_alignments(spark, path)
     return rows.select(F.substring("read_id", 2, 20).cast("long").alias("read_idx"), "chr", "pos", "seq", "qual", "hit", "strand", "read_len")
@@ -133,7 +121,7 @@ def alignment_roundtrip(spark, d):
 
 @query(domain.SQL["calib_matrix"])
 def matrix_file_roundtrip(spark, d):
-    path = _folder(spark, "matrix")
+    path = folder(spark, "matrix")
     text.write_matrix(calibrate.matrix(spark, domain.calibration_counts(spark, d), synth.PARAMS), path)
     return text.read_matrix(spark, path).withColumn("p", F.round("p", 9))
 
@@ -141,23 +129,23 @@ def matrix_file_roundtrip(spark, d):
 @query(_with(_CONS, "select * replace (" + ", ".join(f"round(case when {c} = 0 then 0 else round({c}, (5 - floor(log10(abs({c}))))::int) end, 6) as {c}" for c in ("rank_p", "copy_number")) + ") from cons"))
 def consensus_text_roundtrip(spark, d):
     """All 17 columns; the last two numbers have six significant digits in the text."""
-    path = _folder(spark, "consensus")
+    path = folder(spark, "consensus")
     text.write_consensus(cons(spark, d), path)
     return text.read_consensus_text(spark, path).withColumns({c: F.round(c, 6) for c in ("rank_p", "copy_number")})
 
 
 @query(_with(_CONS, "select * from cons where chr = '3' and pos between 50 and 150"))
 def consensus_region_read(spark, d):
-    path = _folder(spark, "table")
+    path = folder(spark, "table")
     text.write_consensus_table(cons(spark, d), path)
     return text.read_consensus(spark, path, "3", 50, 150)
 
 
 def _streamed(spark, rows, make, name: str):
     """Runs a stream over a table's rows to its end, closing all windows, and gives the sink's rows."""
-    source = _folder(spark, "stream")
+    source = folder(spark, "stream")
     rows.write.parquet(source)
-    sink, state = _folder(spark, "sink"), _folder(spark, "state")
+    sink, state = folder(spark, "sink"), folder(spark, "state")
     out = make(spark.readStream.schema(rows.schema).parquet(source))
     out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(out.schema).parquet(sink)

@@ -229,3 +229,23 @@ def test_fasta_over_many_splits(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_places_of_more_rows_than_a_sample_of_ranges_holds(spark):
+    # bounds of ranges come from a sample; so many rows aren't all in it
+    n = 60_000
+    rows = spark.range(n, numPartitions=6).select(F.concat(F.lit("k"), F.col("id") % 7).alias("k"), F.pmod(F.col("id") * 7919, F.lit(n)).alias("idx"), F.col("id").alias("v"), F.sha2(F.col("id").cast("string"), 256).alias("more"))
+    keys = {x.idx: (x.k, x.v) for x in rows.collect()}
+    want = {i: place for place, i in enumerate(sorted(keys, key=lambda i: (keys[i][0], i)), 1)}
+    got = seq.stable_sort_by_key(rows, "idx", "k").collect()
+    assert len(got) == n and {x.idx: x.place for x in got} == want and all(keys[x.idx] == (x.k, x.v) for x in got)
+    # every value once, and the probes between and beside them
+    found = {x.probe: (x.lower, x.upper, x.found) for x in seq.bounds(rows.select((F.col("v") * 2).alias("w")), "w", spark.range(-1, 2 * n, 7).withColumnRenamed("id", "probe"), "probe").collect()}
+    assert found == {p: ((p + 1) // 2, p // 2 + 1, p % 2 == 0) for p in range(-1, 2 * n, 7)}
+    codes = codec.dictionary(rows.select("idx", F.format_string("%06d", F.col("v")).alias("s")), "s").collect()
+    assert len(codes) == n and all(int(x.value) == x.code for x in codes)
+
+
+def test_null_keys_and_places_come_last(spark):
+    rows = spark.createDataFrame([(None, 1), ("b", 2), ("a", None), ("a", 4), (None, 0)], "k string, idx long")
+    assert sorted((x.place, x.k, x.idx) for x in seq.stable_sort_by_key(rows, "idx", "k").collect()) == [(1, "a", 4), (2, "a", None), (3, "b", 2), (4, None, 0), (5, None, 1)]
