@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .candidates import linked_components
@@ -131,20 +131,30 @@ def _linked(keys: np.ndarray, fps: np.ndarray, tau: int, bits: int) -> list[tupl
     return _trees(pairs)
 
 
-def links(distinct: DataFrame, tau: int, crowd: int = CROWD) -> DataFrame:
-    """Of distinct fingerprints (fp): rows (u, v) that connect all those which differ in at most ``tau`` bits; v <= u in
-    signed order. Not all pairs are given, but their connected components are those of all pairs."""
+def _key_bits(tau: int) -> int:
+    """Bits of the chain of segments that allows no difference."""
     if not 1 <= tau < SEGMENTS:
         raise ValueError(f"tau must be from 1 to {SEGMENTS - 1}")
-    width = BITS // SEGMENTS
-    exact = min(56, sum(b == 0 for b in budgets(tau)) * width)  # the key also holds the first segment's number
-    fp = F.col("fp")
+    return min(56, sum(b == 0 for b in budgets(tau)) * (BITS // SEGMENTS))  # a key also holds the first segment's number
+
+
+def chain_keys(fp: Column, tau: int) -> list[Column]:
+    """The keys of a fingerprint: from each segment on, the chain that allows no difference. Any two fingerprints that differ in
+    at most ``tau`` bits have one of them in common."""
+    width, exact = BITS // SEGMENTS, _key_bits(tau)
 
-    def chain_key(k: int):
+    def key(k: int) -> Column:
         turned = fp if k == 0 else F.shiftleft(fp, k * width).bitwiseOR(F.shiftrightunsigned(fp, BITS - k * width))
-        return F.shiftrightunsigned(turned, BITS - exact) + F.lit(k << exact)
+        return (F.shiftrightunsigned(turned, BITS - exact) + F.lit(k << exact)).cast("long")
 
-    keyed = distinct.select("fp", F.explode(F.array(*[chain_key(k).cast("long") for k in range(SEGMENTS)])).alias("key"))
+    return [key(k) for k in range(SEGMENTS)]
+
+
+def links(distinct: DataFrame, tau: int, crowd: int = CROWD) -> DataFrame:
+    """Of distinct fingerprints (fp): rows (u, v) that connect all those which differ in at most ``tau`` bits; v <= u in
+    signed order. Not all pairs are given, but their connected components are those of all pairs."""
+    exact, fp = _key_bits(tau), F.col("fp")
+    keyed = distinct.select("fp", F.explode(F.array(*chain_keys(fp, tau))).alias("key"))
     crowded = staged(keyed.groupBy("key").count().filter(F.col("count") > crowd).select("key"))
 
     def compare(batches):
@@ -196,6 +206,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return marked.join(of, "fp").select(id_col, "fp", "component_id", "rows_alike")
 
 
+#: near_copies(): texts whose fingerprints differ in so many bits or fewer always meet.
+TAU = 2
 #: near_copies(): bits in which the SimHash fingerprints of candidates may differ. At a likeness of 0.8 they differ in 10 of 64
 #: on average, in more than 26 about once in ten million pairs.
 SKETCH_ALLOWED = 26
@@ -307,14 +319,16 @@ def _payload_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.uint64), pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, tau: int = TAU) -> DataFrame:
     """``id_col`` and ``component_id`` of every row: classes of documents whose sets of word shingles have a likeness of
     ``similarity`` or more.
 
-    At that likeness, fingerprints of the shingles differ in 10 of 64 bits, too many for selective chains, and those of the
-    words differ as much where whole blocks are edited. So candidates meet by MinHash bands of their shingles, which depend
-    on the likeness only, however a text was edited. SimHash fingerprints, with a wide margin and chains checked first, spare
-    most others the exact check: the Jaccard likeness of all shingle hashes of both texts. Equal texts meet by a digest of
+    Candidates meet by the pigeonring chains of their SimHash fingerprints, as in near_duplicates(): none whose fingerprints
+    differ in at most ``tau`` bits is missed. At a likeness of 0.8 fingerprints differ in 10 of 64 bits, too many for chains
+    that are selective, and those of the words differ as much where whole blocks are edited. So candidates meet by MinHash
+    bands of their shingles as well, which depend on the likeness only, however a text was edited. Chains within a wide
+    margin and the Hamming distance spare most the exact check that decides: the Jaccard likeness of all shingle hashes of
+    both texts, as fingerprints of texts of one template can be as near at a likeness of 0.7. Equal texts meet by a digest of
     their words. How keys that many texts share are worked off is told in candidates.py.
 
     Texts without words are equal texts; null counts as empty; the null id is the greatest. Other columns aren't read."""
@@ -340,7 +354,9 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     def fetch(ids: DataFrame) -> DataFrame:
         return _whole_sets(df, staged(distinct.join(ids, "id").select("id", "hi", "lo", "__least")), id_col, text_col, words)
 
-    trees = linked_components(distinct.select("id", "bits", *KEYS), KEYS, within_ring(SKETCH_ALLOWED), fetch, _payload_sets, similarity)
+    chains = [c.alias(f"c{k}") for k, c in enumerate(chain_keys(F.col("bits"), tau))]
+    items = distinct.select("id", "bits", *chains, *KEYS)
+    trees = linked_components(items, items.columns[2:], within_ring(SKETCH_ALLOWED), fetch, _payload_sets, similarity)
     rooted = distinct.select("id", "hi", "lo", "__least").join(trees, F.col("id") == F.col("node"), "left").select("hi", "lo", "__least", F.coalesce("root", "id").alias("root"))
     heads = shelf.put(rooted.groupBy("root").agg(F.min("__least").alias("component_id")))  # staged, so that a large class can be split in the join
     classes = staged(rooted.join(heads, "root").select("hi", "lo", "component_id"))

@@ -162,3 +162,19 @@ def test_null_ids_names_and_bands(spark):
         right.append(" ".join(base + [f"{r.getrandbits(30):x}" for _ in range(45)]))
     keys = [simhash.band_keys(*simhash.shingle_sets(x, 5)) for x in (left, right)]
     assert (keys[0] == keys[1]).any(axis=0).mean() >= 0.998
+
+
+def test_chains_of_the_fingerprints_alone_find_all_within_two_bits(spark, monkeypatch):
+    # no two texts share a band
+    monkeypatch.setattr(simhash, "band_keys", lambda values, sizes: np.random.default_rng().integers(1, 2**62, (20, sizes.size)).astype(np.uint64))
+    r = random.Random(21)
+    bits = lambda t: simhash.majority(simhash._mixed(simhash.shingle_sets([t], 5)[0])) & (2**64 - 1)
+    docs = []
+    while len(docs) < 80:
+        base = [f"w{r.getrandbits(40)}" for _ in range(60)]
+        other = " ".join(base + [f"w{r.getrandbits(40)}" for _ in range(2)])
+        if 0 < (bits(" ".join(base)) ^ bits(other)).bit_count() <= 2:
+            docs += [" ".join(base), other]
+    docs = list(enumerate(docs))
+    got = {x.doc_id: x.component_id for x in simhash.near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {d: d - d % 2 for d, _ in docs}
