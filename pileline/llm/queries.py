@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, conversations, iblt, labelled, lines, media, mixing, quality, simhash, spelling, tokens, toxicity, urls
+from . import bpe, conversations, iblt, labelled, lines, media, mixing, pii, quality, simhash, spelling, tokens, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +78,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.vocabulary(spelling.slipped(spelling.runs(table(spark, sf_dir, "documents")))))
 
 
+def op13_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.spans(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_quality_attention": op2_quality_attention,
@@ -91,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_media_columns": op10_media_columns,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_pii_spans": op13_pii_spans,
 }
 
 SQL: dict[str, str] = {"op5_source_mixing": mixing.sql()}
