@@ -72,7 +72,7 @@ def people(n):
         phone = f"1 ({r.randrange(200, 999)}) 555-{r.randrange(10_000):04}"
         said = r.choice(["call me at +" + phone, "write to " + name + "@" + host, f"server {r.randrange(1, 255)}.{r.randrange(255)}.{r.randrange(255)}.7", f"order {r.randrange(10**9)}", f"version {r.randrange(9)}.{r.randrange(9)}", f"in {r.randrange(1900, 2020)} - {r.randrange(10, 99)}", f"met at noon. Then {i} went", "nothing"])
         text = f"Row text, {said}, and so on."
-        if i % 40 == 0:
+        if i % 400 == 0:
             text = f"Please call me at {phone}, and so on."
             near[i] = (text.index(phone), text.index(phone) + len(phone))
         rows.append((i, text, "x", "y"))
