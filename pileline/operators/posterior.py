@@ -212,11 +212,17 @@ def call(sites: DataFrame, covered: DataFrame, known: DataFrame | None, params:
     numbers = ["depth", "repeat_time", "dep_uni", *[f"{c}{k}" for k in range(4) for c in ("uni", "qs", "all")]]
     rows = rows.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in numbers} | {"lik": F.coalesce("lik", F.array(*[F.lit(0.0)] * 10))})
     if known is not None:
-        rows = rows.join(known.select("chr", "pos", "hapmap", "validated", "indel", "f0", "f1", "f2", "f3"), ["chr", "pos"], "left").withColumn("is_dbsnp", F.col("hapmap").isNotNull().cast("int"))
-    else:
-        rows = rows.withColumn("is_dbsnp", F.lit(0))
+        rows = rows.join(known.select("chr", "pos", "hapmap", "validated", "indel", "f0", "f1", "f2", "f3"), ["chr", "pos"], "left")
+    return called(rows, params, table)
+
+
+def called(rows: DataFrame, params: CallParams = CallParams(), table: DataFrame | None = None) -> DataFrame:
+    """What consensus() needs, of rows with chr, pos, ref_code, counts and lik of every site and, if known sites are used, hapmap,
+    validated, indel and f0 to f3, null where a site is none."""
+    known = "hapmap" in rows.columns
+    rows = rows.withColumn("is_dbsnp", F.col("hapmap").isNotNull().cast("int") if known else F.lit(0))
     rows = rows.withColumn("nflag", (F.col("ref_code") >= 4) & (F.col("depth") == 0)).withColumn("prior", prior_column(params))
-    if known is not None and params.refine:
+    if known and params.refine:
         rows = rows.withColumn("prior", refined_prior(F.col("prior"), params))
     rows = with_top_genotypes(with_best_bases(rows), params.monoploid).drop("lik", "prior")
     if params.rank_sum:

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import bases as B
-from ..operators import calibrate, pileup, posterior
+from ..operators import calibrate, pileup, posterior, tiles
 from . import synth
 from .synth import PARAMS
 
@@ -36,11 +36,16 @@ def log_rows(spark: SparkSession, d: str) -> DataFrame:
     return calibrate.log_matrix(calibrate.matrix(spark, calibration_counts(spark, d), PARAMS))
 
 
+def sites(spark: SparkSession, d: str, params=PARAMS) -> DataFrame:
+    """Counts and likelihoods of every place: both passes read the same staged tiles."""
+    packed = tiles.staged_tiles(placed_reads(spark, d), synth.genome(spark, d), synth.dbsnp(spark, d))
+    lp = calibrate.log_matrix(calibrate.matrix(spark, tiles.calibration_counts(packed, PARAMS), PARAMS))
+    return tiles.site_rows(packed, tiles.log_cube(lp), params)
+
+
 def calls(spark: SparkSession, d: str, **modes) -> DataFrame:
     params = replace(PARAMS, **modes)
-    covered = posterior.likelihoods(observed(spark, d), log_rows(spark, d), params.rank_sum)
-    known = pileup.known_sites(synth.dbsnp(spark, d))
-    return posterior.call(pileup.ref_sites(synth.genome(spark, d)), covered, known, params)
+    return posterior.called(sites(spark, d, params), params)
 
 
 SITE = ["chr", "pos"]
@@ -91,8 +96,7 @@ def best_bases(spark, d):
 
 
 def type_likelihood(spark, d):
-    lik = posterior.likelihoods(observed(spark, d), log_rows(spark, d))
-    return lik.select(*SITE, *[F.round(F.col("lik")[k], 6).alias(f"lik{g}") for k, g in enumerate(B.GENOTYPES)])
+    return sites(spark, d).filter("depth > 0").select(*SITE, *[F.round(F.col("lik")[k], 6).alias(f"lik{g}") for k, g in enumerate(B.GENOTYPES)])
 
 
 def genotype_top2(spark, d):
