@@ -109,20 +109,43 @@ def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None) -> DataFrame:
     """The rows of ``df``, all its columns, as often as the mix takes them.
 
-    Texts are not shuffled: of each source only the last (key, id, size) taken is found, and rows are compared with it."""
+    Texts are not shuffled: of each source only the last (key, id, size) taken is found, and rows are compared with it. Where
+    several rows are equal in these and the mix takes a part of them only, the table is staged with row numbers, and the first
+    so many of them stay, told by counts a partition and a look into the one partition where the number is reached."""
     rows = staged(sized(df, id_col, text_col, source_col, weight))
-    chosen = mix(rows)
     key = F.struct("__key", "__id", "__size")
-    cuts = chosen.groupBy("__source").agg(F.max("__epochs").alias("__epochs"), F.max(F.when(F.col("__copies") > F.col("__epochs"), key)).alias("__last"))
-    own_key, s, epochs, last, n, copy = free(df, "__key", "__s", "__epochs", "__last", "__n", "__copy")
+    chosen = staged(mix(rows).select("__source", "__epochs", (F.col("__copies") > F.col("__epochs")).alias("__more"), key.alias("__at")))
+    cuts = chosen.groupBy("__source").agg(F.max("__epochs").alias("__epochs"), F.max(F.when(F.col("__more"), F.col("__at"))).alias("__last"))
+    own_key, s, epochs, last, n, copy, row, most = free(df, "__key", "__s", "__epochs", "__last", "__n", "__copy", "__row", "__most")
     cuts = staged(cuts.select(F.col("__source").alias(s), F.col("__epochs").alias(epochs), F.col("__last").alias(last)))
+    ends = chosen.join(cuts, F.col("__source").eqNullSafe(F.col(s)) & (F.col("__at") == F.col(last)))
+    split = staged(ends.groupBy(F.col(s)).agg(F.count_if("__more").alias("k"), F.count(F.lit(1)).alias("m")).filter("k < m").select(F.col(s).alias("__ts"), "k"))
+    tied = not split.isEmpty()
+    if tied:
+        df = staged(df.withColumn(row, F.monotonically_increasing_id()))
     text = text_of(text_col)
     tagged = df.withColumn(own_key, -F.log(unit_hash(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")))) / (quality_weight(text) if weight is None else weight.cast("double")))
     tagged = tagged.join(cuts, F.col(f"`{source_col}`").eqNullSafe(F.col(s)))
     own = F.struct(F.col(own_key).alias("__key"), F.col(f"`{id_col}`").alias("__id"), word_count(text).alias("__size"))
-    copies = F.col(epochs) + F.when(F.col(last).isNotNull() & (own <= F.col(last)), 1).otherwise(0)
-    repeated = tagged.withColumn(n, copies.cast("int")).filter(F.col(n) > 0).withColumn(copy, F.explode(F.array_repeat(F.lit(0), F.col(n))))
-    return repeated.select(*[F.col(f"`{c}`") for c in df.columns])
+    taken = F.col(last).isNotNull() & (own <= F.col(last))
+    if tied:
+        limits = _kth(tagged.filter(own == F.col(last)).select(F.col(s).alias("__ts"), F.col(row).alias("__row")), split, most)
+        tagged = tagged.join(limits, F.col(s).eqNullSafe(F.col("__ls")), "left")
+        taken = taken & (F.col(most).isNull() | (own < F.col(last)) | (F.col(row) <= F.col(most)))
+    repeated = tagged.withColumn(n, (F.col(epochs) + F.when(taken, 1).otherwise(0)).cast("int")).filter(F.col(n) > 0).withColumn(copy, F.explode(F.array_repeat(F.lit(0), F.col(n))))
+    return repeated.select(*[F.col(f"`{c}`") for c in df.columns if c != row])
+
+
+def _kth(ties: DataFrame, wanted: DataFrame, out: str) -> DataFrame:
+    """(__ls, ``out``): of each source of ``wanted`` (__ts, k) the row number of the k-th of its rows in ``ties`` (__ts, __row). Row
+    numbers have their partition in the upper bits; only the partition that holds the k-th is put in order."""
+    part = F.shiftright("__row", 33)
+    ties = staged(ties.withColumn("__part", part))
+    counts = ties.groupBy("__ts", "__part").agg(F.count(F.lit(1)).alias("c")).withColumn("upto", F.sum("c").over(W.partitionBy("__ts").orderBy("__part")))
+    w = wanted.select(F.col("__ts").alias("__ws"), "k")
+    at = counts.join(w, F.col("__ts").eqNullSafe(F.col("__ws"))).filter("k > upto - c AND k <= upto").select(F.col("__ts").alias("__ls"), F.col("__part").alias("__lp"), (F.col("k") - F.col("upto") + F.col("c")).alias("r"))
+    inside = ties.join(at, F.col("__ts").eqNullSafe(F.col("__ls")) & (F.col("__part") == F.col("__lp"))).withColumn("i", F.row_number().over(W.partitionBy("__ls").orderBy("__row")))
+    return staged(inside.filter("i = r").select("__ls", F.col("__row").alias(out)))
 
 
 _SIZE = "(case when d.text is null then 0 else len(regexp_extract_all(d.text, '[^\\x20\\x09-\\x0D]+')) end)"

@@ -157,3 +157,16 @@ def test_mixing_keeps_clashing_columns_and_cells_are_even(spark):
     # a source of the least weight: no cell gets a hundredth of its rows
     low = mixing.sized(spark.range(100_000).selectExpr("id as doc_id", "'a' as text", "'s' as source"), "doc_id", "text", "source", F.lit(0.1))
     assert low.groupBy("__cell").count().agg(F.max("count")).first()[0] < 1000
+
+
+def test_mix_takes_a_part_of_equal_rows(spark):
+    rows = [(1, "w " * 10, "a", 1)] * 40 + [(2, "w " * 10, "b", 1)] * 30 + [(k, "w " * 7, "c", 1) for k in range(20)] + [(None, None, None, 2)] * 3 + [(5, "x y", None, 3)] * 4
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, own long").repartition(5)
+    plan = {}
+    for r in mixing.mixed(df).collect():
+        plan[r["source_size"], r["target"]] = plan.get((r["source_size"], r["target"]), 0) + r["taken"]
+    words = {}
+    for r in mixing.mixed_documents(df).collect():
+        words[r["source"]] = words.get(r["source"], 0) + len((r["text"] or "").split())
+    assert sorted(v for v in plan.values() if v) == sorted(v for v in words.values() if v)
+    assert any(abs(v - t) <= 10 for (_, t), v in plan.items())
