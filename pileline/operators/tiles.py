@@ -314,7 +314,8 @@ def _sites(tile: Tile, row: dict[str, pa.Array], chrom: str, cube: np.ndarray, p
     seen_all = np.bincount(tile.site[accepted] * 4 + tile.base[accepted], minlength=4 * n)
     inside = (q_adj < 64) & (cycle < 256)
     worth = np.where(inside[:, None], cube[np.minimum(q_adj, 63), np.minimum(cycle, 255), base], 0.0)
-    lik = np.stack([np.round(np.bincount(site, weights=worth[:, k], minlength=n), 9) for k in range(worth.shape[1])], 1)
+    sums = [np.bincount(site, weights=worth[:, k], minlength=n) for k in range(worth.shape[1])]
+    lik = np.round(np.stack(sums, 1).astype(np.float64), 9)  # sums of nothing are whole numbers
     numbers = {"depth": depth, "repeat_time": hits, "dep_uni": np.bincount(site, minlength=n)}
     for k in range(4):
         numbers |= {f"uni{k}": uni[k::4], f"qs{k}": qs[k::4], f"all{k}": seen_all[k::4]}

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..files import folder
+from ..files import folder, staged
 from ..functions import random
-from ..operators import calibrate, codec, pileup
+from ..operators import calibrate, codec, pileup, posterior
 from ..sources import text
+from ..streaming import calls
 from ..streaming import pileup as stream
 from . import domain, synth
 from .domain import _TO_BEST, _consensus_sql, _with
@@ -166,6 +167,26 @@ def stream_windows(spark, d):
     return _streamed(spark, reads.unionAll(last), lambda r: stream.windows_stream(r, 500), "windows").filter("chr <> 'end'")
 
 
+@query(domain.SQL["consensus_rows"])
+def stream_calls(spark, d):
+    """Consensus rows of a stream: reads in order of position, a file a micro-batch, with a state a block of 512 places."""
+    reads = domain.placed_reads(spark, d).select("read_idx", "chr", "pos", "seq", "qual", "hit", "strand", "read_len")
+    source, ordered = folder(spark, "stream"), reads.repartitionByRange(4, "pos", "chr").sortWithinPartitions("pos").withColumn("part", F.spark_partition_id())
+    ordered = staged(ordered)
+    for part in range(4):
+        ordered.filter(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(source)
+    # a read far beyond each contig's end moves the watermark past all blocks; where it lies there is no reference
+    far = reads.limit(1).withColumn("pos", F.lit(1 << 32).cast("long")).withColumn("chr", F.lit("end"))
+    far.write.mode("append").parquet(source)
+    matrix = calibrate.matrix(spark, domain.calibration_counts(spark, d), synth.PARAMS)
+    stream_of = spark.readStream.schema(reads.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    sites = calls.site_stream(stream_of, synth.genome(spark, d, 512), synth.dbsnp(spark, d), matrix, synth.PARAMS, 512, late="error")
+    sink, state = folder(spark, "sink"), folder(spark, "state")
+    out = posterior.consensus(posterior.called(sites, synth.PARAMS))
+    out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(sink)
+
+
 _LCG = "with recursive g(i, x, y) as (select 1, 48271::bigint, 16807::bigint union all select i + 1, (48271 * x) % 2147483647, (16807 * y) % 2147483647 from g where i < 6000)"
 
 

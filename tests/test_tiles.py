@@ -54,9 +54,9 @@ def test_tiles_give_what_windows_give(spark, hot):
 
 def test_reads_on_edges_count_once_a_place(spark):
     reads = spark.createDataFrame([(0, "c", 14, "ACGT", "hhhh", 1, "+", 4), (1, "c", 15, "A" * 18, "h" * 18, 1, "-", 18), (2, "x", 0, "A", "h", 1, "+", 1)], READ)
-    packed = tiles.staged_tiles(reads, genome(spark, "A" * 40, ("c",)), known(spark), BLOCK)
+    packed = tiles.staged_tiles(reads, genome(spark, "A" * 60, ("c",)), known(spark), BLOCK)
     rows = {r["pos"]: r for r in tiles.site_rows(packed, tiles.log_cube(spark.createDataFrame([], "q int, cycle int, o_base int, lp array<double>"))).collect()}
-    assert [rows[p]["depth"] for p in range(12, 36)] == [0, 0, 1, 2, 2, 2] + [1] * 15 + [0] * 3 and len(rows) == 40
+    assert [rows[p]["depth"] for p in range(12, 36)] == [0, 0, 1, 2, 2, 2] + [1] * 15 + [0] * 3 and len(rows) == 60 and rows[55]["lik"] == [0.0] * 10
     assert rows[7]["hapmap"] == 1 and rows[8]["hapmap"] is None  # the first of the file's
 
 
