@@ -12,7 +12,7 @@ fits and a word of it is in the fixed seed list of advertising, gambling, drug-s
 the allow class. The seed words of either class get SEED_WEIGHT more counts in it, every word gets one.
 
 Defined results: a null url, or one without ``://``, has an empty host and path; a host without words is judged by the
-prior (allowed); the last label (the top-level domain) and ``www`` count as words like any other; an empty table gives an
+prior, the classes' shares of all pages; the last label (the top-level domain) and ``www`` count as words like any other; an empty table gives an
 empty result. Only the id, url and html columns are read.
 """
 
@@ -39,8 +39,8 @@ ALLOW_WORDS = "www blog news example com net org de fr es en en html index page
 #: Pseudo-counts of a seed word in the unigram model and in its class.
 SEED_COUNT = 1_000
 SEED_WEIGHT = 10
-#: Prior probability that a page is blocked.
-PRIOR = 0.1
+#: Keys of at least one row in so many are hot; there can't be more of them than this.
+SHARES = 4_096
 
 _PIECE = re.compile(r"[^\W\d_]+")
 
@@ -77,25 +77,29 @@ def by_rules(host: Column, path: Column, rules: list[Rule]) -> Column:
 
 @dataclass
 class Model:
-    """Tables: ``counts`` (word, n) for segmenting, of ``total`` words, the longest of ``longest`` letters; ``odds`` (word,
-    odds), the log odds block : allow; ``unseen``, those of a word that no page has."""
+    """Tables: ``counts`` (word, n) for segmenting, of ``total`` words of ``lengths`` letters (from many to few); ``odds`` (token,
+    odds), the log odds block : allow; ``unseen``, those of a token that no page has; ``prior``, those of a page."""
 
     counts: DataFrame
     total: int
-    longest: int
+    lengths: list[int]
     odds: DataFrame | None = None
     unseen: float = 0.0
-    prior: float = math.log(PRIOR / (1 - PRIOR))
+    prior: float = 0.0
 
 
-def segment(piece: str, words: dict[str, float], unknown: float, longest: int) -> list[str]:
+def segment(piece: str, words: dict[str, float], unknown: float, lengths: list[int] | int) -> list[str]:
     """The words of greatest total log probability; of equals the one whose last word is longest. Letters that fit no word are
-    words of one letter at ``unknown`` each."""
+    words of one letter at ``unknown`` each. ``lengths`` are those of words, from many letters to few, with 1, or
+    the greatest."""
+    lengths = range(lengths, 0, -1) if isinstance(lengths, int) else lengths
     n = len(piece)
     best, back = [0.0] + [-math.inf] * n, [0] * (n + 1)
     for end in range(1, n + 1):
-        for start in range(max(0, end - longest), end):
-            word = words.get(piece[start:end], unknown if end - start == 1 else None)
+        for size in lengths:
+            if (start := end - size) < 0:
+                continue
+            word = words.get(piece[start:end], unknown if size == 1 else None)
             if word is not None and best[start] + word > best[end]:
                 best[end], back[end] = best[start] + word, start
     out = []
@@ -134,7 +138,7 @@ def _keyed(rows: DataFrame) -> DataFrame:
 
 def segmented(keys: DataFrame, model: Model) -> DataFrame:
     """(key, words) of distinct keys (key)."""
-    longest, total = model.longest, model.total
+    lengths, total = model.lengths, model.total
     # every letter is a word of the model; those that the corpus lacks are less likely than any word, and still worse the more there are
     unknown = math.log(0.01 / total)
     pieces = staged(keys.select(F.explode(F.split("key", " ")).alias("piece")).filter("piece <> ''").distinct())
@@ -146,14 +150,12 @@ def segmented(keys: DataFrame, model: Model) -> DataFrame:
         of, subs, size = [], [], 0
         for batch in batches:
             for piece in batch.column(0).to_pylist():
-                seen = set()
-                for start in range(len(piece)):
-                    for end in range(start + 1, min(len(piece), start + longest) + 1):
-                        if (sub := piece[start:end]) not in seen:
-                            seen.add(sub)
-                            of.append(piece)
-                            subs.append(sub)
-                            size += len(piece) + len(sub)
+                for length in lengths:  # only so long can a word be, so a long piece doesn't give all its substrings
+                    if length <= len(piece):
+                        some = {piece[start : start + length] for start in range(len(piece) - length + 1)}
+                        of += [piece] * len(some)
+                        subs += some
+                        size += len(some) * (len(piece) + length)
                     if size > 1_000_000:
                         yield out()
                         of, subs, size = [], [], 0
@@ -163,7 +165,7 @@ def segmented(keys: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             out = []
             for piece, known in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                out.append(segment(piece, {k["word"]: math.log(k["n"] / total) for k in known or ()}, unknown, longest))
+                out.append(segment(piece, {k["word"]: math.log(k["n"] / total) for k in known or ()}, unknown, lengths))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.string()))], names=["piece", "words"])
 
     known = pieces.mapInArrow(parts, "piece string, word string").join(model.counts, "word").groupBy("piece").agg(F.collect_list(F.struct("word", "n")).alias("known"))
@@ -173,13 +175,30 @@ def segmented(keys: DataFrame, model: Model) -> DataFrame:
     return found.select("key", F.flatten(F.transform("all", lambda x: F.coalesce(x["words"], F.array().cast("array<string>")))).alias("words"))
 
 
+def _tokens(words: Column) -> Column:
+    """What naive Bayes counts: the words and each two neighbours, so that a domain and the folder after it can speak together."""
+    pairs = F.transform(F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat(F.get(words, i), F.lit(" "), w))
+    return F.concat(words, pairs)
+
+
+def _met(rows: DataFrame, told: DataFrame) -> DataFrame:
+    """``rows`` joined with the one row of ``told`` that their key has. Keys of at least one in SHARES of all rows, of which there
+    are SHARES at most, are broadcast, so that their rows stay where they are; the others go by a shuffle."""
+    rows = staged(rows)
+    counts = rows.groupBy("key").count()
+    floor = max(1, -(-rows.count() // SHARES))
+    hot = staged(counts.filter(F.col("count") >= floor).orderBy(F.desc("count"), "key").limit(SHARES).select("key"))
+    few = F.broadcast(told.join(F.broadcast(hot), "key", "left_semi"))
+    return rows.join(F.broadcast(hot), "key", "left_anti").join(told, "key").unionByName(rows.join(few, "key"))
+
+
 def learn(pages: DataFrame, url_col: str = "url", html_col: str = "html", rules: list[Rule] | None = None) -> Model:
     """The model of all pages; only sums come to the driver."""
     extra = seeds(pages)
     both = word_counts(pages, url_col, html_col).unionAll(extra.select("word", F.lit(SEED_COUNT).cast("long").alias("n")))
     counts = staged(both.groupBy("word").agg(F.sum("n").alias("n")))
-    total, longest = counts.agg(F.sum("n"), F.max(F.length("word"))).first()
-    model = Model(counts, total, longest)
+    sizes = counts.groupBy(F.length("word").alias("size")).agg(F.sum("n").alias("n")).collect()  # a row a length
+    model = Model(counts, sum(r["n"] for r in sizes), sorted({1, *(r["size"] for r in sizes)}, reverse=True))
     host, path = split_url(F.col(f"`{url_col}`"))
     rows = pages.select(host.alias("host"), path.alias("path"))
     ruled = rows.withColumn("rule", by_rules(F.col("host"), F.col("path"), RULES if rules is None else rules)["verdict"])
@@ -187,11 +206,14 @@ def learn(pages: DataFrame, url_col: str = "url", html_col: str = "html", rules:
     words_of = segmented(pages_of.select("key").distinct(), model)
     seeded = F.arrays_overlap("words", F.array(*[F.lit(w) for w in BLOCK_WORDS]))
     blocked = F.coalesce(F.col("rule") == "block", seeded)
-    judged = pages_of.join(words_of, "key").select(F.when(blocked, F.col("pages")).otherwise(0).alias("b"), F.when(blocked, 0).otherwise(F.col("pages")).alias("a"), F.explode("words").alias("word"))
+    classed = staged(pages_of.join(words_of, "key").select(F.when(blocked, F.col("pages")).otherwise(0).alias("b"), F.when(blocked, 0).otherwise(F.col("pages")).alias("a"), "words"))
+    judged = classed.select("b", "a", F.explode(_tokens(F.col("words"))).alias("word"))
     weights = extra.select("word", (F.col("b") * SEED_WEIGHT).alias("b"), (F.col("a") * SEED_WEIGHT).alias("a"))
     classes = staged(judged.select("word", "b", "a").unionAll(weights).groupBy("word").agg(F.sum("b").alias("b"), F.sum("a").alias("a")))
     b, a, kinds = classes.agg(F.sum("b"), F.sum("a"), F.count(F.lit(1))).first()
     # multinomial likelihoods with one more count for every word, and for one that no page has
+    blocked_pages, allowed_pages = classed.agg(F.coalesce(F.sum("b"), F.lit(0)), F.coalesce(F.sum("a"), F.lit(0))).first()
+    model.prior = math.log(blocked_pages + 1) - math.log(allowed_pages + 1)  # the classes' shares of all pages
     model.unseen = math.log(a + kinds + 1) - math.log(b + kinds + 1)
     model.odds = classes.select("word", (F.log(F.col("b") + 1) - F.log(F.col("a") + 1) + F.lit(model.unseen)).alias("odds"))
     return model
@@ -202,12 +224,12 @@ def judge(pages: DataFrame, rules: list[Rule], model: Model, id_col: str = "page
     host, path = split_url(F.col(f"`{url_col}`"))
     rows = _keyed(pages.select(F.col(f"`{id_col}`").alias(id_col), host.alias("host"), path.alias("path")))
     words_of = staged(segmented(rows.select("key").distinct(), model))
-    each = words_of.select("key", F.explode("words").alias("word")).groupBy("key", "word").agg(F.count(F.lit(1)).alias("n"))
+    each = words_of.select("key", F.explode(_tokens(F.col("words"))).alias("word")).groupBy("key", "word").agg(F.count(F.lit(1)).alias("n"))
     odds = each.join(model.odds, "word", "left").groupBy("key").agg(F.sum(F.col("n") * F.coalesce("odds", F.lit(model.unseen))).alias("odds"))
     # a sum's last places depend on its order
     all_odds = F.round(F.coalesce("odds", F.lit(0.0)) + F.lit(model.prior), 9)
     score = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), all_odds))))
-    scored = rows.join(words_of.join(odds, "key", "left").select("key", "words", score.alias("score")), "key")
+    scored = _met(rows, staged(words_of.join(odds, "key", "left").select("key", "words", score.alias("score"))))
     ruled = scored.withColumn("__rule", by_rules(F.col("host"), F.col("path"), rules))
     verdict = F.coalesce(F.col("__rule.verdict"), F.when(F.col("score") > 0.5, "block").otherwise("allow"))
     return ruled.select(id_col, "host", "path", F.col("__rule.rule").alias("rule"), verdict.alias("verdict"), "score", "words")

@@ -208,3 +208,14 @@ def test_long_training_rows_are_merged_whole():
     assert set(lengths) == {10, 11} and got.shape == (100, quality.WIDTH)
     assert np.allclose((got * np.array(lengths)[:, None]).sum(0), x.sum(0), rtol=1e-4)
     assert quality.merged(x, 1003) is x
+
+
+def test_long_pieces_hot_keys_and_odd_page_ids(spark):
+    rows = [(None, "http://shop.com/en/x", "buy"), (1, "http://shop.com/en/y", ""), (1, "http://shop.com/en/y", ""), (2, "http://" + "school" * 2_000 + ".org/fr/", "school"), (3, None, "x" * 5_000), (4, "no scheme", None)]
+    rows += [(k, f"http://site{k}.com/en/{k}", "<p>word</p>") for k in range(10, 400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = urls.judge(pages, urls.RULES, urls.learn(pages)).collect()
+    assert len(found) == len(rows) and sum(f["page_id"] == 1 for f in found) == 2 and sum(f["page_id"] is None for f in found) == 1
+    of = {f["page_id"]: f for f in found}
+    assert of[2]["words"] == ["school"] * 2_000 + ["org", "fr"] and of[3]["host"] == of[4]["host"] == "" and of[3]["verdict"] in ("allow", "block")
+    assert all(f["score"] > 0.5 for f in found if f["rule"] == "com/en/")  # the method has learned what the rule blocks
