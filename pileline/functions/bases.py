@@ -32,13 +32,17 @@ def iupac(genotype: Column) -> Column:
 
 
 def pack_word(base: Column, q: Column, cycle: Column, strand: Column, occurrences: Column) -> Column:
-    """An observation as one number: base at bit 23, 64 - q at 17, cycle at 9, strand at 8, occurrences at 0."""
-    return F.shiftleft(base.cast("long"), 23).bitwiseOR(F.shiftleft((64 - q).cast("long"), 17)).bitwiseOR(F.shiftleft(cycle.cast("long"), 9)).bitwiseOR(F.shiftleft(strand.cast("long"), 8)).bitwiseOR(occurrences.cast("long"))
+    """An observation as one number: base at bit 23, 64 - q at 17, cycle at 9, strand at 8, occurrences at 0. 64 - q has six bits
+    there; the seventh, which quality 0 only needs, is at 25, above the base. Qualities other than 0 to 64 have no word (null)."""
+    less = (64 - q).cast("long")
+    high, low = F.shiftleft(F.shiftright(less, 6), 25), F.shiftleft(less.bitwiseAND(63), 17)
+    word = F.shiftleft(base.cast("long"), 23).bitwiseOR(low).bitwiseOR(high).bitwiseOR(F.shiftleft(cycle.cast("long"), 9)).bitwiseOR(F.shiftleft(strand.cast("long"), 8)).bitwiseOR(occurrences.cast("long"))
+    return F.when(q.between(0, 64), word)
 
 
 def unpack_word(word: Column) -> dict[str, Column]:
     part = lambda at, bits: F.shiftright(word, at).bitwiseAND((1 << bits) - 1)
-    return {"base": part(23, 2), "q": 64 - part(17, 6), "cycle": part(9, 8), "strand": part(8, 1), "occurrences": part(0, 8)}
+    return {"base": part(23, 2), "q": 64 - (part(17, 6) + 64 * part(25, 1)), "cycle": part(9, 8), "strand": part(8, 1), "occurrences": part(0, 8)}
 
 
 def normal_tail(z: Column) -> Column:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -89,33 +89,51 @@ def sparse_columns(df: DataFrame, keys: list[str], usual: dict[str, float]) -> D
 
 
 #: How each column of a consensus row is kept in a block: bases by two bits, runs, or exceptions to the usual value.
-_BASES, _RUN_COLUMNS = ("ref", "base1"), ("quality", "avg_q1", "uni1", "all1", "depth", "copy_number")
-_USUAL = {"base2": "N", "avg_q2": 0, "uni2": 0, "all2": 0, "rank_p": 1.0, "is_dbsnp": 0}
+_BASES, _RUN_COLUMNS = ("ref", "base1", "base2"), ("quality", "avg_q1", "uni1", "all1", "depth", "copy_number")
+_USUAL = {"avg_q2": 0, "uni2": 0, "all2": 0, "rank_p": 1.0, "is_dbsnp": 0}
 _KINDS = dict(c.split() for c in schema.CONSENSUS.split(", "))
+#: A site without a call (fixed values).
+_NOTHING = {"ref": "N", "genotype": "N", "base1": "N", "base2": "N", "rank_p": 1.0, "copy_number": 255.0}
 
 
 def _block_schema() -> str:
     lists = {"pos_v": "bigint", "pos_n": "int", "genotype_k": "int", "genotype_v": "string"}
     for c in _BASES:
-        lists |= {f"{c}_w": "bigint", f"{c}_k": "int", f"{c}_v": "string"}
+        lists |= {f"{c}_w": "bigint", f"{c}_k": "int", f"{c}_n": "int", f"{c}_v": "string"}
     lists |= {f"{c}_v": _KINDS[c] for c in _RUN_COLUMNS} | {f"{c}_n": "int" for c in _RUN_COLUMNS}
     lists |= {f"{c}_{x}": _KINDS[c] if x == "v" else "int" for c in _USUAL for x in "kv"}
-    return "chr string, block bigint, n int, " + ", ".join(f"{c} array<{t}>" for c, t in lists.items())
+    codes = [f"{c}_r int, {c}_vc binary, {c}_nc binary" for c in _RUN_COLUMNS] + [f"{c}_vc binary" for c in _USUAL]
+    return "chr string, block bigint, n int, all_n boolean, " + ", ".join(f"{c} array<{t}>" for c, t in lists.items()) + ", " + ", ".join(codes)
 
 
 def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    heads = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+    heads = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if values.size else np.zeros(0, np.int64)
     return values[heads], np.diff(np.append(heads, values.size))
 
 
+def _coded(values: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """The distinct values, and each value's number among them in code_bits() bits, one after the other."""
+    entries, codes = np.unique(values, return_inverse=True)
+    bits = code_bits(entries.size)
+    return entries, np.packbits((codes.reshape(-1, 1) >> np.arange(bits - 1, -1, -1)) & 1).tobytes()
+
+
+def _uncoded(entries: np.ndarray, packed: bytes, n: int) -> np.ndarray:
+    bits = code_bits(entries.size)
+    each = np.unpackbits(np.frombuffer(packed, np.uint8), count=n * bits).reshape(n, bits)
+    return entries[each @ (1 << np.arange(bits - 1, -1, -1))] if n else entries[:0]
+
+
 def _encoded(rows: dict[str, np.ndarray]) -> dict:
-    """One block: its rows' columns, in order of position."""
+    """One block: its rows' columns, in order of position. A block of sites without calls ends after its positions."""
     n = rows["pos"].size
     out: dict = {"n": n}
-    starts, out["pos_n"] = _runs(rows["pos"] - np.arange(n))  # runs of consecutive places
-    out["pos_v"] = starts
+    out["pos_v"], out["pos_n"] = _runs(rows["pos"] - np.arange(n))  # runs of consecutive places
+    out["all_n"] = all(bool(np.all(rows[c] == _NOTHING.get(c, 0))) for c in _KINDS if c not in ("chr", "pos"))
+    if out["all_n"]:
+        return out
     for c in _BASES:
-        # two bits a base, 32 a word, the first lowest; what is no base is 0 there and listed
+        # two bits a base, 32 a word, the first lowest; what is no base is 0 there and listed by runs
         code = np.full(n, -1)
         for k, letter in enumerate(PACKED):
             code[rows[c] == letter] = k
@@ -123,34 +141,50 @@ def _encoded(rows: dict[str, np.ndarray]) -> dict:
         padded = np.zeros(-(-n // 32) * 32, np.uint64)
         padded[:n] = np.maximum(code, 0)
         out[f"{c}_w"] = np.bitwise_or.reduce(padded.reshape(-1, 32) << (2 * np.arange(32, dtype=np.uint64)), axis=1).view(np.int64)
-        out[f"{c}_k"], out[f"{c}_v"] = odd, rows[c][odd]
+        letters = rows[c][odd]
+        new = np.flatnonzero(np.concatenate(([True], (odd[1:] != odd[:-1] + 1) | (letters[1:] != letters[:-1])))) if odd.size else odd
+        out[f"{c}_k"], out[f"{c}_n"], out[f"{c}_v"] = odd[new], np.diff(np.append(new, odd.size)), letters[new]
     for c in _RUN_COLUMNS:
-        out[f"{c}_v"], out[f"{c}_n"] = _runs(rows[c])
-    for c, usual in {"genotype": rows["ref"], **_USUAL}.items():
+        values, lengths = _runs(rows[c])
+        out[f"{c}_r"] = values.size
+        out[f"{c}_v"], out[f"{c}_vc"] = _coded(values)
+        out[f"{c}_n"], out[f"{c}_nc"] = _coded(lengths)
+    odd = np.flatnonzero(rows["genotype"] != rows["ref"])
+    out["genotype_k"], out["genotype_v"] = odd, rows["genotype"][odd]
+    for c, usual in _USUAL.items():
         odd = np.flatnonzero(rows[c] != usual)
-        out[f"{c}_k"], out[f"{c}_v"] = odd, rows[c][odd]
+        out[f"{c}_k"] = odd
+        out[f"{c}_v"], out[f"{c}_vc"] = _coded(rows[c][odd])
     return out
 
 
 def _decoded(x: dict) -> dict[str, np.ndarray]:
     n = x["n"]
     out = {"pos": np.repeat(np.asarray(x["pos_v"], np.int64), x["pos_n"]) + np.arange(n)}
+    if x["all_n"]:
+        return out | {c: np.full(n, _NOTHING.get(c, 0), object if isinstance(_NOTHING.get(c), str) else None) for c in _KINDS if c not in ("chr", "pos")}
     for c in _BASES:
         codes = (np.asarray(x[f"{c}_w"], np.int64).view(np.uint64)[:, None] >> (2 * np.arange(32, dtype=np.uint64))) & np.uint64(3)
         out[c] = np.array(list(PACKED), object)[codes.reshape(-1)[:n].astype(np.int64)]
-        out[c][x[f"{c}_k"]] = x[f"{c}_v"]
+        for k, length, letter in zip(x[f"{c}_k"], x[f"{c}_n"], x[f"{c}_v"], strict=True):
+            out[c][k : k + length] = letter
     for c in _RUN_COLUMNS:
-        out[c] = np.repeat(np.asarray(x[f"{c}_v"]), x[f"{c}_n"])
-    for c, usual in {"genotype": out["ref"], **_USUAL}.items():
-        out[c] = usual.copy() if c == "genotype" else np.full(n, usual, object if isinstance(usual, str) else None)
-        out[c][x[f"{c}_k"]] = x[f"{c}_v"]
+        runs = x[f"{c}_r"]
+        out[c] = np.repeat(_uncoded(np.asarray(x[f"{c}_v"]), x[f"{c}_vc"], runs), _uncoded(np.asarray(x[f"{c}_n"], np.int64), x[f"{c}_nc"], runs))
+    out["genotype"] = out["ref"].copy()
+    out["genotype"][x["genotype_k"]] = x["genotype_v"]
+    for c, usual in _USUAL.items():
+        at = np.asarray(x[f"{c}_k"], np.int64)
+        out[c] = np.full(n, usual)
+        out[c][at] = _uncoded(np.asarray(x[f"{c}_v"], out[c].dtype), x[f"{c}_vc"], at.size)
     return out
 
 
 def compress(rows: DataFrame, size: int = 4096) -> DataFrame:
     """Consensus rows (17 columns, none null) as one row for each (chr, block) of ``size`` places: positions as runs of
-    consecutive ones, bases by two bits with a list of what is none, the genotype where it isn't the reference's letter,
-    quality, counts and copy number by runs, all else where it isn't what it mostly is. Arrow batches; a block is bounded."""
+    consecutive ones, bases by two bits with runs of what is none, the genotype where it isn't the reference's letter,
+    quality, counts and copy number by runs whose values and lengths are dictionary codes of as many bits as they need, all else
+    where it isn't what it mostly is, in such codes, too; of a block without calls the positions only. Arrow batches; a block is bounded."""
     names = list(_KINDS)
     placed = rows.select(*names, F.floor((F.col("pos") - 1) / size).alias("block")).repartition("chr", "block").sortWithinPartitions("chr", "block", "pos")
     target = pa.schema(to_arrow_schema(_parse_datatype_string(_block_schema())))
@@ -195,6 +229,29 @@ def decompress(blocks: DataFrame) -> DataFrame:
     return blocks.mapInArrow(run, schema.CONSENSUS)
 
 
+def write_blocks(rows: DataFrame, path: str, size: int = 4096) -> None:
+    """compress() as a table in order of (chr, block): folders by contig, bounds of blocks in each row group, small row groups,
+    so that a region needs few of them."""
+    blocks = compress(rows, size)
+    ordered = blocks.repartitionByRange("chr", "block").sortWithinPartitions("chr", "block")
+    ordered.write.mode("overwrite").partitionBy("chr").option("compression", "zstd").option("parquet.block.size", 1 << 20).parquet(path)
+
+
+def region_blocks(spark: SparkSession, path: str, chr: str, start: int, end: int, size: int = 4096) -> DataFrame:
+    """The blocks of write_blocks() that hold a place of a region (1-based, both ends in): the contig's folder only, row groups by
+    the bounds of their blocks, and no other block is decoded."""
+    kinds = _block_schema().replace("chr string, ", "", 1) + ", chr string"
+    rows = spark.read.schema(kinds).parquet(path)
+    return rows.filter((F.col("chr") == chr) & (F.col("block") >= (start - 1) // size) & (F.col("block") <= (end - 1) // size))
+
+
+def read_region(spark: SparkSession, path: str, chr: str, start: int, end: int, size: int = 4096) -> DataFrame:
+    """The consensus rows of a region from compressed blocks."""
+    names = [c.split()[0] for c in _block_schema().split(", ")]
+    found = decompress(region_blocks(spark, path, chr, start, end, size).select(*names))
+    return found.filter((F.col("pos") >= start) & (F.col("pos") <= end))
+
+
 def window_directory(rows: DataFrame, size: int = 262_144) -> DataFrame:
     """(chr, block, first_pos, sites, all_n) of windows of ``size`` sites."""
     return rows.groupBy("chr", F.floor((F.col("pos") - 1) / size).alias("block")).agg(F.min("pos").alias("first_pos"), F.count(F.lit(1)).alias("sites"), F.every(F.col("ref") == "N").alias("all_n"))

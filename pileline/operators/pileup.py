@@ -133,7 +133,12 @@ def in_regions(sites: DataFrame, regions: DataFrame, read_length: int = 0, block
     return sites.join(r, on, "left_semi")
 
 
-def check_order(reads: DataFrame) -> DataFrame:
-    """Reads whose position is below that of the read before them in the file, within their contig."""
-    before = F.lag("pos").over(W.partitionBy("chr").orderBy("read_idx"))
-    return reads.withColumn("__before", before).filter("pos < __before").drop("__before")
+def check_order(reads: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Reads whose position is below that of the read before them in the file, within their contig: looked up within a contig's blocks
+    of ``block`` reads; a block's first read is told the last read of the block before it."""
+    rows = reads.withColumn("__k", F.floor(F.col("read_idx") / block))
+    before = F.lag("pos").over(W.partitionBy("chr", "__k").orderBy("read_idx"))
+    lasts = rows.groupBy("chr", "__k").agg(F.max_by("pos", "read_idx").alias("__last"))
+    carry = lasts.select(F.col("chr").alias("__c"), F.col("__k").alias("__b"), F.lag("__last").over(W.partitionBy("chr").orderBy("__k")).alias("__carry"))
+    joined = rows.withColumn("__before", before).join(carry, (F.col("chr") == F.col("__c")) & (F.col("__k") == F.col("__b")))
+    return joined.filter(F.col("pos") < F.coalesce("__before", "__carry")).drop("__before", "__k", "__c", "__b", "__carry")

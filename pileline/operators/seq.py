@@ -29,6 +29,17 @@ def _blocked(df: DataFrame, idx: str) -> DataFrame:
     return df.withColumn("__block", F.floor(F.col(idx) / BLOCK))
 
 
+def _carries(totals: DataFrame, fold: Callable, combine: Callable) -> DataFrame:
+    """(__b, __carry): of each block (__block, __total) the fold of all blocks before it. Blocks are folded in groups of BLOCK, then
+    the groups, so that a window covers BLOCK blocks, and the last one a row for BLOCK * BLOCK * BLOCK places."""
+    grouped = totals.withColumn("__super", F.floor(F.col("__block") / BLOCK))
+    within = grouped.withColumn("__in", fold("__total").over(W.partitionBy("__super").orderBy("__block").rowsBetween(W.unboundedPreceding, -1)))
+    tops = grouped.groupBy("__super").agg(fold("__total").alias("__sum")).select(F.col("__super").alias("__s"), fold("__sum").over(W.orderBy("__super").rowsBetween(W.unboundedPreceding, -1)).alias("__before"))
+    both = within.join(tops, F.col("__super") == F.col("__s"), "left")
+    carry = F.when(F.col("__before").isNull(), F.col("__in")).when(F.col("__in").isNull(), F.col("__before")).otherwise(combine(F.col("__before"), F.col("__in")))
+    return both.select(F.col("__block").alias("__b"), carry.alias("__carry"))
+
+
 def scan(df: DataFrame, idx: str, value: Column, out: str, op: str = "sum", exclusive: bool = False, init=None) -> DataFrame:
     """Adds the prefix fold of ``value`` in order of ``idx``, with or without the row's own. ``init`` is put before an
     exclusive scan."""
@@ -38,7 +49,7 @@ def scan(df: DataFrame, idx: str, value: Column, out: str, op: str = "sum", excl
     order = W.partitionBy("__block").orderBy(idx)
     own = fold("__v").over(order.rowsBetween(W.unboundedPreceding, -1 if exclusive else 0))
     totals = rows.groupBy("__block").agg(fold("__v").alias("__total"))
-    carry = totals.select(F.col("__block").alias("__b"), fold("__total").over(W.orderBy("__block").rowsBetween(W.unboundedPreceding, -1)).alias("__carry"))
+    carry = _carries(totals, fold, combine)
     joined = rows.withColumn("__own", own).join(carry, F.col("__block") == F.col("__b"), "left")
     both = F.when(F.col("__carry").isNull(), F.col("__own")).when(F.col("__own").isNull(), F.col("__carry")).otherwise(combine(F.col("__carry"), F.col("__own")))
     if start is not None:
@@ -51,7 +62,10 @@ def with_previous(df: DataFrame, idx: str, value: Column, out: str) -> DataFrame
     rows = _blocked(df.withColumn("__v", F.struct(value.alias("v"))), idx)
     order = W.partitionBy("__block").orderBy(idx)
     lasts = rows.groupBy("__block").agg(F.max_by("__v", idx).alias("__last"))
-    carry = lasts.select(F.col("__block").alias("__b"), F.lag("__last").over(W.orderBy("__block")).alias("__carry"))
+    grouped = lasts.withColumn("__super", F.floor(F.col("__block") / BLOCK))
+    ends = grouped.groupBy("__super").agg(F.max_by("__last", "__block").alias("__end")).select(F.col("__super").alias("__s"), F.lag("__end").over(W.orderBy("__super")).alias("__far"))
+    near = grouped.withColumn("__near", F.lag("__last").over(W.partitionBy("__super").orderBy("__block")))
+    carry = near.join(ends, F.col("__super") == F.col("__s")).select(F.col("__block").alias("__b"), F.coalesce("__near", "__far").alias("__carry"))
     joined = rows.withColumn("__lag", F.lag("__v").over(order)).join(carry, F.col("__block") == F.col("__b"), "left")
     return joined.withColumn(out, F.coalesce("__lag", "__carry")["v"]).drop("__v", "__block", "__lag", "__b", "__carry")
 
@@ -82,6 +96,85 @@ def scan_by_key(df: DataFrame, idx: str, key: Column, value: Column, out: str, o
     return joined.withColumn(out, both).drop("__run", "__v", "__block", "__own", "__r", "__b", "__carry")
 
 
+#: Rows that fold() takes together at each level.
+FAN = 256
+_CHUNK = 16
+
+
+def _inner(values: Column, op: Callable, kind: str) -> Column:
+    """The inclusive folds of an array of struct(v), as an array of the same; an array grows by _CHUNK at most, so none is copied often."""
+    empty = F.array().cast(f"array<struct<v:{kind}>>")
+    none = F.lit(None).cast(f"struct<v:{kind}>")
+    join = lambda a, b: F.when(a.isNull(), b).otherwise(F.struct(op(a["v"], b["v"]).alias("v")))
+    grow = lambda s, x: F.struct(F.concat(s["out"], F.array(join(s["last"], x))).alias("out"), join(s["last"], x).alias("last"))
+
+    def folded(array: Column, first: Column) -> Column:
+        return F.aggregate(array, F.struct(empty.alias("out"), first.alias("last")), grow)
+
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / _CHUNK).cast("int")), lambda c: F.slice(values, c * _CHUNK + 1, F.lit(_CHUNK)))
+    step = lambda s, chunk: F.struct(F.concat(s["all"], F.array(s["part"]["out"])).alias("all"), folded(chunk, s["part"]["last"]).alias("part"))
+    start = F.struct(F.array().cast(f"array<array<struct<v:{kind}>>>").alias("all"), F.struct(empty.alias("out"), none.alias("last")).alias("part"))
+    return F.aggregate(chunks, start, step, lambda s: F.flatten(F.concat(s["all"], F.array(s["part"]["out"]))))
+
+
+def fold(df: DataFrame, idx: str, value: Column, out: str, op: Callable[[Column, Column], Column], exclusive: bool = False, init=None) -> DataFrame:
+    """Adds the prefix fold of ``value`` by any associative ``op``, commutative or not: op(a, b) of two Columns of the value's type, a
+    being what comes first. Values may be structs; the first exclusive one is ``init`` (a Column; null if not given), which is put
+    before all others.
+
+    A tree: FAN rows are folded inside one array, their totals again, until one array holds all, in as many levels as the
+    greatest ``idx`` takes; then what comes before each group goes down the same way. No window and no task covers more than
+    FAN rows of a group."""
+    v, own, carry = "__fv", "__fo", "__fc"
+    rows = df.withColumn(v, value)
+    kind = rows.schema[v].dataType.simpleString()
+    most = df.agg(F.max(idx)).first()[0]
+    if most is None:
+        return rows.withColumn(out, F.col(v)).drop(v)
+    join = lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(F.struct(op(a["v"], b["v"]).alias("v")))
+    names = [c for c in df.columns]
+    level = rows.select(F.col(idx).alias("__at"), F.struct(F.col(v).alias("v")).alias("__x"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"))
+    levels = []
+    while True:
+        item = F.struct("__at", "__x", *(["__row"] if not levels else []))
+        groups = level.withColumn("__g", F.floor(F.col("__at") / FAN)).groupBy("__g").agg(F.array_sort(F.collect_list(item), lambda a, b: F.when(a["__at"] < b["__at"], -1).when(a["__at"] > b["__at"], 1).otherwise(0)).alias("__all"))
+        levels.append(staged(groups.withColumn("__sums", _inner(F.col("__all.__x"), op, kind))))
+        most //= FAN
+        if most < 1:
+            break
+        level = levels[-1].select(F.col("__g").alias("__at"), F.element_at("__sums", -1).alias("__x"))
+    above = None
+    for groups in reversed(levels):
+        if above is not None:
+            groups = groups.join(above, F.col("__g") == F.col("__of"), "left")
+        before = F.col("__before") if above is not None else F.lit(None).cast(f"struct<v:{kind}>")
+        flat = groups.select(before.alias("__before"), F.posexplode("__all").alias("__k", "__item"), "__sums")
+        inner = F.get(F.col("__sums"), F.col("__k") - 1), F.get(F.col("__sums"), F.col("__k"))
+        flat = flat.select("__item", *[join(F.col("__before"), x).alias(c) for x, c in zip(inner, (carry, own), strict=True)])
+        above = flat.select(F.col("__item.__at").alias("__of"), F.col(carry).alias("__before"))
+    found = F.col(carry if exclusive else own)
+    if exclusive:
+        first = F.lit(None).cast(f"struct<v:{kind}>") if init is None else F.struct(init.alias("v"))
+        found = join(first, found)
+    return flat.select("__item.__row.*", found["v"].alias(out))
+
+
+def fold_by_key(df: DataFrame, idx: str, key: Column, value: Column, out: str, op: Callable[[Column, Column], Column], exclusive: bool = False, init: Column | None = None) -> DataFrame:
+    """fold() that begins anew with each run of equal consecutive keys: one fold of (head, value), which is associative, too."""
+    headed = with_heads(df, idx, key, "__fh")
+
+    def both(a: Column, b: Column) -> Column:
+        return F.struct((a["head"] | b["head"]).alias("head"), F.when(b["head"], b["x"]).otherwise(op(a["x"], b["x"])).alias("x"))
+
+    pair = F.struct(F.col("__fh").alias("head"), value.alias("x"))
+    folded = fold(headed, idx, pair, "__fp", both, exclusive)
+    found = F.col("__fp")["x"]
+    if exclusive:
+        start = F.lit(None) if init is None else init
+        found = F.when(F.col("__fh"), start).otherwise(found if init is None else op(init, found))
+    return folded.withColumn(out, found).drop("__fh", "__fp")
+
+
 def reduce_by_key(df: DataFrame, idx: str, key: Column, *aggregates: Column) -> DataFrame:
     """One row (run, key, first_idx, ...) for each run of equal consecutive keys."""
     rows = with_runs(df.withColumn("key", key), idx, F.col("key"))
@@ -134,9 +227,12 @@ def bounds(values: DataFrame, value: str, probes: DataFrame, probe: str) -> Data
 def stable_partition(df: DataFrame, idx: str, truth: Column, out: str = "place") -> DataFrame:
     """Adds the row's place, from 0, when rows for which ``truth`` holds come first and order is kept otherwise."""
     held = df.withColumn("__t", F.coalesce(truth, F.lit(False)))
-    counted = scan(scan(held, idx, F.col("__t").cast("int"), "__yes", exclusive=True), idx, (~F.col("__t")).cast("int"), "__no", exclusive=True)
+    both = F.struct(F.col("__t").cast("long").alias("yes"), (~F.col("__t")).cast("long").alias("no"))
+    add = lambda a, b: F.struct((a["yes"] + b["yes"]).alias("yes"), (a["no"] + b["no"]).alias("no"))
+    counted = fold(held, idx, both, "__before", add, exclusive=True)
     total = held.agg(F.count_if("__t").alias("__all"))
-    return counted.crossJoin(F.broadcast(total)).withColumn(out, F.when(F.col("__t"), F.col("__yes")).otherwise(F.col("__all") + F.col("__no"))).drop("__t", "__yes", "__no", "__all")  # the total is one row
+    yes, no = (F.coalesce(F.col(f"__before.{c}"), F.lit(0)) for c in ("yes", "no"))
+    return counted.crossJoin(F.broadcast(total)).withColumn(out, F.when(F.col("__t"), yes).otherwise(F.col("__all") + no)).drop("__t", "__before", "__all")  # the total is one row
 
 
 def partition_point(df: DataFrame, idx: str, truth: Column) -> DataFrame:

@@ -142,6 +142,14 @@ def consensus_region_read(spark, d):
     return text.read_consensus(spark, path, "3", 50, 150)
 
 
+@query(_with(_CONS, "select * from cons where chr = '3' and pos between 50 and 150"))
+def codec_region_read(spark, d):
+    """The same region, from compressed blocks of 64 places, of which three are opened."""
+    path = folder(spark, "blocks")
+    codec.write_blocks(cons(spark, d), path, 64)
+    return codec.read_region(spark, path, "3", 50, 150, 64)
+
+
 def _streamed(spark, rows, make, name: str):
     """Runs a stream over a table's rows to its end, closing all windows, and gives the sink's rows."""
     source = folder(spark, "stream")

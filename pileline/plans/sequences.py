@@ -59,6 +59,51 @@ def transform_scan(spark, d):
     return seq.scan(ev(spark, d), "idx", F.col("v") * F.col("v") % 1000, "s").select("idx", "s")
 
 
+def _affine(a, b):
+    """x -> m x + c after another such map: no commutative operator."""
+    return F.struct((a["m"] * b["m"]).alias("m"), (b["m"] * a["c"] + b["c"]).alias("c"))
+
+
+def _later(a, b):
+    return F.coalesce(b, a)
+
+
+_MAPS = ", m as (select *, case when v % 3 = 0 then -1 else 1 end as s, v % 7 as c from {t})"
+_SIGNS = "case when sum(case when s < 0 then 1 else 0 end) over ({w}) % 2 = 0 then 1 else -1 end"
+_HELD = "case when v % 5 = 0 then v end"
+
+
+def _maps_sql(source: str, part: str) -> str:
+    """Signs are their own inverses, so the composed map has closed sums."""
+    w, p = f"{part} order by idx rows unbounded preceding", f"{part} order by idx rows between unbounded preceding and 1 preceding"
+    signs = f", g as (select *, ({_SIGNS.format(w=w)})::bigint as upto from m), t as (select *, sum(c * upto) over ({w}) * upto as total from g)"
+    last = f"last_value({_HELD} ignore nulls) over ({{w}})"
+    out = f"select idx, upto as m, total::bigint as c, lag(upto) over ({part} order by idx) as m_before, (lag(total) over ({part} order by idx))::bigint as c_before, {last.format(w=w)} as held, {last.format(w=p)} as held_before"
+    return source + _MAPS.format(t="r" if part else "e") + signs + " " + out + " from t"
+
+
+def _map_of():
+    return F.struct(F.when(F.col("v") % 3 == 0, -1).otherwise(1).cast("long").alias("m"), (F.col("v") % 7).alias("c"))
+
+
+def _folded(rows, scan):
+    rows = scan(scan(rows, _map_of(), "own", _affine, False), _map_of(), "before", _affine, True)
+    held = F.when(F.col("v") % 5 == 0, F.col("v"))
+    rows = scan(scan(rows, held, "held", _later, False), held, "held_before", _later, True)
+    return rows.select("idx", "own.m", "own.c", F.col("before.m").alias("m_before"), F.col("before.c").alias("c_before"), "held", "held_before")
+
+
+@query(_maps_sql(_EV, ""))
+def fold_any(spark, d):
+    """Scans of operators that FOLDS doesn't have: affine maps, and the last value that is not null."""
+    return _folded(ev(spark, d), lambda rows, value, out, op, exclusive: seq.fold(rows, "idx", value, out, op, exclusive))
+
+
+@query(_maps_sql(_RUN, "partition by run"))
+def fold_any_by_key(spark, d):
+    return _folded(ev(spark, d), lambda rows, value, out, op, exclusive: seq.fold_by_key(rows, "idx", F.col("k"), value, out, op, exclusive))
+
+
 @query(_EV + " select idx, coalesce(v - lag(v) over (order by idx), v) as diff from e")
 def adjacent_difference(spark, d):
     return seq.adjacent_difference(ev(spark, d), "idx", F.col("v"), "diff").select("idx", "diff")

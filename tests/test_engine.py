@@ -4,6 +4,7 @@ from itertools import combinations
 
 import gold
 import pytest
+from pileline import schema
 from pileline.functions import bases as B
 from pileline.operators import calibrate, codec, pileup, posterior, seq
 from pileline.params import CallParams
@@ -123,7 +124,7 @@ def test_six_digits(spark):
 
 
 def test_word_round_trip(spark):
-    df = spark.createDataFrame([(3, 40, 255, 1, 9), (0, 1, 0, 0, 1)], "base int, q int, cycle int, strand int, n int")
+    df = spark.createDataFrame([(3, 40, 255, 1, 9), (0, 1, 0, 0, 1)] + [(b, q, 7, 1, 2) for b in range(4) for q in (0, 1, 40, 63, 64)], "base int, q int, cycle int, strand int, n int")
     w = df.select("*", B.pack_word(F.col("base"), F.col("q"), F.col("cycle"), F.col("strand"), F.col("n")).alias("w"))
     for x in w.select("base", "q", "cycle", "strand", "n", *[c.alias(f"u_{k}") for k, c in B.unpack_word(F.col("w")).items()]).collect():
         assert tuple(x[:5]) == tuple(x[5:])
@@ -249,3 +250,57 @@ def test_places_of_more_rows_than_a_sample_of_ranges_holds(spark):
 def test_null_keys_and_places_come_last(spark):
     rows = spark.createDataFrame([(None, 1), ("b", 2), ("a", None), ("a", 4), (None, 0)], "k string, idx long")
     assert sorted((x.place, x.k, x.idx) for x in seq.stable_sort_by_key(rows, "idx", "k").collect()) == [(1, "a", 4), (2, "a", None), (3, "b", 2), (4, None, 0), (5, None, 1)]
+
+
+def consensus_sample(spark, n, seed=5):
+    r = random.Random(seed)
+    rows = []
+    for c in "ab":
+        for pos in range(1, n):
+            if r.random() < 0.1:
+                continue
+            if 300 < pos < 500 or r.random() < 0.2:
+                rows.append((c, pos, "N", "N", 0, "N", 0, 0, 0, "N", 0, 0, 0, 0, 1.0, 255.0, 0))
+            else:
+                rows.append((c, pos, r.choice("ACGTM"), r.choice("ACGTRN"), r.randrange(99), r.choice("ACGTN"), r.randrange(40), r.randrange(4), r.randrange(9), r.choice("NNNACGT"), r.choice([0, 0, 7]), r.choice([0, 3]), r.choice([0, 300]), r.randrange(50), r.choice([1.0, 0.25]), r.choice([1.0, 1.25]), r.choice([0, 0, 1])))
+    return spark.createDataFrame(rows, schema.CONSENSUS), sorted(rows)
+
+
+@pytest.mark.parametrize("size", [1, 32, 64, 4096])
+def test_codec_blocks_round_trip(spark, size):
+    df, rows = consensus_sample(spark, 700)
+    blocks = codec.compress(df, size).cache()
+    assert sorted(tuple(r) for r in codec.decompress(blocks).collect()) == rows
+    assert size > 64 or blocks.filter("all_n").count() > 0
+
+
+def test_a_region_opens_the_blocks_it_needs_only(spark, tmp_path):
+    df, rows = consensus_sample(spark, 3000)
+    path = str(tmp_path / "blocks")
+    codec.write_blocks(df, path, 64)
+    for start, end in ((1, 1), (60, 70), (64, 64), (65, 1000), (2990, 9999), (5000, 6000)):
+        found = sorted(tuple(r) for r in codec.read_region(spark, path, "b", start, end, 64).collect())
+        assert found == [r for r in rows if r[0] == "b" and start <= r[1] <= end]
+    opened = codec.region_blocks(spark, path, "b", 60, 70, 64)
+    assert opened.count() == 2 and codec.region_blocks(spark, path, "b", 1, 3000, 64).count() == 47
+    plan = codec.read_region(spark, path, "b", 60, 70, 64)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(block,0)" in plan and "PartitionFilters: [isnotnull(chr" in plan and "(chr#" in plan
+
+
+def test_folds_of_any_operator_over_many_levels(spark, monkeypatch):
+    monkeypatch.setattr(seq, "FAN", 3)
+    monkeypatch.setattr(seq, "_CHUNK", 2)
+    r = random.Random(8)
+    places = sorted(r.sample(range(200), 80))
+    data = [(i, r.choice("xxy"), r.choice("abcdef"), "own") for i in places]
+    df = spark.createDataFrame(data, "idx long, k string, s string, __x string")
+    got = seq.fold(df, "idx", F.col("s"), "upto", lambda a, b: F.concat(a, b))
+    got = seq.fold(got, "idx", F.col("s"), "before", lambda a, b: F.concat(a, b), True, F.lit(">"))
+    got = seq.fold_by_key(got, "idx", F.col("k"), F.col("s"), "run", lambda a, b: F.concat(a, b))
+    got = seq.fold_by_key(got, "idx", F.col("k"), F.col("s"), "run_before", lambda a, b: F.concat(a, b), True, F.lit("<"))
+    text, run, last = "", "", None
+    for x in sorted(got.collect(), key=lambda x: x.idx):
+        run = run if x.k == last else ""
+        assert (x.before, x.upto, x.run_before, x.run) == (">" + text, text + x.s, "<" + run, run + x.s), x
+        text, run, last = text + x.s, run + x.s, x.k
+    assert seq.fold(df.limit(0), "idx", F.col("s"), "upto", lambda a, b: F.concat(a, b)).count() == 0
