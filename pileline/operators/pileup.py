@@ -124,13 +124,24 @@ def known_sites(dbsnp: DataFrame) -> DataFrame:
     return dbsnp.withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
 
 
+def site_bitmap(regions: DataFrame, read_length: int = 0, block: int = BLOCK) -> DataFrame:
+    """(chr, block, words): a bit a place that a region (1-based start and end, both in; starts widened by the read length) covers, as
+    words of 64 places by their number in the block. However many regions overlap, a block has one row of at most block / 64 words."""
+    r = regions.select("chr", F.greatest(F.col("start") - 1 - read_length, F.lit(0)).alias("s"), (F.col("end") - 1).alias("e")).filter("s <= e")
+    r = r.withColumn("word", F.explode(F.expr("sequence(s div 64, e div 64)")))
+    low, high = F.greatest(F.col("s") - F.col("word") * 64, F.lit(0)), F.least(F.col("e") - F.col("word") * 64, F.lit(63))
+    mask = F.expr("shiftleft(shiftrightunsigned(-1L, cast(63 - (high - low) as int)), cast(low as int))")
+    words = r.withColumn("low", low).withColumn("high", high).groupBy("chr", "word").agg(F.bit_or(mask).alias("bits"))
+    each = F.struct((F.col("word") % (block // 64)).cast("int").alias("k"), "bits")
+    return words.groupBy("chr", F.floor(F.col("word") / (block // 64)).alias("block")).agg(F.map_from_entries(F.collect_list(each)).alias("words"))
+
+
 def in_regions(sites: DataFrame, regions: DataFrame, read_length: int = 0, block: int = BLOCK) -> DataFrame:
-    """Sites in one of the regions (1-based start and end, both in; starts widened by the read length): an equi-join by
-    block, then the bounds."""
-    r = regions.select(F.col("chr").alias("__c"), F.greatest(F.col("start") - 1 - read_length, F.lit(0)).alias("__s"), (F.col("end") - 1).alias("__e"))
-    r = r.filter("__s <= __e").withColumn("__b", F.explode(F.sequence(F.floor(F.col("__s") / block), F.floor(F.col("__e") / block))))
-    on = (F.col("chr") == F.col("__c")) & (F.floor(F.col("pos") / block) == F.col("__b")) & (F.col("pos") >= F.col("__s")) & (F.col("pos") <= F.col("__e"))
-    return sites.join(r, on, "left_semi")
+    """Sites in one of the regions: an equi-join with the blocks' bitmaps, a row a block, then a look at the place's bit."""
+    marks = site_bitmap(regions, read_length, block).select(F.col("chr").alias("__c"), F.col("block").alias("__b"), F.col("words").alias("__w"))
+    joined = sites.join(marks, (F.col("chr") == F.col("__c")) & (F.floor(F.col("pos") / block) == F.col("__b")))
+    word = F.coalesce(F.try_element_at("__w", F.floor(F.col("pos") % block / 64).cast("int")), F.lit(0).cast("long"))
+    return joined.filter(F.getbit(word, (F.col("pos") % 64).cast("int")) == 1).drop("__c", "__b", "__w")
 
 
 def check_order(reads: DataFrame, block: int = BLOCK) -> DataFrame:

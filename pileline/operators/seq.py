@@ -287,6 +287,28 @@ def stable_sort_by_key(df: DataFrame, idx: str, key: str, out: str = "place") ->
     return ranked(df, key, idx, out=out)
 
 
+def merged(a: DataFrame, b: DataFrame, idx: str, key: str, out: str = "place") -> tuple[DataFrame, DataFrame]:
+    """Two sequences, each in order of ``key`` with places ``idx`` from 0, with the place from 0 that each element has in the merged
+    one; of equal keys those of ``a`` come first, in their order. Nothing is sorted again: a place is an element's own place and its
+    rank in the other sequence, which bounds() finds by ranges of both. Null keys are not merged (null place)."""
+
+    def placed(own: DataFrame, other: DataFrame, rank: str) -> DataFrame:
+        asked, at, low = "__mk", "__mi", "__mr"
+        found = bounds(other.filter(F.col(key).isNotNull()), key, own.filter(F.col(key).isNotNull()), key).select(F.col(key).alias(asked), F.col(rank).alias(low))
+        joined = own.withColumn(at, F.col(idx)).join(found, F.col(key) == F.col(asked), "left")
+        return joined.withColumn(out, F.col(at) + F.col(low)).drop(asked, at, low)
+
+    return placed(a, b, "lower"), placed(b, a, "upper")
+
+
+def segmented_places(df: DataFrame, segment: str, *order: str, out: str = "place") -> DataFrame:
+    """Adds the row's place, from 1, in its segment when each segment is sorted by ``order`` (null last). Rows are dealt by ranges of
+    (segment, order), so a long segment is cut into several ranges and none is held as a list; a segment's first rank is one row."""
+    rows = ranked(df, segment, *order, out="__sr")
+    firsts = rows.groupBy(F.col(segment).alias("__ss")).agg(F.min("__sr").alias("__sf"))
+    return rows.join(firsts, F.col(segment).eqNullSafe(F.col("__ss"))).withColumn(out, F.col("__sr") - F.col("__sf") + 1).drop("__sr", "__ss", "__sf")
+
+
 def for_each(df: DataFrame, action: Callable) -> None:
     """Runs ``action`` on every row where the row is, for its effects (accumulators, stores) only. A task that is run again
     repeats them."""

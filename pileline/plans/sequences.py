@@ -361,6 +361,28 @@ def merge(spark, d):
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.lit("o").alias("side")).unionAll(table(spark, d, "customer").select("c_custkey", F.lit("c"))).orderBy("key", "side")
 
 
+@query("""with a as (select o_custkey as key, o_orderkey as id, row_number() over (order by o_custkey, o_orderkey) - 1 as idx from orders),
+  b as (select c_custkey as key, c_custkey as id, row_number() over (order by c_custkey) - 1 as idx from customer),
+  u as (select key, id, idx, 'o' as side, 0 as first from a union all select key, id, idx, 'c', 1 from b)
+select side, key, id, row_number() over (order by key, first, idx) - 1 as place from u""")
+def merge_places(spark, d):
+    """Orders by customer, with ties, and customers: where each goes when both sequences are merged."""
+    a = seq.ranked(table(spark, d, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("id")), "key", "id").withColumn("idx", F.col("rank") - 1)
+    b = seq.ranked(table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_custkey").alias("id")), "key").withColumn("idx", F.col("rank") - 1)
+    left, right = seq.merged(a.drop("rank"), b.drop("rank"), "idx", "key")
+    both = left.withColumn("side", F.lit("o")).unionByName(right.withColumn("side", F.lit("c")))
+    return both.select("side", "key", "id", "place")
+
+
+@query("""with l as (select case when l_orderkey % 3 = 0 then -1 else l_suppkey end as seg, l_partkey as v, l_orderkey as o, l_linenumber as n from lineitem)
+select seg, o, n, row_number() over (partition by seg order by v, o, n) as place from l""")
+def segmented_places(spark, d):
+    """Segments of which one has a third of all rows."""
+    seg = F.when(F.col("l_orderkey") % 3 == 0, F.lit(-1).cast("long")).otherwise(F.col("l_suppkey")).alias("seg")
+    rows = table(spark, d, "lineitem").select(seg, F.col("l_partkey").alias("v"), F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"))
+    return seq.segmented_places(rows, "seg", "v", "o", "n").select("seg", "o", "n", "place")
+
+
 @query(_EV + " select idx, idx & v as a, idx | v as o, xor(idx, v) as x, bit_count(idx)::int as n, (idx >> 2) & 1 as bit, idx << 3 as l from e")
 def bit_functors(spark, d):
     i, v = F.col("idx"), F.col("v")

@@ -304,3 +304,22 @@ def test_folds_of_any_operator_over_many_levels(spark, monkeypatch):
         assert (x.before, x.upto, x.run_before, x.run) == (">" + text, text + x.s, "<" + run, run + x.s), x
         text, run, last = text + x.s, run + x.s, x.k
     assert seq.fold(df.limit(0), "idx", F.col("s"), "upto", lambda a, b: F.concat(a, b)).count() == 0
+
+
+def test_a_bitmap_has_a_row_a_block_whatever_the_regions(spark):
+    r = random.Random(3)
+    regions = [("c", s, s + r.randrange(0, 300)) for s in (r.randrange(1, 4000) for _ in range(1000))] + [("d", 64, 64), ("d", 5, 4), ("d", 4090, 4100), ("d", 1, 1)]
+    bitmap = pileup.site_bitmap(spark.createDataFrame(regions, "chr string, start bigint, end bigint"))
+    assert sorted((x.chr, x.block) for x in bitmap.collect()) == [("c", 0), ("c", 1), ("d", 0), ("d", 1)]
+    sites = spark.range(6000).select(F.explode(F.array(F.lit("c"), F.lit("d"), F.lit("e"))).alias("chr"), F.col("id").alias("pos"))
+    found = {(x.chr, x.pos) for x in pileup.in_regions(sites, spark.createDataFrame(regions, "chr string, start bigint, end bigint"), 2).collect()}
+    assert found == {(c, p) for c, s, e in regions for p in range(max(0, s - 3), min(e, 6000))}
+
+
+def test_merged_places(spark):
+    r = random.Random(4)
+    sides = [sorted(r.choice([1, 2, 2, 3, 9, 40]) for _ in range(n)) for n in (30, 17)]
+    frames = [spark.createDataFrame(list(enumerate(x)), "idx long, key long") for x in sides]
+    found = sorted((x.place, x.key, side, x.idx) for side, df in enumerate(seq.merged(*frames, "idx", "key")) for x in df.collect())
+    want = sorted((k, side, i) for side, x in enumerate(sides) for i, k in enumerate(x))
+    assert found == [(p, *w) for p, w in enumerate(want)]
