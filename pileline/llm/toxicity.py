@@ -1,9 +1,11 @@
 """Toxicity by a weighted grammar of finite-state transducers.
 
-A lexicon maps words to the classes insult, threat, target, negation and reported speech. Three transducers read the class
-string of a clause one after the other: negation turns an insult or threat that follows within NEGATION_REACH words into
+At the bottom are weighted transducers over letters, one each for insults, threats, targets, negations and verbs of saying; their
+union reads the words of a clause, and the arc that ends a word gives its class and carries its weight. Three transducers over
+classes are composed with it, one after the other: negation turns an insult or threat that follows within NEGATION_REACH words into
 a negated one, reported speech turns one after a verb of saying into a reported one, and the target transducer marks those
-that have a target within TARGET_REACH words. What is left are matches with a kind; each adds its word's weight to its
+that have a target within TARGET_REACH words, on either side: the composition is a bimachine, of which one part reads forwards and
+the other backwards over what that gives. What is left are matches with a kind; each adds its word's weight to its
 kind's total in the clause, clauses add up, and a logistic model over the kinds' totals gives the score. So a word counts
 by what its clause does with it.
 
@@ -20,6 +22,7 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -120,10 +123,75 @@ def targeted() -> Transducer:
     return Transducer(moves, {k: max(0, k - 1) for k in range(TARGET_REACH + 1)})
 
 
+class Letters:
+    """A weighted transducer over letters. ``arcs`` of a state: letter to state; ``ends`` of a state: END to (class, weight) of the arc
+    that a word's end takes, MORE to that of the arc which any further letters take. The first end that a state is given stays; of
+    several that fit a word, the whole word's counts before those of beginnings, and of these the shortest."""
+
+    END, MORE = "#", "*"
+
+    def __init__(self, sign: str = "", weights: dict[str, float] | None = None, beginnings: dict[str, float] | None = None):
+        self.arcs: list[dict[str, int]] = [{}]
+        self.ends: list[dict[str, tuple[str, float]]] = [{}]
+        for kind, entries in ((self.END, weights or {}), (self.MORE, beginnings or {})):
+            for text, weight in entries.items():
+                self._end(self._state(text), kind, (sign, weight))
+
+    def _state(self, text: str) -> int:
+        state = 0
+        for letter in text:
+            if letter not in self.arcs[state]:
+                self.arcs[state][letter] = len(self.arcs)
+                self.arcs.append({})
+                self.ends.append({})
+            state = self.arcs[state][letter]
+        return state
+
+    def _end(self, state: int, kind: str, output: tuple[str, float]) -> None:
+        self.ends[state].setdefault(kind, output)
+
+    def union(self, other: Letters) -> Letters:
+        """This transducer with the paths of another, which give way to its own."""
+        waiting = [(0, 0)]
+        while waiting:
+            own, far = waiting.pop()
+            for kind, output in other.ends[far].items():
+                self._end(own, kind, output)
+            for letter, to in other.arcs[far].items():
+                if letter not in self.arcs[own]:
+                    self.arcs[own][letter] = len(self.arcs)
+                    self.arcs.append({})
+                    self.ends.append({})
+                waiting.append((self.arcs[own][letter], to))
+        return self
+
+    def read(self, word: str) -> tuple[str, float]:
+        """(class, weight) of a word; (o, 0) where no path takes it."""
+        state, begun = 0, None
+        for letter in word:
+            if begun is None:
+                begun = self.ends[state].get(self.MORE)
+            if (to := self.arcs[state].get(letter)) is None:
+                return begun or ("o", 0.0)
+            state = to
+        return self.ends[state].get(self.END) or begun or ("o", 0.0)
+
+
+class Bimachine:
+    """A transducer read forwards, composed with one read backwards over what it gives."""
+
+    def __init__(self, forwards: Transducer, backwards: Transducer):
+        self.forwards, self.backwards = forwards, backwards
+
+    def run(self, symbols: str) -> str:
+        return self.backwards.run(self.forwards.run(symbols)[::-1])[::-1]
+
+
 #: Read forwards: negation, then reported speech, then targets before the word.
 FORWARDS = compose(negation(), reported(), targeted())
 #: Read backwards over what that gives: targets after the word.
 BACKWARDS = targeted()
+CLAUSE = Bimachine(FORWARDS, BACKWARDS)
 KIND_OF = {"i": 0, "I": 1, "j": 2, "k": 3, "t": 4, "T": 5, "u": 6, "v": 7}
 
 
@@ -145,6 +213,23 @@ class Lexicon:
                 return "i", w
         return "o", 0.0
 
+    def machine(self) -> Letters:
+        """The union of the transducers of function words, threats and insults; it gives what look_up() gives."""
+        out = Letters()
+        for sign in "ynr":
+            out.union(Letters(sign, dict.fromkeys((w for w, c in self.classes.items() if c == sign), 0.0)))
+        threats = {w: x for w, x in self.weights.items() if self.classes.get(w) == "t"}
+        return out.union(Letters("t", threats)).union(Letters("i", {w: x for w, x in self.weights.items() if w not in threats}, self.stems))
+
+    def reader(self):
+        """machine() with a memory of the words that it read, of bounded size."""
+        if "_reader" not in self.__dict__:
+            self._reader = lru_cache(maxsize=200_000)(self.machine().read)
+        return self._reader
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_reader"}
+
     def strikes(self, words: set[str]) -> bool:
         """Whether one of the words is an insult or a threat."""
         return not self.weights.keys().isdisjoint(words) or bool(self.stems) and any(not self.stems.keys().isdisjoint({w[:n] for w in words if len(w) > n}) for n in STEMS)
@@ -161,12 +246,12 @@ def totals(lexicon: Lexicon, text: str) -> list[float]:
     low = text.lower()
     if not lexicon.strikes(set(WORD.findall(low))):
         return out
+    read = lexicon.reader()
     for clause in CLAUSE_END.split(low):
-        found = [lexicon.look_up(w) for w in WORD.findall(clause)]
+        found = [read(w) for w in WORD.findall(clause)]
         symbols = "".join(c for c, _ in found)
         if "i" in symbols or "t" in symbols:
-            read = BACKWARDS.run(FORWARDS.run(symbols)[::-1])[::-1]
-            for symbol, (_, weight) in zip(read, found, strict=True):
+            for symbol, (_, weight) in zip(CLAUSE.run(symbols), found, strict=True):
                 if symbol in KIND_OF:
                     out[KIND_OF[symbol]] += weight
     return out

@@ -219,3 +219,20 @@ def test_long_pieces_hot_keys_and_odd_page_ids(spark):
     of = {f["page_id"]: f for f in found}
     assert of[2]["words"] == ["school"] * 2_000 + ["org", "fr"] and of[3]["host"] == of[4]["host"] == "" and of[3]["verdict"] in ("allow", "block")
     assert all(f["score"] > 0.5 for f in found if f["rule"] == "com/en/")  # the method has learned what the rule blocks
+
+
+def test_letter_transducers_read_words_as_the_lists_have_them():
+    r = random.Random(6)
+    words = ["".join(r.choice("abc") for _ in range(r.randrange(1, 9))) for _ in range(400)]
+    classes = {w: r.choice("ynrit") for w in words[:60]}
+    lexicon = toxicity.Lexicon(classes, {w: r.random() for w in words[30:120]} | {w: 1.0 for w, c in classes.items() if c in "it"}, {w[:n]: r.random() for w in words[100:140] for n in toxicity.STEMS if len(w) >= n})
+    read = lexicon.machine().read
+    assert all(read(w) == lexicon.look_up(w) for w in words) and {read(w)[0] for w in words} == set("ynrito")
+    insults, threats = toxicity.Letters("i", {"ab": 1.0}, {"abc": 2.0}), toxicity.Letters("t", {"ab": 3.0, "ac": 4.0})
+    both = insults.union(threats)
+    assert [both.read(w) for w in ("ab", "ac", "abcd", "abc", "a", "")] == [("i", 1.0), ("t", 4.0), ("i", 2.0), ("o", 0.0), ("o", 0.0), ("o", 0.0)]
+
+
+def test_toxicity_of_an_empty_table(spark):
+    df = spark.createDataFrame([], "doc_id long, text string")
+    assert toxicity.score(df, toxicity.default_model()).collect() == []
