@@ -41,11 +41,29 @@ def byte_names() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
+def _read_in_full(told: dict) -> None:
+    """An error if a tokenizer file asks for something that this encoder doesn't do; ids would be wrong in silence."""
+    model, before = told["model"], told.get("pre_tokenizer") or {}
+    odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)]
+    if model.get("type", "BPE") != "BPE":
+        odd.append("type")
+    if told.get("normalizer"):
+        odd.append("normalizer")
+    if before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+        odd.append("pre_tokenizer")
+    if (told.get("decoder") or {"type": "ByteLevel"}).get("type") != "ByteLevel":
+        odd.append("decoder")
+    odd += sorted({f"added_tokens.{k}" for t in told["added_tokens"] for k in ("single_word", "lstrip", "rstrip") if t.get(k)})
+    if odd:
+        raise ValueError(f"the tokenizer file asks for what is not done here: {', '.join(odd)}")
+
+
 class ByteBpe:
     """One vocabulary: encode() and decode() for a text, encode_words() for many words at once."""
 
     def __init__(self, spec: str):
         told = json.loads(spec)
+        _read_in_full(told)
         model = told["model"]
         vocab = model["vocab"]
         names = byte_names()

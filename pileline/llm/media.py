@@ -16,10 +16,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import each, text_of
+from .util import each, staged, text_of
 
 #: Width in pixels of the images made from texts: 64 RGB samples, 192 bytes a row.
 ROW_PIXELS = 64
@@ -208,6 +209,31 @@ def write_tiles(tiled: DataFrame, path: str) -> None:
     tiled.write.mode("overwrite").parquet(path)
 
 
+def write_npy_files(tiled: DataFrame, uri: str, id_col: str = "doc_id") -> DataFrame:
+    """Writes each ``tile`` as a file of its own below ``uri`` (a folder that all executors reach, by any scheme that Arrow knows) and
+    gives ``id_col`` and ``file`` of every row that has one, from a staged table, so that the files are written once. Names follow the
+    row's place and not its id, which may be null or repeated; a task that runs again writes the same names."""
+    from pyspark import TaskContext
+
+    def run(batches):
+        system, base = fs.FileSystem.from_uri(uri)
+        part, n = TaskContext.get().partitionId(), 0
+        system.create_dir(base, recursive=True)
+        for batch in batches:
+            names = []
+            for data in each(batch.column(1)):
+                name = f"tile-{part:06}-{n:09}.npy" if data is not None else None
+                if name:
+                    with system.open_output_stream(f"{base}/{name}") as out:
+                        out.write(data)
+                names.append(name)
+                n += 1
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string())], names=[id_col, "file"])
+
+    rows = tiled.select(F.col(f"`{id_col}`").alias(id_col), "tile")
+    return staged(rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, file string").filter("file IS NOT NULL"))
+
+
 def text_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``n_bytes``, ``media``: each whole text (null: empty) in UTF-8, padded with spaces to a positive
     multiple of 192 bytes, as a P6 image of 64 pixels a row, one byte a sample."""

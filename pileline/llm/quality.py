@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import text_of
+from .util import each, text_of
 
 PASSAGE = 64
 BUCKETS = 32
@@ -27,6 +27,8 @@ HIDDEN, GATE = 24, 12
 #: Bounds on what is learned from: rows, and encodings of a row. A training row of more passages gives the means of runs of
 #: neighbouring ones, so that all of its text counts; scores always look at each passage by itself.
 MOST_ROWS, MOST_PASSAGES = 6_000, 2_000
+#: Passages of all training rows together that come to the driver (100 MB, and 200 MB while it fits); a row has its share of them.
+MOST_ALL = 1_000_000
 
 #: Character classes: lower, upper, other letter, digit, full stop, comma, !?, space, line feed, the signs, other punctuation, the rest.
 _KINDS = 12
@@ -191,13 +193,15 @@ def merged(x: np.ndarray, most: int = MOST_PASSAGES) -> np.ndarray:
 
 
 def learn(rows: DataFrame) -> Model:
-    """The model of a bounded sample (text, label); encodings of its passages come to the driver."""
+    """The model of a bounded sample (text, label); encodings of its passages come to the driver, MOST_ALL at most: a row of more
+    passages than its share gives the means of neighbouring ones."""
+    most = max(1, min(MOST_PASSAGES, MOST_ALL // max(1, rows.count())))
 
     def run(batches):
         for batch in batches:
             xs, ys = [], []
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                xs.append(merged(features([text])[0]).astype(np.float16).tobytes())
+                xs.append(merged(features([text])[0], most).astype(np.float16).tobytes())
                 ys.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(xs, pa.binary()), pa.array(ys, pa.float64())], names=["x", "y"])
 
@@ -209,7 +213,7 @@ def learn(rows: DataFrame) -> Model:
     return fit(np.concatenate(xs).astype(np.float32), np.array([len(x) for x in xs]), np.array([y for _, y in parts], np.float32))
 
 
-def _runs(texts: list[str], most: int = 500_000):
+def _runs(texts, most: int = 500_000):
     run, size = [], 0
     for t in texts:
         if size and size + len(t) > most:
@@ -228,7 +232,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
 
     def run(batches):
         for batch in batches:
-            scores = [shared.value.scores(r) for r in _runs(batch.column(1).to_pylist())]
+            scores = [shared.value.scores(r) for r in _runs(each(batch.column(1)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(scores) if scores else np.zeros(0))], names=[id_col, "score"])
 
     return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, score double")

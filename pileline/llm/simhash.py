@@ -12,7 +12,7 @@ within tau // 2 bits (tau even; else (tau + 1) // 2), grouped by value, linked t
 checked; see links().
 
 Defined results: a text without words has the fingerprint 0 and is linked like any other; null counts as empty; repeated
-rows each get a row; only the id and the text are read.
+rows each get a row; a null id is never a component's least one, unless it has no other; only the id and the text are read.
 """
 
 from __future__ import annotations

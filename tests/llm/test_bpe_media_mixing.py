@@ -1,4 +1,5 @@
 import hashlib
+import json
 import math
 import random
 import zlib
@@ -170,3 +171,21 @@ def test_mix_takes_a_part_of_equal_rows(spark):
         words[r["source"]] = words.get(r["source"], 0) + len((r["text"] or "").split())
     assert sorted(v for v in plan.values() if v) == sorted(v for v in words.values() if v)
     assert any(abs(v - t) <= 10 for (_, t), v in plan.items())
+
+
+def test_a_tokenizer_file_that_is_not_read_in_full_is_refused():
+    told = json.loads(bpe.read_spec(PATH))
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"model": told["model"] | {"ignore_merges": True}}, {"added_tokens": [told["added_tokens"][0] | {"lstrip": True}]}):
+        with pytest.raises(ValueError, match="not done here"):
+            bpe.ByteBpe(json.dumps(told | change))
+
+
+def test_tiles_as_npy_files_and_empty_tables(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "some text"), (1, "some text"), (None, None), (3, "é" * 700)], "doc_id long, text string")
+    tiled = media.media_digests(media.text_media(docs))
+    files = media.write_npy_files(tiled, f"file://{tmp_path}/tiles").collect()
+    assert len({f["file"] for f in files}) == 4 and sorted((f["doc_id"] or 0) for f in files) == [0, 1, 1, 3]
+    want = sorted(bytes(r["tile"]) for r in tiled.collect())
+    assert sorted((tmp_path / "tiles" / f["file"]).read_bytes() for f in files) == want
+    assert np.load(tmp_path / "tiles" / files[0]["file"]).ndim >= 2
+    assert media.media_digests(media.text_media(docs.limit(0))).collect() == []
