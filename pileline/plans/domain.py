@@ -36,16 +36,18 @@ def log_rows(spark: SparkSession, d: str) -> DataFrame:
     return calibrate.log_matrix(calibrate.matrix(spark, calibration_counts(spark, d), PARAMS))
 
 
-def sites(spark: SparkSession, d: str, params=PARAMS) -> DataFrame:
-    """Counts and likelihoods of every place: both passes read the same staged tiles."""
+def sites(spark: SparkSession, d: str, params=PARAMS, matrix: DataFrame | None = None) -> DataFrame:
+    """Counts and likelihoods of every place: both passes read the same staged tiles. With a stored calibration matrix there is one
+    pass only."""
     packed = tiles.staged_tiles(placed_reads(spark, d), synth.genome(spark, d), synth.dbsnp(spark, d))
-    lp = calibrate.log_matrix(calibrate.matrix(spark, tiles.calibration_counts(packed, PARAMS), PARAMS))
-    return tiles.site_rows(packed, tiles.log_cube(lp), params)
+    if matrix is None:
+        matrix = calibrate.matrix(spark, tiles.calibration_counts(packed, PARAMS), PARAMS)
+    return tiles.site_rows(packed, tiles.log_cube(calibrate.log_matrix(matrix)), params)
 
 
-def calls(spark: SparkSession, d: str, **modes) -> DataFrame:
+def calls(spark: SparkSession, d: str, matrix: DataFrame | None = None, **modes) -> DataFrame:
     params = replace(PARAMS, **modes)
-    return posterior.called(sites(spark, d, params), params)
+    return posterior.called(sites(spark, d, params, matrix), params)
 
 
 SITE = ["chr", "pos"]

@@ -175,6 +175,14 @@ def stream_windows(spark, d):
     return _streamed(spark, reads.unionAll(last), lambda r: stream.windows_stream(r, 500), "windows").filter("chr <> 'end'")
 
 
+@query(domain.SQL["consensus_rows"])
+def calls_from_matrix(spark, d):
+    """Calls that begin with a matrix from a file, as a second run on other reads of the same machine does."""
+    path = folder(spark, "matrix")
+    text.write_matrix(calibrate.matrix(spark, domain.calibration_counts(spark, d), synth.PARAMS), path)
+    return posterior.consensus(domain.calls(spark, d, text.read_matrix(spark, path)))
+
+
 @query(domain.SQL["consensus_rows"])
 def stream_calls(spark, d):
     """Consensus rows of a stream: reads in order of position, a file a micro-batch, with a state a block of 512 places."""

@@ -78,7 +78,8 @@ def _maps_sql(source: str, part: str) -> str:
     w, p = f"{part} order by idx rows unbounded preceding", f"{part} order by idx rows between unbounded preceding and 1 preceding"
     signs = f", g as (select *, ({_SIGNS.format(w=w)})::bigint as upto from m), t as (select *, sum(c * upto) over ({w}) * upto as total from g)"
     last = f"last_value({_HELD} ignore nulls) over ({{w}})"
-    out = f"select idx, upto as m, total::bigint as c, lag(upto) over ({part} order by idx) as m_before, (lag(total) over ({part} order by idx))::bigint as c_before, {last.format(w=w)} as held, {last.format(w=p)} as held_before"
+    before = f"coalesce(lag(upto) over ({part} order by idx), 0) as m_before, coalesce((lag(total) over ({part} order by idx))::bigint, 0) as c_before"
+    out = f"select idx, upto as m, total::bigint as c, {before}, coalesce({last.format(w=w)}, -1) as held, coalesce({last.format(w=p)}, -1) as held_before"
     return source + _MAPS.format(t="r" if part else "e") + signs + " " + out + " from t"
 
 
@@ -90,7 +91,8 @@ def _folded(rows, scan):
     rows = scan(scan(rows, _map_of(), "own", _affine, False), _map_of(), "before", _affine, True)
     held = F.when(F.col("v") % 5 == 0, F.col("v"))
     rows = scan(scan(rows, held, "held", _later, False), held, "held_before", _later, True)
-    return rows.select("idx", "own.m", "own.c", F.col("before.m").alias("m_before"), F.col("before.c").alias("c_before"), "held", "held_before")
+    known = [F.coalesce(F.col(c), F.lit(x).cast("long")).alias(n) for c, x, n in (("before.m", 0, "m_before"), ("before.c", 0, "c_before"), ("held", -1, "held"), ("held_before", -1, "held_before"))]
+    return rows.select("idx", "own.m", "own.c", *known)
 
 
 @query(_maps_sql(_EV, ""))
