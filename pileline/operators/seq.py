@@ -29,32 +29,43 @@ def _blocked(df: DataFrame, idx: str) -> DataFrame:
     return df.withColumn("__block", F.floor(F.col(idx) / BLOCK))
 
 
-def _carries(totals: DataFrame, fold: Callable, combine: Callable) -> DataFrame:
-    """(__b, __carry): of each block (__block, __total) the fold of all blocks before it. Blocks are folded in groups of BLOCK, then
+def _carries(totals: DataFrame, parts: list) -> DataFrame:
+    """(__b, __c0, ...): of each block (__block, __t0, ...) the folds of all blocks before it. Blocks are folded in groups of BLOCK, then
     the groups, so that a window covers BLOCK blocks, and the last one a row for BLOCK * BLOCK * BLOCK places."""
     grouped = totals.withColumn("__super", F.floor(F.col("__block") / BLOCK))
-    within = grouped.withColumn("__in", fold("__total").over(W.partitionBy("__super").orderBy("__block").rowsBetween(W.unboundedPreceding, -1)))
-    tops = grouped.groupBy("__super").agg(fold("__total").alias("__sum")).select(F.col("__super").alias("__s"), fold("__sum").over(W.orderBy("__super").rowsBetween(W.unboundedPreceding, -1)).alias("__before"))
-    both = within.join(tops, F.col("__super") == F.col("__s"), "left")
-    carry = F.when(F.col("__before").isNull(), F.col("__in")).when(F.col("__in").isNull(), F.col("__before")).otherwise(combine(F.col("__before"), F.col("__in")))
-    return both.select(F.col("__block").alias("__b"), carry.alias("__carry"))
+    inside = W.partitionBy("__super").orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
+    tops = grouped.groupBy("__super").agg(*[fold(f"__t{k}").alias(f"__t{k}") for k, _, fold, _, _ in parts])
+    far = W.orderBy("__super").rowsBetween(W.unboundedPreceding, -1)
+    tops = tops.select(F.col("__super").alias("__s"), *[fold(f"__t{k}").over(far).alias(f"__f{k}") for k, _, fold, _, _ in parts])
+    both = grouped.withColumns({f"__n{k}": fold(f"__t{k}").over(inside) for k, _, fold, _, _ in parts}).join(tops, F.col("__super") == F.col("__s"), "left")
+    return both.select(F.col("__block").alias("__b"), *[_joined(F.col(f"__f{k}"), F.col(f"__n{k}"), combine).alias(f"__c{k}") for k, _, _, combine, _ in parts])
+
+
+def _joined(a: Column, b: Column, combine: Callable) -> Column:
+    return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(combine(a, b))
 
 
 def scan(df: DataFrame, idx: str, value: Column, out: str, op: str = "sum", exclusive: bool = False, init=None) -> DataFrame:
     """Adds the prefix fold of ``value`` in order of ``idx``, with or without the row's own. ``init`` is put before an
     exclusive scan."""
-    fold, combine, empty = FOLDS[op]
-    start = init if init is not None else empty
-    rows = _blocked(df.withColumn("__v", value), idx)
-    order = W.partitionBy("__block").orderBy(idx)
-    own = fold("__v").over(order.rowsBetween(W.unboundedPreceding, -1 if exclusive else 0))
-    totals = rows.groupBy("__block").agg(fold("__v").alias("__total"))
-    carry = _carries(totals, fold, combine)
-    joined = rows.withColumn("__own", own).join(carry, F.col("__block") == F.col("__b"), "left")
-    both = F.when(F.col("__carry").isNull(), F.col("__own")).when(F.col("__own").isNull(), F.col("__carry")).otherwise(combine(F.col("__carry"), F.col("__own")))
-    if start is not None:
-        both = F.when(both.isNull(), F.lit(start)).otherwise(combine(F.lit(start), both))
-    return joined.withColumn(out, both).drop("__v", "__block", "__own", "__b", "__carry")
+    return scans(df, idx, [(value, out, op)], exclusive, init)
+
+
+def scans(df: DataFrame, idx: str, folds: list[tuple[Column, str, str]], exclusive: bool = False, init=None) -> DataFrame:
+    """Several prefix folds (value, name, op) in one pass."""
+    rows = _blocked(df.withColumns({f"__v{k}": value for k, (value, _, _) in enumerate(folds)}), idx)
+    parts = [(k, name, *FOLDS[op]) for k, (_, name, op) in enumerate(folds)]
+    inside = W.partitionBy("__block").orderBy(idx).rowsBetween(W.unboundedPreceding, -1 if exclusive else 0)
+    carry = _carries(rows.groupBy("__block").agg(*[fold(f"__v{k}").alias(f"__t{k}") for k, _, fold, _, _ in parts]), parts)
+    own = rows.withColumns({f"__o{k}": fold(f"__v{k}").over(inside) for k, _, fold, _, _ in parts})
+    return _finished(own.join(carry, F.col("__block") == F.col("__b"), "left"), parts, init).drop("__block", "__b")
+
+
+def _finished(joined: DataFrame, parts: list, init) -> DataFrame:
+    for k, name, _, combine, empty in parts:
+        both, start = _joined(F.col(f"__c{k}"), F.col(f"__o{k}"), combine), init if init is not None else empty
+        joined = joined.withColumn(name, both if start is None else _joined(F.lit(start), both, combine))
+    return joined.drop(*[f"__{x}{k}" for k, *_ in parts for x in "vco"])
 
 
 def with_previous(df: DataFrame, idx: str, value: Column, out: str) -> DataFrame:
@@ -83,17 +94,20 @@ def with_runs(df: DataFrame, idx: str, key: Column, out: str = "run") -> DataFra
 
 def scan_by_key(df: DataFrame, idx: str, key: Column, value: Column, out: str, op: str = "sum", exclusive: bool = False, init=None) -> DataFrame:
     """Prefix fold that begins anew with each run of equal consecutive keys; long runs are folded block by block."""
-    fold, combine, empty = FOLDS[op]
-    start = init if init is not None else empty
-    rows = _blocked(with_runs(df, idx, key, "__run").withColumn("__v", value), idx)
-    own = fold("__v").over(W.partitionBy("__run", "__block").orderBy(idx).rowsBetween(W.unboundedPreceding, -1 if exclusive else 0))
-    totals = rows.groupBy("__run", "__block").agg(fold("__v").alias("__total"))
-    carry = totals.select(F.col("__run").alias("__r"), F.col("__block").alias("__b"), fold("__total").over(W.partitionBy("__run").orderBy("__block").rowsBetween(W.unboundedPreceding, -1)).alias("__carry"))
-    joined = rows.withColumn("__own", own).join(carry, (F.col("__run") == F.col("__r")) & (F.col("__block") == F.col("__b")), "left")
-    both = F.when(F.col("__carry").isNull(), F.col("__own")).when(F.col("__own").isNull(), F.col("__carry")).otherwise(combine(F.col("__carry"), F.col("__own")))
-    if start is not None:
-        both = F.when(both.isNull(), F.lit(start)).otherwise(combine(F.lit(start), both))
-    return joined.withColumn(out, both).drop("__run", "__v", "__block", "__own", "__r", "__b", "__carry")
+    return scans_by_key(df, idx, key, [(value, out, op)], exclusive, init)
+
+
+def scans_by_key(df: DataFrame, idx: str, key: Column, folds: list[tuple[Column, str, str]], exclusive: bool = False, init=None) -> DataFrame:
+    """Several prefix folds (value, name, op) over the runs of one key, which are found once."""
+    rows = _blocked(with_runs(df, idx, key, "__run").withColumns({f"__v{k}": value for k, (value, _, _) in enumerate(folds)}), idx)
+    inside = W.partitionBy("__run", "__block").orderBy(idx).rowsBetween(W.unboundedPreceding, -1 if exclusive else 0)
+    before = W.partitionBy("__run").orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
+    parts = [(k, name, *FOLDS[op]) for k, (_, name, op) in enumerate(folds)]
+    totals = rows.groupBy("__run", "__block").agg(*[fold(f"__v{k}").alias(f"__t{k}") for k, _, fold, _, _ in parts])
+    carry = totals.select(F.col("__run").alias("__r"), F.col("__block").alias("__b"), *[fold(f"__t{k}").over(before).alias(f"__c{k}") for k, _, fold, _, _ in parts])
+    own = rows.withColumns({f"__o{k}": fold(f"__v{k}").over(inside) for k, _, fold, _, _ in parts})
+    joined = own.join(carry, (F.col("__run") == F.col("__r")) & (F.col("__block") == F.col("__b")), "left")
+    return _finished(joined, parts, init).drop("__run", "__block", "__r", "__b")
 
 
 #: Rows that fold() takes together at each level.
@@ -227,12 +241,9 @@ def bounds(values: DataFrame, value: str, probes: DataFrame, probe: str) -> Data
 def stable_partition(df: DataFrame, idx: str, truth: Column, out: str = "place") -> DataFrame:
     """Adds the row's place, from 0, when rows for which ``truth`` holds come first and order is kept otherwise."""
     held = df.withColumn("__t", F.coalesce(truth, F.lit(False)))
-    both = F.struct(F.col("__t").cast("long").alias("yes"), (~F.col("__t")).cast("long").alias("no"))
-    add = lambda a, b: F.struct((a["yes"] + b["yes"]).alias("yes"), (a["no"] + b["no"]).alias("no"))
-    counted = fold(held, idx, both, "__before", add, exclusive=True)
+    counted = scans(held, idx, [(F.col("__t").cast("int"), "__yes", "sum"), ((~F.col("__t")).cast("int"), "__no", "sum")], exclusive=True)
     total = held.agg(F.count_if("__t").alias("__all"))
-    yes, no = (F.coalesce(F.col(f"__before.{c}"), F.lit(0)) for c in ("yes", "no"))
-    return counted.crossJoin(F.broadcast(total)).withColumn(out, F.when(F.col("__t"), yes).otherwise(F.col("__all") + no)).drop("__t", "__before", "__all")  # the total is one row
+    return counted.crossJoin(F.broadcast(total)).withColumn(out, F.when(F.col("__t"), F.col("__yes")).otherwise(F.col("__all") + F.col("__no"))).drop("__t", "__yes", "__no", "__all")  # the total is one row
 
 
 def partition_point(df: DataFrame, idx: str, truth: Column) -> DataFrame:

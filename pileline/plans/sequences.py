@@ -45,8 +45,7 @@ def exclusive_scan(spark, d):
 
 @query(_RUN + " select idx, sum(v) over (partition by run order by idx rows unbounded preceding)::bigint as s, min(v) over (partition by run order by idx rows unbounded preceding) as m from r")
 def inclusive_scan_by_key(spark, d):
-    rows = seq.scan_by_key(ev(spark, d), "idx", F.col("k"), F.col("v"), "s")
-    return seq.scan_by_key(rows, "idx", F.col("k"), F.col("v"), "m", "min").select("idx", "s", "m")
+    return seq.scans_by_key(ev(spark, d), "idx", F.col("k"), [(F.col("v"), "s", "sum"), (F.col("v"), "m", "min")]).select("idx", "s", "m")
 
 
 @query(_RUN + " select idx, 5 + coalesce(sum(v) over (partition by run order by idx rows between unbounded preceding and 1 preceding), 0)::bigint as s from r")
