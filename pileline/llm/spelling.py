@@ -112,13 +112,25 @@ def _crowded(words: DataFrame, keyed: DataFrame, loud: DataFrame) -> DataFrame:
     limits = keyed.join(loud, "key", "left_semi").groupBy("id", "word").agg(F.min("after").alias("after"), F.max("before").alias("before"))
 
     def run(batches):
+        def packed():
+            ids = np.repeat([h[0] for h in held], [h[1].size for h in held])
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate([h[1] for h in held])), pa.array(np.concatenate([h[2] for h in held]))], names=["id", "gone", "form"])
+
+        held, size = [], 0
         for batch in batches:
             ids, befores, afters = batch.column(0).to_pylist(), batch.column(3).to_pylist(), batch.column(2).to_pylist()
             for i, word, after, before in zip(ids, each(batch.column(1)), afters, befores, strict=True):
-                out, hashes = forms(word, after, before)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(out.size, i)), pa.array(out), pa.array(hashes)], names=["id", "gone", "form"])
-
-    taken = staged(limits.mapInArrow(run, "id long, gone long, form long"))
+                held.append((i, *forms(word, after, before)))
+                size += held[-1][1].size
+                if size > 50_000:
+                    yield packed()
+                    held, size = [], 0
+        if held:
+            yield packed()
+
+    # a word gives several rows, so partitions must not be joined by their size before that
+    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    taken = staged(limits.repartition(parts, "id").mapInArrow(run, "id long, gone long, form long"))
     a, b = taken.alias("a"), taken.alias("b")
     replaced = a.join(b, F.expr("a.form = b.form AND a.gone = b.gone AND a.gone >= 0 AND a.id < b.id"))
     inserted = a.filter("gone < 0").alias("a").join(b.filter("gone >= 0").alias("b"), F.expr("a.form = b.form AND a.id <> b.id"))
