@@ -186,18 +186,21 @@ def test_bayes_scores_by_plain_counts(spark):
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
     model = urls.learn(df)
     rows = {x.page_id: x for x in urls.judge(df, urls.RULES, model).collect()}
-    b, a = {}, {}
+    b, a, pages_of = {}, {}, [0, 0]
+    tokens = lambda words: [*words, *(f"{v} {w}" for v, w in zip(words, words[1:]))]
     for x in rows.values():
         assert "".join(x.words) == f"{x.host}{x.path}".replace(".", "").replace("/", "")
-        side = b if x.rule is None and set(x.words) & set(urls.BLOCK_WORDS) else a
-        for w in x.words:
+        blocked = x.rule is None and bool(set(x.words) & set(urls.BLOCK_WORDS))
+        side = b if blocked else a
+        pages_of[blocked] += 1
+        for w in tokens(x.words):
             side[w] = side.get(w, 0) + 1
     for words, side in ((urls.BLOCK_WORDS, b), (urls.ALLOW_WORDS, a)):
         for w in set(words):
             side[w] = side.get(w, 0) + urls.SEED_WEIGHT
     kinds = len({*a, *b})
     for x in rows.values():
-        odds = np.log(urls.PRIOR / (1 - urls.PRIOR)) + sum(np.log((b.get(w, 0) + 1) / (sum(b.values()) + kinds + 1)) - np.log((a.get(w, 0) + 1) / (sum(a.values()) + kinds + 1)) for w in x.words)
+        odds = np.log((pages_of[1] + 1) / (pages_of[0] + 1)) + sum(np.log((b.get(w, 0) + 1) / (sum(b.values()) + kinds + 1)) - np.log((a.get(w, 0) + 1) / (sum(a.values()) + kinds + 1)) for w in tokens(x.words))
         assert abs(x.score - 1 / (1 + np.exp(-odds))) < 1e-6 and (x.verdict == "block") == (odds > 0)
 
 
