@@ -15,11 +15,13 @@ Letters and qualities are ASCII; of known sites at one place the first by ``row_
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..files import staged
@@ -54,9 +56,15 @@ def hot_tiles(reads: DataFrame, block: int = BLOCK, hot: int = HOT_BASES) -> Dat
     return sizes.filter(F.col("n") > hot).select("chr", "tile", F.ceil(2 * F.col("n") / hot).cast("int").alias("salts"))
 
 
-def staged_tiles(reads: DataFrame, blocks: DataFrame, dbsnp: DataFrame, block: int = BLOCK, hot: int = HOT_BASES) -> DataFrame:
-    """The packed tiles of reads (0-based positions, in bounds), of blocks of ``block`` places and of known sites, from a table in
-    the shared folder; a row a tile that has a block, hot tiles some more. Reads where there is no block are left out."""
+def covered_blocks(reads: DataFrame, block: int = BLOCK) -> DataFrame:
+    """A block of unknown letters for each tile that a read touches, for what needs no reference."""
+    touched = _dealt(reads.select("chr", "pos", "read_len"), block).select("chr", F.col("tile").alias("block")).distinct()
+    return touched.select("chr", "block", (F.col("block") * block).alias("start"), F.lit("N" * block).alias("seq"))
+
+
+def staged_tiles(reads: DataFrame, blocks: DataFrame, dbsnp: DataFrame | None = None, block: int = BLOCK, hot: int = HOT_BASES) -> DataFrame:
+    """The packed tiles of reads (0-based positions, in bounds), of blocks of ``block`` places and of known sites (None: none), from a
+    table in the shared folder; a row a tile that has a block, hot tiles some more. Reads where there is no block are left out."""
     many = staged(hot_tiles(reads, block, hot))
     none = many.isEmpty()
     if not none and many.limit(FEW_TILES + 1).count() <= FEW_TILES:
@@ -71,15 +79,16 @@ def staged_tiles(reads: DataFrame, blocks: DataFrame, dbsnp: DataFrame, block: i
         "chr", "tile", "salts", salt.alias("salt"), F.lit(kind).alias("kind"), pos.cast("long").alias("pos"), idx.cast("long").alias("idx"), a.alias("a"), b.alias("b"),
         n1.cast("int").alias("n1"), n2.cast("int").alias("n2"), n3.cast("int").alias("n3"), f.alias("f"))
     g = salted(blocks.withColumn("tile", F.col("block").cast("long")))
-    s = salted(dbsnp.withColumn("tile", F.expr(f"pos div {block}")))
     r = salted(_dealt(reads, block).drop("inside"))
-    freq = F.array(*[F.col(f"f{k}").cast("double") for k in range(4)])
     rows = [
         shape(g, every, 0, F.col("start"), F.lit(0), F.col("seq"), no("string"), no("int"), no("int"), no("int"), no("array<double>")),
-        shape(s, every, 1, F.col("pos"), F.col("row_id"), no("string"), no("string"), F.col("hapmap"), F.col("validated"), F.col("indel"), freq),
         shape(r, F.pmod(F.xxhash64("read_idx"), F.col("salts")).cast("int"), 2, F.col("pos"), F.col("read_idx"), F.col("seq"), F.col("qual"), F.col("hit"), F.when(F.col("strand") == "-", 1).otherwise(0), F.col("read_len"), no("array<double>")),
     ]
-    whole = rows[0].unionAll(rows[1]).unionAll(rows[2])
+    if dbsnp is not None:
+        freq = F.array(*[F.col(f"f{k}").cast("double") for k in range(4)])
+        s = salted(dbsnp.withColumn("tile", F.expr(f"pos div {block}")))
+        rows.append(shape(s, every, 1, F.col("pos"), F.col("row_id"), no("string"), no("string"), F.col("hapmap"), F.col("validated"), F.col("indel"), freq))
+    whole = functools.reduce(DataFrame.unionAll, rows)
     parts = int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     whole = whole.repartition(parts, "chr", "tile", "salt").sortWithinPartitions("chr", "tile", "salt", "kind", "pos", "idx")
     return staged(whole.mapInArrow(_pack, _PACKED))
@@ -92,13 +101,16 @@ def _runs(batches, names: tuple[str, ...]) -> Iterator[tuple[tuple, pa.Table]]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = list(zip(*(batch.column(n).to_pylist() for n in names), strict=True))
-        cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+        new = np.zeros(batch.num_rows - 1, bool)
+        for n in names:  # next to a null there is a cut in any case: the keys are compared below
+            new |= pc.fill_null(pc.not_equal(batch.column(n).slice(1), batch.column(n).slice(0, batch.num_rows - 1)), True).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:], strict=False):
-            if held and keys[a] != key:
+            own = tuple(batch.column(n)[a].as_py() for n in names)
+            if held and own != key:
                 yield key, pa.Table.from_batches(held).combine_chunks()
                 held = []
-            key = keys[a]
+            key = own
             held.append(batch.slice(a, b - a))
     if held:
         yield key, pa.Table.from_batches(held).combine_chunks()
@@ -288,42 +300,127 @@ def site_rows(tiles: DataFrame, cube: np.ndarray, params: CallParams = CallParam
     """Every place of the tiles: reference code, counts, ``lik``, its known site (nulls where there is none), and with
     ``rank_sum`` what is seen of unique bases: what posterior.called() needs, without a join or an exchange. ``cube``: log_cube(), 5 MB."""
     box = tiles.sparkSession.sparkContext.broadcast(cube)
+    return _by_tile(tiles, params, lambda tile, row, chrom: _sites(tile, row, chrom, box.value, params), _SITES)
+
+
+def _by_tile(tiles: DataFrame, params: CallParams, make: Callable[[Tile, dict[str, pa.Array], str], pa.RecordBatch], kinds: str) -> DataFrame:
+    """What ``make`` gives for each tile, hot ones put together first."""
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 row = _lists(batch, i)
-                tile = Tile(row, batch.column("start")[i].as_py(), batch.column("ref")[i].as_py(), params)
-                yield _sites(tile, row, batch.column("chr")[i].as_py(), box.value, params)
+                yield make(Tile(row, batch.column("start")[i].as_py(), batch.column("ref")[i].as_py(), params), row, batch.column("chr")[i].as_py())
 
-    plain = tiles.filter("salts = 1").mapInArrow(run, _SITES)
+    plain = tiles.filter("salts = 1").mapInArrow(run, kinds)
     hot = tiles.filter("salts > 1")
-    return plain if hot.isEmpty() else plain.unionAll(_slim(hot, params).mapInArrow(run, _SITES))
+    return plain if hot.isEmpty() else plain.unionAll(_slim(hot, params).mapInArrow(run, kinds))
 
 
-def _sites(tile: Tile, row: dict[str, pa.Array], chrom: str, cube: np.ndarray, params: CallParams) -> pa.RecordBatch:
-    n, accepted = tile.size, tile.accepted()
-    unique = accepted & (tile.hit == 1)
+def site_counts(tiles: DataFrame, params: CallParams = CallParams()) -> DataFrame:
+    """Counts of each covered site, as pileup.pileup() gives them."""
+
+    def make(tile, row, chrom):
+        numbers = _counts(tile, row, tile.accepted())
+        at = np.flatnonzero(numbers["depth"])
+        return _batch(chrom, at + tile.start, {c: numbers[c][at] for c in _NUMBERS}, "")
+
+    return _by_tile(tiles, params, make, "chr string, pos long, " + ", ".join(f"{c} long" for c in _NUMBERS))
+
+
+_PLACE = "chr string, pos long, ref_code int, known boolean, hapmap int, validated int, indel int, f0 double, f1 double, f2 double, f3 double"
+
+
+def reference_rows(tiles: DataFrame) -> DataFrame:
+    """Every place of the tiles with its reference code and its known site (``known``: whether there is one)."""
+
+    def make(tile, row, chrom):
+        code = pa.array(tile.ref_code.astype(np.int32))
+        known = _known(tile, row)
+        arrays = [pa.array([chrom] * tile.size, pa.string()), pa.array(np.arange(tile.size) + tile.start), code, pa.array(tile.known()), *known]
+        return pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in _PLACE.split(", ")])
+
+    return _by_tile(tiles, CallParams(), make, _PLACE)
+
+
+def no_reads(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "read_idx long, chr string, pos long, seq string, qual string, hit int, strand string, read_len int")
+
+
+def _known(tile: Tile, row: dict[str, pa.Array]) -> list[pa.Array]:
+    """The columns of the known site of each place."""
+    place = row["k_pos"].to_numpy() - tile.start
+    at = np.full(tile.size, -1)
+    at[place] = np.arange(place.size)
+    pick = pa.array(at, mask=at < 0)
+    return [row[c].take(pick) for c, _ in _KNOWN[1:]]
+
+
+_SUMS = [f"{f}_{c}" for c in ("t", "g", "q", "q_adj") for f in ("sum", "max")]
+
+
+def base_sums(tiles: DataFrame, params: CallParams = CallParams()) -> DataFrame:
+    """(chr, pos, base, n, sums and maxima of t, g, q and q_adj) of the unique bases of each site."""
+
+    def make(tile, row, chrom):
+        site, base, _, q, t, g, q_adj = tile.ranked(tile.accepted() & (tile.hit == 1))
+        order = np.argsort(site * 4 + base, kind="stable")
+        cell = (site * 4 + base)[order]
+        opens = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))) if cell.size else np.zeros(0, np.int64)
+        out = {"base": (cell[opens] & 3).astype(np.int32), "n": np.diff(np.append(opens, cell.size))}
+        for c, x in (("t", t), ("g", g), ("q", q), ("q_adj", q_adj)):
+            for f, fold in (("sum", np.add), ("max", np.maximum)):
+                out[f"{f}_{c}"] = fold.reduceat(x[order], opens) if opens.size else opens
+        return _batch(chrom, (cell[opens] >> 2) + tile.start, out, "base")
+
+    return _by_tile(tiles, params, make, "chr string, pos long, base int, n long, " + ", ".join(f"{c} long" for c in _SUMS))
+
+
+def quality_counts(tiles: DataFrame, params: CallParams = CallParams()) -> DataFrame:
+    """(chr, pos, q, n, below) of the unique bases of each site: how many have a quality, and how many a lower one."""
+
+    def make(tile, row, chrom):
+        unique = tile.accepted() & (tile.hit == 1)
+        cell, n = np.unique(tile.site[unique] * 256 + tile.q[unique], return_counts=True)
+        site, before = cell >> 8, np.cumsum(n) - n
+        opens = np.concatenate(([True], site[1:] != site[:-1])) if site.size else np.zeros(0, bool)
+        below = before - before[opens][np.cumsum(opens) - 1] if site.size else before
+        return _batch(chrom, site + tile.start, {"q": (cell & 255).astype(np.int32), "n": n, "below": below}, "q")
+
+    return _by_tile(tiles, params, make, "chr string, pos long, q int, n long, below long")
+
+
+def _batch(chrom: str, pos: np.ndarray, columns: dict[str, np.ndarray], narrow: str) -> pa.RecordBatch:
+    """Rows of one contig; ``narrow`` names the column of 32 bits."""
+    arrays = [pa.array(np.ascontiguousarray(x), pa.int32() if c == narrow else pa.int64()) for c, x in columns.items()]
+    return pa.RecordBatch.from_arrays([pa.array([chrom] * len(pos), pa.string()), pa.array(pos, pa.int64()), *arrays], names=["chr", "pos", *columns])
+
+
+def _counts(tile: Tile, row: dict[str, pa.Array], accepted: np.ndarray) -> dict[str, np.ndarray]:
+    """_NUMBERS of each place of a tile."""
+    n, unique = tile.size, accepted & (tile.hit == 1)
     depth = np.bincount(tile.site, minlength=n)
     hits = np.bincount(tile.site, weights=tile.hit, minlength=n).astype(np.int64)
     if len(row["x_depth"]):
         depth, hits = depth + row["x_depth"].to_numpy(), hits + row["x_hits"].to_numpy()
-    site, base, cycle, q, _, _, q_adj = tile.ranked(unique)
-    cell = site * 4 + base
-    uni, qs = np.bincount(cell, minlength=4 * n), np.bincount(cell, weights=q, minlength=4 * n).astype(np.int64)
-    seen_all = np.bincount(tile.site[accepted] * 4 + tile.base[accepted], minlength=4 * n)
+    cell = tile.site * 4 + tile.base
+    uni, qs = np.bincount(cell[unique], minlength=4 * n), np.bincount(cell[unique], weights=tile.q[unique], minlength=4 * n).astype(np.int64)
+    seen_all = np.bincount(cell[accepted], minlength=4 * n)
+    numbers = {"depth": depth, "repeat_time": hits, "dep_uni": np.bincount(tile.site[unique], minlength=n)}
+    for k in range(4):
+        numbers |= {f"uni{k}": uni[k::4], f"qs{k}": qs[k::4], f"all{k}": seen_all[k::4]}
+    return numbers
+
+
+def _sites(tile: Tile, row: dict[str, pa.Array], chrom: str, cube: np.ndarray, params: CallParams) -> pa.RecordBatch:
+    n, accepted = tile.size, tile.accepted()
+    numbers = _counts(tile, row, accepted)
+    site, base, cycle, q, _, _, q_adj = tile.ranked(accepted & (tile.hit == 1))
     inside = (q_adj < 64) & (cycle < 256)
     worth = np.where(inside[:, None], cube[np.minimum(q_adj, 63), np.minimum(cycle, 255), base], 0.0)
     sums = [np.bincount(site, weights=worth[:, k], minlength=n) for k in range(worth.shape[1])]
     lik = np.round(np.stack(sums, 1).astype(np.float64), 9)  # sums of nothing are whole numbers
-    numbers = {"depth": depth, "repeat_time": hits, "dep_uni": np.bincount(site, minlength=n)}
-    for k in range(4):
-        numbers |= {f"uni{k}": uni[k::4], f"qs{k}": qs[k::4], f"all{k}": seen_all[k::4]}
-    place = row["k_pos"].to_numpy() - tile.start
-    at = np.full(n, -1)
-    at[place] = np.arange(place.size)
-    pick = pa.array(at, mask=at < 0)
-    known = [row[c].take(pick) for c, _ in _KNOWN[1:]]
+    known = _known(tile, row)
     arrays = [pa.array([chrom] * n, pa.string()), pa.array(np.arange(n) + tile.start), pa.array(tile.ref_code.astype(np.int32)), *(pa.array(np.ascontiguousarray(numbers[c]), pa.int64()) for c in _NUMBERS)]
     arrays += [pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * lik.shape[1]), pa.array(lik.reshape(-1))), *known]
     if params.rank_sum:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import bases as B
@@ -24,28 +24,42 @@ def base_rows(spark: SparkSession, d: str) -> DataFrame:
     return pileup.bases(placed_reads(spark, d), PARAMS)
 
 
-def observed(spark: SparkSession, d: str, params=PARAMS) -> DataFrame:
-    return pileup.with_dependencies(base_rows(spark, d), params)
+def packed_tiles(spark: SparkSession, d: str) -> DataFrame:
+    return tiles.staged_tiles(placed_reads(spark, d), synth.genome(spark, d), synth.dbsnp(spark, d))
+
+
+def piled(spark: SparkSession, d: str) -> DataFrame:
+    """Tiles of the reads alone, for the steps that look at no reference."""
+    reads = placed_reads(spark, d)
+    return tiles.staged_tiles(reads, tiles.covered_blocks(reads))
+
+
+def reference(spark: SparkSession, d: str) -> DataFrame:
+    """Every place with its known site: blocks and known sites meet by block, before the blocks are cut into places."""
+    return tiles.reference_rows(tiles.staged_tiles(tiles.no_reads(spark), synth.genome(spark, d), synth.dbsnp(spark, d)))
 
 
 def calibration_counts(spark: SparkSession, d: str) -> DataFrame:
-    return calibrate.counts(placed_reads(spark, d), synth.genome(spark, d), synth.dbsnp(spark, d), PARAMS)
+    return tiles.calibration_counts(packed_tiles(spark, d), PARAMS)
 
 
 def log_rows(spark: SparkSession, d: str) -> DataFrame:
     return calibrate.log_matrix(calibrate.matrix(spark, calibration_counts(spark, d), PARAMS))
 
 
-def sites(spark: SparkSession, d: str, params=PARAMS, matrix: DataFrame | None = None) -> DataFrame:
-    """Counts and likelihoods of every place: both passes read the same staged tiles. With a stored calibration matrix there is one
-    pass only."""
-    packed = tiles.staged_tiles(placed_reads(spark, d), synth.genome(spark, d), synth.dbsnp(spark, d))
-    if matrix is None:
-        matrix = calibrate.matrix(spark, tiles.calibration_counts(packed, PARAMS), PARAMS)
-    return tiles.site_rows(packed, tiles.log_cube(calibrate.log_matrix(matrix)), params)
+def sites(spark: SparkSession, d: str, params=PARAMS, matrix: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Counts and likelihoods of every place: both passes read the same staged tiles. ``matrix`` makes the calibration matrix
+    out of the tiles."""
+    packed = packed_tiles(spark, d)
+    made = calibration_matrix(packed) if matrix is None else matrix(packed)
+    return tiles.site_rows(packed, tiles.log_cube(calibrate.log_matrix(made)), params)
 
 
-def calls(spark: SparkSession, d: str, matrix: DataFrame | None = None, **modes) -> DataFrame:
+def calibration_matrix(packed: DataFrame) -> DataFrame:
+    return calibrate.matrix(packed.sparkSession, tiles.calibration_counts(packed, PARAMS), PARAMS)
+
+
+def calls(spark: SparkSession, d: str, matrix: Callable[[DataFrame], DataFrame] | None = None, **modes) -> DataFrame:
     params = replace(PARAMS, **modes)
     return posterior.called(sites(spark, d, params, matrix), params)
 
@@ -69,28 +83,24 @@ def read_explode_bases(spark, d):
 
 
 def site_pileup(spark, d):
-    return pileup.pileup(observed(spark, d)).select(*SITE, "depth", "repeat_time", "dep_uni", *COUNTS)
+    return tiles.site_counts(piled(spark, d), PARAMS).select(*SITE, "depth", "repeat_time", "dep_uni", *COUNTS)
 
 
 def depth_cap(spark, d):
-    rows = observed(spark, d, replace(PARAMS, depth_cap=20))
-    return rows.groupBy(*SITE).agg(F.count_if("accepted").alias("accepted"), F.count_if("unique").alias("unique"), F.count(F.lit(1)).alias("depth"))
-
-
-def _unique(spark, d):
-    return observed(spark, d).filter("unique")
+    rows = tiles.site_counts(piled(spark, d), replace(PARAMS, depth_cap=20))
+    return rows.select(*SITE, F.expr("all0 + all1 + all2 + all3").alias("accepted"), F.col("dep_uni").alias("unique"), "depth")
 
 
 def pcr_rank(spark, d):
-    return _unique(spark, d).groupBy(*SITE, "base").agg(F.sum("t").alias("sum_t"), F.max("t").cast("long").alias("max_t"))
+    return tiles.base_sums(piled(spark, d), PARAMS).select(*SITE, "base", "sum_t", "max_t")
 
 
 def global_dep(spark, d):
-    return _unique(spark, d).groupBy(*SITE, "base").agg(F.sum("g").alias("sum_g"), F.max("g").cast("long").alias("max_g"))
+    return tiles.base_sums(piled(spark, d), PARAMS).select(*SITE, "base", "sum_g", "max_g")
 
 
 def quality_adjust(spark, d):
-    return _unique(spark, d).groupBy(*SITE, "base").agg(F.sum("q").alias("sum_q"), F.sum("q_adj").alias("sum_q_adj"))
+    return tiles.base_sums(piled(spark, d), PARAMS).select(*SITE, "base", "sum_q", "sum_q_adj")
 
 
 def best_bases(spark, d):
@@ -151,20 +161,17 @@ def prior_transition(spark, d):
 
 
 def dbsnp_join(spark, d):
-    rows = pileup.ref_sites(synth.genome(spark, d)).join(pileup.known_sites(synth.dbsnp(spark, d)), SITE, "left")
-    return rows.select(*SITE, "ref_code", F.col("hapmap").isNotNull().alias("known"), F.coalesce("validated", F.lit(-1)).alias("validated"))
+    return reference(spark, d).select(*SITE, "ref_code", F.col("hapmap").isNotNull().alias("known"), F.coalesce("validated", F.lit(-1)).alias("validated"))
 
 
 def dbsnp_prior(spark, d):
-    rows = pileup.ref_sites(synth.genome(spark, d)).join(pileup.known_sites(synth.dbsnp(spark, d)), SITE)
-    rows = rows.withColumn("prior", posterior.refined_prior(posterior.prior_column(PARAMS), PARAMS))
+    rows = reference(spark, d).filter("known").withColumn("prior", posterior.refined_prior(posterior.prior_column(PARAMS), PARAMS))
     return rows.select(*SITE, *[F.round(F.col("prior")[k], 9).alias(f"p{g}") for k, g in enumerate(B.GENOTYPES)])
 
 
 def mid_rank(spark, d):
-    n = _unique(spark, d).groupBy(*SITE, "q").agg(F.count(F.lit(1)).alias("n"))
-    below = F.coalesce(F.sum("n").over(W.partitionBy(*SITE).orderBy("q").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return n.select(*SITE, "q", "n", (below + (1 + F.col("n")) / 2.0).alias("mid"))
+    rows = tiles.quality_counts(piled(spark, d), PARAMS)
+    return rows.select(*SITE, "q", "n", (F.col("below") + (1 + F.col("n")) / 2.0).alias("mid"))
 
 
 def rank_table(spark, d):
@@ -215,7 +222,7 @@ def order_check(spark, d):
 
 
 def coverage_rollup(spark, d):
-    return pileup.pileup(observed(spark, d)).groupBy("chr", F.expr("(pos) div 1000").alias("block")).agg(F.max("depth").alias("max_depth"), F.sum("depth").alias("sum_depth"), F.count(F.lit(1)).alias("sites"))
+    return tiles.site_counts(piled(spark, d), PARAMS).groupBy("chr", F.expr("(pos) div 1000").alias("block")).agg(F.max("depth").alias("max_depth"), F.sum("depth").alias("sum_depth"), F.count(F.lit(1)).alias("sites"))
 
 
 NAMES = """reads_synth reads_bounds_filter read_explode_bases site_pileup depth_cap pcr_rank global_dep quality_adjust best_bases type_likelihood genotype_top2 consensus_quality

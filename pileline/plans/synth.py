@@ -48,6 +48,8 @@ def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def genome(spark: SparkSession, sf_dir: str, block: int = BLOCK) -> DataFrame:
     """The genome in blocks."""
     b = contigs(spark, sf_dir).select("chr", "length", F.explode(F.expr(f"sequence(0L, (length - 1) div {block})")).alias("block")).withColumn("start", F.col("block") * block)
+    # the blocks come out of one row a contig, but each is made into much more
+    b = b.repartition(spark.sparkContext.defaultParallelism)
     letter = f"CASE WHEN p % 97 = 0 THEN 'N' ELSE substring('ACTG', cast({ref_base('p', 'cast(chr as bigint)')} as int) + 1, 1) END"
     return b.select("chr", "block", "start", F.expr(f"array_join(transform(sequence(start, least(start + {block}, length) - 1), p -> {letter}), '')").alias("seq"))
 
