@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 from .. import schema
-
+from ..files import staged
 from .seq import ranked, reduce_by_key
 
 #: Two-bit codes of the packed form, in another order than the base codes: A0 C1 G2 T3 (fixed value).
@@ -232,7 +232,7 @@ def decompress(blocks: DataFrame) -> DataFrame:
 def write_blocks(rows: DataFrame, path: str, size: int = 4096) -> None:
     """compress() as a table in order of (chr, block): folders by contig, bounds of blocks in each row group, small row groups,
     so that a region needs few of them."""
-    blocks = compress(rows, size)
+    blocks = staged(compress(rows, size))  # bounds of ranges come from a sample, for which all would be made once more
     ordered = blocks.repartitionByRange("chr", "block").sortWithinPartitions("chr", "block")
     ordered.write.mode("overwrite").partitionBy("chr").option("compression", "zstd").option("parquet.block.size", 1 << 20).parquet(path)
 

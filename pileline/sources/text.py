@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import schema
+from ..files import staged
 from ..functions.bases import shown
 from ..operators.pileup import BLOCK
 
@@ -119,7 +120,8 @@ def consensus_lines(rows: DataFrame) -> DataFrame:
 
 def write_consensus(rows: DataFrame, path: str) -> None:
     """Text in order of (chr, pos), by ranges."""
-    consensus_lines(rows.repartitionByRange("chr", "pos")).sortWithinPartitions("chr", "pos").select("value").write.mode("overwrite").text(path)
+    # bounds of ranges come from a sample, for which all rows would be made once more
+    consensus_lines(staged(rows).repartitionByRange("chr", "pos")).sortWithinPartitions("chr", "pos").select("value").write.mode("overwrite").text(path)
 
 
 def read_consensus_text(spark: SparkSession, path: str) -> DataFrame:
@@ -129,7 +131,7 @@ def read_consensus_text(spark: SparkSession, path: str) -> DataFrame:
 
 def write_consensus_table(rows: DataFrame, path: str, block: int = 262_144) -> None:
     """Compressed columns, in order of position, in folders by contig; row groups carry the positions' bounds."""
-    rows.withColumn("block", F.floor((F.col("pos") - 1) / block)).repartitionByRange("chr", "block").sortWithinPartitions("chr", "pos").write.mode("overwrite").partitionBy("chr").option("compression", "zstd").parquet(path)
+    staged(rows).withColumn("block", F.floor((F.col("pos") - 1) / block)).repartitionByRange("chr", "block").sortWithinPartitions("chr", "pos").write.mode("overwrite").partitionBy("chr").option("compression", "zstd").parquet(path)
 
 
 def read_consensus(spark: SparkSession, path: str, chr: str | None = None, start: int | None = None, end: int | None = None, block: int = 262_144) -> DataFrame:
