@@ -150,12 +150,27 @@ def codec_region_read(spark, d):
     return codec.read_region(spark, path, "3", 50, 150, 64)
 
 
-def _streamed(spark, rows, make, name: str):
-    """Runs a stream over a table's rows to its end, closing all windows, and gives the sink's rows."""
-    source = folder(spark, "stream")
-    rows.write.parquet(source)
+#: Reads of a file of a stream.
+FILE_READS = 500_000
+
+
+def _ordered(spark, reads, last, rounds: int = 4) -> tuple[str, int]:
+    """(folder, files a round) of reads as a stream's source, in order of position: each round, a range of positions, has equally many
+    files, more where there are more reads. ``last`` comes after all rounds."""
+    source, files = folder(spark, "stream"), max(1, -(-reads.count() // (rounds * FILE_READS)))
+    ordered = staged(reads.repartitionByRange(rounds * files, "pos", "chr").withColumn("part", F.spark_partition_id()))
+    for k in range(rounds):
+        some = ordered.filter(F.col("part").between(k * files, (k + 1) * files - 1)).drop("part")
+        (some.coalesce(1) if files == 1 else some.repartition(files)).write.mode("append").parquet(source)
+    last.write.mode("append").parquet(source)
+    return source, files
+
+
+def _streamed(spark, rows, last, make):
+    """Runs a stream over a table's rows, a round a micro-batch, to its end, closing all windows, and gives the sink's rows."""
+    source, files = _ordered(spark, rows, last)
     sink, state = folder(spark, "sink"), folder(spark, "state")
-    out = make(spark.readStream.schema(rows.schema).parquet(source))
+    out = make(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(source))
     out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(out.schema).parquet(sink)
 
@@ -164,43 +179,42 @@ def _streamed(spark, rows, make, name: str):
 def stream_pileup(spark, d):
     reads = pileup.normalise(synth.reads(spark, d)).drop("indel_pos")
     # a read far beyond each contig's end moves the watermark past all sites
-    last = reads.orderBy(F.desc("pos")).limit(1).withColumn("pos", F.col("pos") + 1_000_000).withColumn("chr", F.lit("end"))
-    return _streamed(spark, reads.unionAll(last), stream.pileup_stream, "pileup").filter("chr <> 'end'")
+    last = reads.limit(1).withColumn("pos", F.lit(1 << 32).cast("long")).withColumn("chr", F.lit("end"))
+    return _streamed(spark, reads, last, stream.pileup_stream).filter("chr <> 'end'")
 
 
 @query(_with(["reads"], "select chr, start // 500 as block, count(*) as reads, max(start) as last from reads group by all"))
 def stream_windows(spark, d):
     reads = pileup.normalise(synth.reads(spark, d)).select("read_idx", "chr", "pos")
-    last = reads.orderBy(F.desc("pos")).limit(1).withColumn("pos", F.col("pos") + 1_000_000).withColumn("chr", F.lit("end"))
-    return _streamed(spark, reads.unionAll(last), lambda r: stream.windows_stream(r, 500), "windows").filter("chr <> 'end'")
+    last = reads.limit(1).withColumn("pos", F.lit(1 << 32).cast("long")).withColumn("chr", F.lit("end"))
+    return _streamed(spark, reads, last, lambda r: stream.windows_stream(r, 500)).filter("chr <> 'end'")
 
 
 @query(domain.SQL["consensus_rows"])
 def calls_from_matrix(spark, d):
     """Calls that begin with a matrix from a file, as a second run on other reads of the same machine does."""
     path = folder(spark, "matrix")
-    text.write_matrix(calibrate.matrix(spark, domain.calibration_counts(spark, d), synth.PARAMS), path)
-    return posterior.consensus(domain.calls(spark, d, text.read_matrix(spark, path)))
+
+    def through_file(packed):
+        text.write_matrix(domain.calibration_matrix(packed), path)
+        return text.read_matrix(spark, path)
+
+    return posterior.consensus(domain.calls(spark, d, through_file))
 
 
 @query(domain.SQL["consensus_rows"])
 def stream_calls(spark, d):
-    """Consensus rows of a stream: reads in order of position, a file a micro-batch, with a state a block of 512 places."""
+    """Consensus rows of a stream: reads in order of position, a round a micro-batch, with a state a block of 512 places."""
     reads = domain.placed_reads(spark, d).select("read_idx", "chr", "pos", "seq", "qual", "hit", "strand", "read_len")
-    source, ordered = folder(spark, "stream"), reads.repartitionByRange(4, "pos", "chr").sortWithinPartitions("pos").withColumn("part", F.spark_partition_id())
-    ordered = staged(ordered)
-    for part in range(4):
-        ordered.filter(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(source)
     # a read far beyond each contig's end moves the watermark past all blocks; where it lies there is no reference
     far = reads.limit(1).withColumn("pos", F.lit(1 << 32).cast("long")).withColumn("chr", F.lit("end"))
-    far.write.mode("append").parquet(source)
     matrix = calibrate.matrix(spark, domain.calibration_counts(spark, d), synth.PARAMS)
-    stream_of = spark.readStream.schema(reads.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    sites = calls.site_stream(stream_of, synth.genome(spark, d, 512), synth.dbsnp(spark, d), matrix, synth.PARAMS, 512, late="error")
-    sink, state = folder(spark, "sink"), folder(spark, "state")
-    out = posterior.consensus(posterior.called(sites, synth.PARAMS))
-    out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(out.schema).parquet(sink)
+
+    def make(stream_of):
+        sites = calls.site_stream(stream_of, synth.genome(spark, d, 512), synth.dbsnp(spark, d), matrix, synth.PARAMS, 512, late="error")
+        return posterior.consensus(posterior.called(sites, synth.PARAMS))
+
+    return _streamed(spark, reads, far, make)
 
 
 _LCG = "with recursive g(i, x, y) as (select 1, 48271::bigint, 16807::bigint union all select i + 1, (48271 * x) % 2147483647, (16807 * y) % 2147483647 from g where i < 6000)"
