@@ -27,12 +27,12 @@ from ..functions.bases import GENOTYPES
 from ..operators import tiles
 from ..operators.pileup import BLOCK
 from ..params import CallParams
+from .pileup import PROVIDER
 
 _READS = [c for c, _ in tiles._READS]
 _KNOWN = [c for c, _ in tiles._KNOWN]
 _EXTRA = [c for c, _ in tiles._EXTRA]
 _TYPES = {c: tiles._ARROW[t] for c, t in tiles._LISTS}
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _bytes(columns: dict[str, pa.Array]) -> bytes:
@@ -158,8 +158,7 @@ def site_stream(
     spark = reads.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     offset = F.col("offset") if "offset" in reads.columns else F.lit(0)
-    none = spark.createDataFrame([], "read_idx long, chr string, pos long, seq string, qual string, hit int, strand string, read_len int")
-    heads = tiles.staged_tiles(none, blocks, dbsnp, block)
+    heads = tiles.staged_tiles(tiles.no_reads(spark), blocks, dbsnp, block)
     begins = blocks.select("chr", F.col("block").cast("long").alias("tile"), (F.col("offset") if "offset" in blocks.columns else F.lit(0)).cast("long").alias("offset"))
     heads = heads.join(begins, ["chr", "tile"]).select("chr", "tile", "start", "ref", "offset", *_KNOWN)
     seen = reads.withColumn("at", F.timestamp_seconds(F.col("pos") + offset)).withWatermark("at", f"{lateness} seconds")

@@ -12,10 +12,14 @@ from pyspark.sql import functions as F
 from ..operators.pileup import bases
 from ..params import CallParams
 
+#: Keeps states outside of the executors' heap.
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def pileup_stream(reads: DataFrame, params: CallParams = CallParams(), lateness: int = 1_000) -> DataFrame:
     """Counts of each site of a stream of reads (0-based positions), emitted when the site is closed. Stateful per (chr, pos)
     in the state store; the depth cap, which needs the order of arrival, belongs to the batch form."""
+    reads.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     rows = bases(reads, params).withColumn("at", F.timestamp_seconds("pos")).withWatermark("at", f"{lateness} seconds")
     u = F.col("eligible") & (F.col("hit") == 1)
     counts = [F.count(F.lit(1)).alias("depth"), F.sum("hit").alias("repeat_time"), F.sum(u.cast("long")).alias("dep_uni")]
