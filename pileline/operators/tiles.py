@@ -3,7 +3,8 @@
 Reads, not bases, are dealt to tiles of the genome; a read across an edge goes to both tiles, and each takes its own places only.
 Reference blocks and known sites go with them in the same exchange, the only one: what a tile needs is packed into one row of
 columns and written once (``staged_tiles``). Calibration and calling both read that table; a row is never cut, so neither
-needs an exchange by place. In a task each tile is piled up, capped, ranked and summed by numpy over arrays.
+needs an exchange by place. In a task each tile is piled up, capped, ranked and summed by numpy over arrays. Spark opens packed
+rows into short ones on their way to Python, so that a batch holds some reads and not as many tiles as a task has.
 
 Tiles whose reads have more than HOT_BASES bases, told from counts of all reads, are dealt to several rows by a hash of the read.
 For calibration each row counts by itself. For calling, each row first takes out the bases that at least ``depth_cap`` of its own
@@ -32,6 +33,8 @@ from .pileup import BLOCK
 HOT_BASES = 2_000_000
 #: Hot tiles up to which their list is broadcast; more go by a shuffle.
 FEW_TILES = 50_000
+#: Letters of the reference in a row on its way to Python.
+PIECE = 256
 
 _KNOWN = [("k_pos", "long"), ("k_hapmap", "int"), ("k_validated", "int"), ("k_indel", "int"), *((f"k_f{k}", "double") for k in range(4))]
 _READS = [("r_pos", "long"), ("r_idx", "long"), ("r_hit", "int"), ("r_strand", "int"), ("r_len", "int"), ("r_seq", "string"), ("r_qual", "string")]
@@ -135,8 +138,7 @@ def _pack(batches):
 def _row(head: list[list], columns: list) -> pa.RecordBatch:
     arrays = [pa.array(v, t) for v, t in zip(head, _SCHEMA.types[: len(head)], strict=True)]
     for column, kind in zip(columns, _SCHEMA.types[len(head) :], strict=True):
-        flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-        flat = pa.concat_arrays(flat.chunks) if isinstance(flat, pa.ChunkedArray) else flat
+        flat = _flat(column)
         arrays.append(pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat.cast(kind.value_type)))
     return pa.RecordBatch.from_arrays(arrays, schema=_SCHEMA)
 
@@ -233,8 +235,42 @@ def _counter(keys: np.ndarray) -> np.ndarray:
     return at - at[opens][np.cumsum(opens) - 1] + 1
 
 
-def _lists(batch: pa.RecordBatch, i: int) -> dict[str, pa.Array]:
-    return {c: batch.column(c)[i].values for c, _ in _LISTS}
+def _opened(tiles: DataFrame) -> DataFrame:
+    """Packed rows as short ones, those of one packed row (``part``) next to each other: pieces of the reference (kind 0), known sites
+    (1), reads (2), sums of left out reads (3)."""
+
+    def each(kind: int, lists: list[tuple[str, str]], names: str) -> str:
+        got = dict(zip(names.split(), (f"x.{c}" for c, _ in lists), strict=True))
+        return f"transform(arrays_zip({', '.join(c for c, _ in lists)}), x -> {short(kind, got)})"
+
+    def short(kind: int, got: dict[str, str]) -> str:
+        return f"named_struct('kind', {kind}, " + ", ".join(f"'{c}', cast({got.get(c, 'null')} as {t})" for c, t in _SHORT) + ")"
+
+    ref = f"transform(sequence(0, (length(ref) - 1) div {PIECE}), i -> {short(0, {'a': f'substring(ref, cast(i as int) * {PIECE} + 1, {PIECE})'})})"
+    kinds = [ref, each(1, _KNOWN, "pos n1 n2 n3 f0 f1 f2 f3"), each(2, _READS, "pos idx n1 n2 n3 a b"), each(3, _EXTRA, "pos idx")]
+    rows = tiles.select(F.monotonically_increasing_id().alias("part"), "chr", "tile", "salts", "start", F.expr(f"concat({', '.join(kinds)})").alias("x"))
+    return rows.select("part", "chr", "tile", "salts", "start", F.inline("x"))
+
+
+_SHORT = [("pos", "long"), ("idx", "long"), ("a", "string"), ("b", "string"), ("n1", "int"), ("n2", "int"), ("n3", "int"), *((f"f{k}", "double") for k in range(4))]
+
+
+def _each_tile(batches, params: CallParams) -> Iterator[tuple[list, dict[str, pa.Array], Tile]]:
+    """Of batches of _opened(): the head, the lists and the arrays of each packed row."""
+    for _, rows in _runs(batches, ("part",)):
+        cuts = np.searchsorted(rows.column("kind").to_numpy(), [0, 1, 2, 3, 4]).tolist()
+        ref, known, reads, extra = (rows.slice(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False))
+        text = "".join(ref.column("a").to_pylist())
+        row = {}
+        for lists, own, names in ((_KNOWN, known, "pos n1 n2 n3 f0 f1 f2 f3"), (_READS, reads, "pos idx n1 n2 n3 a b"), (_EXTRA, extra, "pos idx")):
+            row |= {c: _flat(own.column(n)) for (c, _), n in zip(lists, names.split(), strict=True)}
+        head = [ref.column(c)[0].as_py() for c in ("chr", "tile", "salts", "start")] + [text]
+        yield head, row, Tile(row, head[3], text, params)
+
+
+def _flat(column: pa.ChunkedArray | pa.Array) -> pa.Array:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return pa.concat_arrays(flat.chunks) if isinstance(flat, pa.ChunkedArray) else flat
 
 
 def calibration_counts(tiles: DataFrame, params: CallParams = CallParams()) -> DataFrame:
@@ -242,15 +278,13 @@ def calibration_counts(tiles: DataFrame, params: CallParams = CallParams()) -> D
 
     def run(batches):
         cells = np.zeros(64 * 256 * 16, np.int64)
-        for batch in batches:
-            for i in range(batch.num_rows):
-                tile = Tile(_lists(batch, i), batch.column("start")[i].as_py(), batch.column("ref")[i].as_py(), params)
-                cells += np.bincount(tile.calibration_cells(), minlength=cells.size)[: cells.size]
+        for _, _, tile in _each_tile(batches, params):
+            cells += np.bincount(tile.calibration_cells(), minlength=cells.size)[: cells.size]
         at = np.flatnonzero(cells)
         columns = [at >> 12, at >> 4 & 255, at >> 2 & 3, at & 3]
         yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int32)) for c in columns), pa.array(cells[at])], names=["q", "cycle", "t_base", "o_base", "n"])
 
-    found = tiles.mapInArrow(run, "q int, cycle int, t_base int, o_base int, n long")
+    found = _opened(tiles).mapInArrow(run, "q int, cycle int, t_base int, o_base int, n long")
     return found.groupBy("q", "cycle", "t_base", "o_base").agg(F.sum("n").alias("n"))
 
 
@@ -267,18 +301,15 @@ def _slim(tiles: DataFrame, params: CallParams) -> DataFrame:
     """Rows of hot tiles, put together: one row a tile, with the reads that can count and sums of the rest."""
 
     def trim(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row, start, ref = _lists(batch, i), batch.column("start")[i].as_py(), batch.column("ref")[i].as_py()
-                tile = Tile(row, start, ref, params)
-                kept = np.zeros(len(row["r_pos"]), bool)
-                kept[tile.read[tile.accepted()]] = True
-                out = ~kept[tile.read]
-                depth = np.bincount(tile.site[out], minlength=tile.size)
-                hits = np.bincount(tile.site[out], weights=tile.hit[out], minlength=tile.size).astype(np.int64)
-                mask = pa.array(kept)
-                columns = [row[c] for c, _ in _KNOWN] + [row[c].filter(mask) for c, _ in _READS] + [pa.array(depth), pa.array(hits)]
-                yield _row([[batch.column(c)[i].as_py()] for c, _ in _HEAD], columns)
+        for head, row, tile in _each_tile(batches, params):
+            kept = np.zeros(len(row["r_pos"]), bool)
+            kept[tile.read[tile.accepted()]] = True
+            out = ~kept[tile.read]
+            depth = np.bincount(tile.site[out], minlength=tile.size)
+            hits = np.bincount(tile.site[out], weights=tile.hit[out], minlength=tile.size).astype(np.int64)
+            mask = pa.array(kept)
+            columns = [row[c] for c, _ in _KNOWN] + [row[c].filter(mask) for c, _ in _READS] + [pa.array(depth), pa.array(hits)]
+            yield _row([[x] for x in head], columns)
 
     def join(batches):
         for _, rows in _runs(batches, ("chr", "tile")):
@@ -289,7 +320,7 @@ def _slim(tiles: DataFrame, params: CallParams) -> DataFrame:
             sums = [pa.array(np.sum([lists[c][k].values.to_numpy() for k in range(rows.num_rows)], axis=0)) for c, _ in _EXTRA]
             yield _row([[rows.column(c)[0].as_py()] for c, _ in _HEAD], [lists[c][0].values for c, _ in _KNOWN] + [flat[c].take(order) for c, _ in _READS] + sums)
 
-    return tiles.mapInArrow(trim, _PACKED).repartition("chr", "tile").sortWithinPartitions("chr", "tile").mapInArrow(join, _PACKED)
+    return _opened(tiles).mapInArrow(trim, _PACKED).repartition("chr", "tile").sortWithinPartitions("chr", "tile").mapInArrow(join, _PACKED)
 
 
 _NUMBERS = ["depth", "repeat_time", "dep_uni", *[f"{c}{k}" for k in range(4) for c in ("uni", "qs", "all")]]
@@ -307,14 +338,12 @@ def _by_tile(tiles: DataFrame, params: CallParams, make: Callable[[Tile, dict[st
     """What ``make`` gives for each tile, hot ones put together first."""
 
     def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = _lists(batch, i)
-                yield make(Tile(row, batch.column("start")[i].as_py(), batch.column("ref")[i].as_py(), params), row, batch.column("chr")[i].as_py())
+        for head, row, tile in _each_tile(batches, params):
+            yield make(tile, row, head[0])
 
-    plain = tiles.filter("salts = 1").mapInArrow(run, kinds)
+    plain = _opened(tiles.filter("salts = 1")).mapInArrow(run, kinds)
     hot = tiles.filter("salts > 1")
-    return plain if hot.isEmpty() else plain.unionAll(_slim(hot, params).mapInArrow(run, kinds))
+    return plain if hot.isEmpty() else plain.unionAll(_opened(_slim(hot, params)).mapInArrow(run, kinds))
 
 
 def site_counts(tiles: DataFrame, params: CallParams = CallParams()) -> DataFrame:

@@ -42,6 +42,50 @@ def test_single_steps_order_no_bases_by_place(spark, name):
     assert "Window" not in plan and "Exchange" not in plan
 
 
+def given_to_python(plan):
+    """What each step in Python of a plan is given, as DDL."""
+    nodes = [plan]
+    for node in nodes:
+        children = node.children()
+        nodes += [children.apply(i) for i in range(children.size())]
+    return [n.children().apply(0).schema().simpleString() for n in nodes if n.nodeName() == "MapInArrow"]
+
+
+@pytest.mark.parametrize("name", ["consensus_rows"])
+def test_no_packed_rows_go_to_python(spark, name):
+    """A packed row is as large as a tile: a batch of them would grow with the tiles that a task has."""
+    given = given_to_python((domain.QUERIES | packed.QUERIES)[name](spark, DIR)._jdf.queryExecution().optimizedPlan())
+    assert given and not [x for x in given if "array<" in x]
+
+
+@pytest.mark.parametrize("hot", [tiles.HOT_BASES, 200])
+@pytest.mark.parametrize("most", [1, 7])
+def test_tiles_don_t_depend_on_batches(spark, hot, most):
+    params = CallParams(read_length=20, depth_cap=9)
+    reads = spark.createDataFrame(T.some_reads(4, 400, 36), T.READ)
+    tiled = tiles.staged_tiles(reads, T.genome(spark, "ACGTNACGTTGCAAACCGTNNACGGTTACCAGTACG"), T.known(spark), T.BLOCK, hot)
+
+    def found():
+        return [sorted(map(repr, df.collect())) for df in (tiles.site_counts(tiled, params), tiles.reference_rows(tiled), tiles.calibration_counts(tiled, params))]
+
+    want = found()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+    try:
+        assert found() == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_a_long_reference_is_put_together_from_its_pieces(spark):
+    text = "".join("ACGTN"[k * k % 5] for k in range(2 * tiles.PIECE + 3))
+    blocks = spark.createDataFrame([("1", 0, 0, text), ("1", 1, len(text), "")], "chr string, block long, start long, seq string")
+    packed_rows = tiles.staged_tiles(tiles.no_reads(spark), blocks, None, len(text))
+    assert max(len(r["a"]) for r in tiles._opened(packed_rows).collect()) == tiles.PIECE
+    got = tiles.reference_rows(packed_rows).orderBy("pos").collect()
+    assert [r["pos"] for r in got] == list(range(len(text)))
+    assert [r["ref_code"] for r in got] == [(ord(c) >> 1) & 7 for c in text]
+
+
 def test_calls_from_a_matrix_pack_the_tiles_once(spark, monkeypatch):
     made, own = [], tiles.staged_tiles
     monkeypatch.setattr(tiles, "staged_tiles", lambda *a, **k: made.append(1) or own(*a, **k))
