@@ -51,7 +51,7 @@ def given_to_python(plan):
     return [n.children().apply(0).schema().simpleString() for n in nodes if n.nodeName() == "MapInArrow"]
 
 
-@pytest.mark.parametrize("name", ["diff_encode", "consensus_rows", "sparse_nonzero"])
+@pytest.mark.parametrize("name", ["diff_encode", "consensus_rows", "sparse_nonzero", "sparse_exceptions"])
 def test_no_packed_rows_go_to_python(spark, name):
     """A packed row is as large as a tile: a batch of them would grow with the tiles that a task has."""
     given = given_to_python((domain.QUERIES | packed.QUERIES)[name](spark, DIR)._jdf.queryExecution().optimizedPlan())
